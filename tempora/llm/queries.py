@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tempora.llm import line_dedup
+from tempora.llm import line_dedup, simhash
 
 QUERIES = {
+    "op4_simhash_near_dedup": simhash.op4,
     "op7_line_dedup": line_dedup.op7,
 }
 
