@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tempora.llm import line_dedup, simhash
+from tempora.llm import line_dedup, mixing, packing, quality, simhash
 
 QUERIES = {
+    "op2_best_fit_packing": packing.op2,
     "op4_simhash_near_dedup": simhash.op4,
+    "op6_mixing": mixing.op6,
     "op7_line_dedup": line_dedup.op7,
+    "op9_quality_classifier": quality.op9,
 }
 
 ORACLES = {
