@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -44,13 +46,16 @@ for _i, _c in enumerate(_CLASSES.values()):
 _SPACE = np.zeros(256, bool)
 _SPACE[list(_CLASSES["space"])] = True
 
-STATISTICS = ("chars", "upper", "digit", "stop", "shout", "pipe", "symbol", "quote", "wide", "word_length", "short_words", "long_words", "distinct_words", "line_words", "distinct_lines")
+#: Short texts are drawn to the usual shares as if so many more characters and words of usual prose stood beside them.
+CHARS, WORDS = 300.0, 50.0
+
+STATISTICS = ("upper", "digit", "stop", "shout", "pipe", "symbol", "quote", "wide", "word_length", "short_words", "long_words", "distinct_words", "line_words", "distinct_lines", "repeated_words")
 
 
 def statistics_of(texts: list[bytes]) -> np.ndarray:
-    """(n, len(STATISTICS)) transformed statistics; zeros for an empty text."""
+    """(n, len(STATISTICS)) transformed statistics; an empty text has those of usual prose."""
     counts = np.zeros((len(texts), 256))
-    shape = np.zeros((len(texts), 7))
+    shape = np.zeros((len(texts), 8))
     for i, text in enumerate(texts):
         if not text:
             continue
@@ -60,16 +65,22 @@ def statistics_of(texts: list[bytes]) -> np.ndarray:
         lengths = gaps[gaps > 0]
         words, lines = text.split(), text.split(b"\n")
         n = len(lengths)
-        shape[i] = (n, lengths.sum(), (lengths <= 3).sum(), (lengths >= 14).sum(), len(set(words)), len(lines), len(set(lines)))
+        shape[i] = (n, lengths.sum(), (lengths <= 3).sum(), (lengths >= 14).sum(), len(set(words)), len(lines), len(set(lines)), sum(map(eq, words, islice(words, 1, None))))
     kinds = counts @ _MEMBER
     of = {k: kinds[:, j] for j, k in enumerate(_NAMES)}
     chars = of["lower"] + of["upper"] + of["digit"] + of["space"] + of["stop"] + of["shout"] + of["pipe"] + of["symbol"] + of["quote"] + of["wide"]
     letters = of["lower"] + of["upper"] + of["wide"]
-    n, total, short, long_, distinct, lines, distinct_lines = shape.T
-    share = lambda a, b: np.sqrt(np.divide(a, b, out=np.zeros_like(a), where=b > 0))
+    n, total, short, long_, distinct, lines, distinct_lines, twice = shape.T
+
+    def share(part, whole, usual, weight):
+        """Square root of a share, drawn to the usual one in short texts, whose shares say little."""
+        return np.sqrt((part + usual * weight) / (whole + weight))
+
+    new = np.log1p(distinct + WORDS) / np.log1p(n + WORDS)
     return np.column_stack([
-        np.log1p(chars), share(of["upper"], letters), share(of["digit"], chars), share(of["stop"], n), share(of["shout"], chars), share(of["pipe"], chars), share(of["symbol"], chars),
-        share(of["quote"], chars), share(of["wide"], chars), np.log1p(share(total, n) ** 2), share(short, n), share(long_, n), np.log1p(distinct) / np.log1p(np.maximum(n, 1)), np.log1p(share(n, lines) ** 2), share(distinct_lines, lines),
+        share(of["upper"], letters, 0.03, CHARS), share(of["digit"], chars, 0.001, CHARS), share(of["stop"], n, 0.15, WORDS), share(of["shout"], chars, 0.001, CHARS), share(of["pipe"], chars, 0.001, CHARS),
+        share(of["symbol"], chars, 0.001, CHARS), share(of["quote"], chars, 0.002, CHARS), share(of["wide"], chars, 0.02, CHARS), np.log1p((total + 5.5 * WORDS) / (n + WORDS)), share(short, n, 0.35, WORDS), share(long_, n, 0.03, WORDS),
+        new, np.log1p((n + WORDS) / (lines + WORDS / 60)), share(distinct_lines, lines, 1.0, 3.0), share(twice, n, 0.005, WORDS),
     ])
 
 
