@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from tempora.llm import line_dedup, mixing, packing, quality, simhash
+from tempora.llm import line_dedup, mixing, packing, quality, simhash, topk, warc
 
 QUERIES = {
     "op2_best_fit_packing": packing.op2,
     "op4_simhash_near_dedup": simhash.op4,
+    "op5_exact_top_k": topk.op5,
     "op6_mixing": mixing.op6,
     "op7_line_dedup": line_dedup.op7,
+    "op8_warc": warc.op8,
     "op9_quality_classifier": quality.op9,
 }
 
 ORACLES = {
+    "op5_exact_top_k": topk.OP5_SQL,
     "op7_line_dedup": line_dedup.OP7_SQL,
+    "op8_warc": warc.OP8_SQL,
 }
