@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tempora.llm import line_dedup, mixing, packing, quality, simhash, topk, warc
+from tempora.llm import line_dedup, merkle, mixing, packing, quality, simhash, topk, warc
 
 QUERIES = {
     "op2_best_fit_packing": packing.op2,
+    "op3_merkle_fingerprints": merkle.op3,
     "op4_simhash_near_dedup": simhash.op4,
     "op5_exact_top_k": topk.op5,
     "op6_mixing": mixing.op6,
