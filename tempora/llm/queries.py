@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tempora.llm import katz, line_dedup, merkle, mixing, packing, quality, simhash, topk, warc
+from tempora.llm import katz, line_dedup, merkle, mixing, packing, pii, quality, simhash, topk, warc
 
 QUERIES = {
+    "op1_skip_chain_pii": pii.op1,
     "op10_katz_backoff": katz.op10,
     "op2_best_fit_packing": packing.op2,
     "op3_merkle_fingerprints": merkle.op3,
