@@ -1,6 +1,500 @@
-"""Registered queries over the driver's tables, and their SQL."""
+"""Registered queries over the driver's tables, and their SQL for DuckDB.
+
+The tables hold no video, so the operators run on stand-ins: a user's events are a track (time, value), hours of the
+month are frames, orders are sessions and line items runs, embeddings are signature vectors, conversations commands.
+Times are microseconds, values doubles; both engines do the same arithmetic in the same order.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tempora.functions import scalar
+from tempora.operators import commands, evaluate, extrema, features, gapfill, history, overlay, runs, segments, signature, tracking
+from tempora.sources import files
+from tempora.sources.shared import new_path
+from tempora.streaming import live
+
+HOUR = 3_600_000_000
+RUN_GAP = 6 * HOUR
+#: 2024-01-01 in microseconds: the first hour of the grid
+ORIGIN = 1_704_067_200_000_000
+HOURS = 720
+PROMINENCE = 60.0
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value", scalar.micros("ts").alias("t"))
+
+
+SIGNAL = "signal AS (SELECT user_id, event_id, event_type, value, epoch_us(ts) AS t FROM events)"
+
+
+# runs
+
+_RUNS = f"""WITH {SIGNAL},
+i AS (SELECT *, sum(CASE WHEN t - p >= {RUN_GAP} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS island
+      FROM (SELECT *, lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS p FROM signal)),
+runs AS (SELECT user_id, min(t) AS start_time, max(t) AS end_time, count(*) AS n_events FROM i GROUP BY user_id, island HAVING count(*) >= 3)"""
+
+
+def _runs(spark, sf_dir):
+    return runs.runs(signal(spark, sf_dir), ["user_id"], "t", RUN_GAP, 3, bucket=5 * 24 * HOUR, count="n_events")
+
+
+@query(_RUNS + " SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY start_time) AS INTEGER) AS run_id, start_time, end_time, n_events FROM runs")
+def runs_sessionize(spark, sf_dir):
+    return _runs(spark, sf_dir)
+
+
+def _as_micros(c):
+    return F.unix_micros(c)
+
+
+@query(_RUNS + " SELECT * FROM runs")
+def runs_session_window(spark, sf_dir):
+    rows = signal(spark, sf_dir).withColumn("at", F.timestamp_micros("t"))
+    found = runs.runs_by_session_window(rows, ["user_id"], "at", RUN_GAP)
+    return found.select("user_id", _as_micros("start_time").alias("start_time"), _as_micros("end_time").alias("end_time"), "n_events")
+
+
+@query(_RUNS + " SELECT user_id, count(*) AS run_count, CAST(sum(n_events) AS BIGINT) AS total, max(n_events) AS max_streak, round(avg(n_events), 6) AS mean_count, CAST(median(n_events) AS DOUBLE) AS median_count FROM runs GROUP BY user_id")
+def run_stats_per_user(spark, sf_dir):
+    return runs.run_statistics(_runs(spark, sf_dir), ["user_id"], "n_events").withColumn("mean_count", F.round("mean_count", 6))
+
+
+@query(f"""WITH {SIGNAL},
+d AS (SELECT *, t - lag(t) OVER (PARTITION BY user_id ORDER BY t) AS delta FROM signal),
+g AS (SELECT user_id, greatest({HOUR}.0::DOUBLE, 0.25 * coalesce(CAST(median(delta) AS DOUBLE), 0)) AS gap FROM d GROUP BY user_id),
+i AS (SELECT d.user_id, t, sum(CASE WHEN delta >= gap THEN 1 ELSE 0 END) OVER (PARTITION BY d.user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS island FROM d JOIN g ON d.user_id = g.user_id)
+SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY min(t)) AS INTEGER) AS run_id, min(t) AS start_time, max(t) AS end_time, count(*) AS n_events FROM i GROUP BY user_id, island HAVING count(*) >= 3""")
+def run_break_adaptive(spark, sf_dir):
+    rows = signal(spark, sf_dir)
+    gaps = runs.adaptive_gap(rows, ["user_id"], "t", HOUR, 0.25)
+    return runs.runs(rows.join(gaps, "user_id"), ["user_id"], "t", F.col("gap"), 3, bucket=5 * 24 * HOUR, count="n_events")
+
+
+# extrema
+
+
+def _extrema_sql(sign: str, width: float | None = None, tail: str | None = None) -> str:
+    wide = "" if width is None else f""",
+x AS (SELECT h.user_id, h.p, h.v, h.prominence, h.v - 0.5 * h.prominence AS level, max(s.i) FILTER (WHERE s.i < h.p AND s.v <= h.v - 0.5 * h.prominence) AS l, min(s.i) FILTER (WHERE s.i > h.p AND s.v <= h.v - 0.5 * h.prominence) AS r
+      FROM h JOIN s ON h.user_id = s.user_id GROUP BY h.user_id, h.p, h.v, h.prominence),
+z AS (SELECT x.user_id, x.p, (x.r - CASE WHEN b.v < x.level THEN (x.level - b.v) / (b1.v - b.v) ELSE 0 END) - (x.l + CASE WHEN a.v < x.level THEN (x.level - a.v) / (a1.v - a.v) ELSE 0 END) AS width
+      FROM x JOIN s a ON a.user_id = x.user_id AND a.i = x.l JOIN s a1 ON a1.user_id = x.user_id AND a1.i = x.l + 1 JOIN s b ON b.user_id = x.user_id AND b.i = x.r JOIN s b1 ON b1.user_id = x.user_id AND b1.i = x.r - 1)"""
+    keep = "" if width is None else f" JOIN z ON z.user_id = h.user_id AND z.p = h.p AND z.width >= {width}"
+    last = tail or f"SELECT s.user_id, s.event_id, s.t, s.value FROM h{keep} JOIN s ON s.user_id = h.user_id AND s.i = h.p"
+    return f"""WITH {SIGNAL},
+s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, {sign} * value AS v FROM signal),
+c AS (SELECT *, sum(CASE WHEN v = pv THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY i) AS g FROM (SELECT *, lag(v) OVER (PARTITION BY user_id ORDER BY i) AS pv FROM s)),
+f AS (SELECT user_id, g, any_value(v) AS v, min(i) AS a, max(i) AS b FROM c GROUP BY user_id, g),
+m AS (SELECT *, (a + b) // 2 AS p FROM (SELECT *, lag(v) OVER (PARTITION BY user_id ORDER BY a) AS l, lead(v) OVER (PARTITION BY user_id ORDER BY a) AS r FROM f) WHERE l < v AND r < v),
+w AS (SELECT m.user_id, m.p, m.v, max(s.i) FILTER (WHERE s.v > m.v AND s.i < m.p) AS lo, min(s.i) FILTER (WHERE s.v > m.v AND s.i > m.p) AS hi FROM m JOIN s ON m.user_id = s.user_id GROUP BY m.user_id, m.p, m.v),
+h AS (SELECT * FROM (SELECT w.user_id, w.p, w.v, w.v - greatest(min(s.v) FILTER (WHERE s.i <= w.p), min(s.v) FILTER (WHERE s.i >= w.p)) AS prominence
+      FROM w JOIN s ON w.user_id = s.user_id AND s.i > coalesce(w.lo, -1) AND s.i < coalesce(w.hi, 9223372036854775807) GROUP BY w.user_id, w.p, w.v) WHERE prominence >= {PROMINENCE}){wide}
+{last}"""
+
+
+_FOUND = ["user_id", "event_id", "t", "value"]
+
+
+@query(_extrema_sql("1"))
+def throws_prominence(spark, sf_dir):
+    return extrema.extrema(signal(spark, sf_dir), ["user_id"], "event_id", "value", PROMINENCE).select(*_FOUND)
+
+
+@query(_extrema_sql("-1"))
+def peaks_prominence(spark, sf_dir):
+    return extrema.extrema(signal(spark, sf_dir), ["user_id"], "event_id", "value", PROMINENCE, sign=-1).select(*_FOUND)
+
+
+@query(_extrema_sql("-1", 2.0))
+def peaks_width(spark, sf_dir):
+    return extrema.extrema(signal(spark, sf_dir), ["user_id"], "event_id", "value", PROMINENCE, 2.0, -1).select(*_FOUND)
+
+
+@query(_extrema_sql("-1", 2.0, f"""
+, k AS (SELECT s.user_id, s.t FROM h JOIN z ON z.user_id = h.user_id AND z.p = h.p AND z.width >= 2.0 JOIN s ON s.user_id = h.user_id AND s.i = h.p),
+e AS (SELECT user_id, min_by(t, i) AS ft, min_by(value, i) AS fv, max_by(t, i) AS lt, max_by(value, i) AS lv FROM s GROUP BY user_id HAVING count(*) >= 5),
+a AS (SELECT user_id, ft AS t FROM e WHERE fv < 25 AND NOT EXISTS (SELECT 1 FROM k WHERE k.user_id = e.user_id AND abs(k.t - e.ft) < {24 * HOUR})),
+k2 AS (SELECT * FROM k UNION ALL SELECT * FROM a)
+SELECT user_id, t, 'first' AS edge FROM a UNION ALL
+SELECT user_id, lt AS t, 'last' AS edge FROM e WHERE lv < 25 AND NOT EXISTS (SELECT 1 FROM k2 WHERE k2.user_id = e.user_id AND abs(k2.t - e.lt) < {24 * HOUR})"""))
+def edge_peaks(spark, sf_dir):
+    rows = signal(spark, sf_dir)
+    found = extrema.extrema(rows, ["user_id"], "event_id", "value", PROMINENCE, 2.0, -1)
+    return extrema.edge_events(rows, ["user_id"], found, "t", "value", "event_id", 25, 24 * HOUR)
+
+
+# frames and features
+
+
+@query(f"""WITH {SIGNAL} SELECT user_id, event_id, CASE WHEN t - lag(t) OVER w > 0 THEN round((value - lag(value) OVER w) / CAST(t - lag(t) OVER w AS DOUBLE) * 3600000000.0::DOUBLE, 6) END AS vy FROM signal WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""")
+def velocity_lag(spark, sf_dir):
+    rows = features.velocities(signal(spark, sf_dir), ["user_id"], "event_id", "t", "value")
+    return rows.select("user_id", "event_id", F.round(F.col("vy") * float(HOUR), 6).alias("vy"))
+
+
+def hourly(spark, sf_dir) -> DataFrame:
+    """A point per user and hour, its last event: user_id, frame_idx (hour), timestamp (hours), pos_x, pos_y, confidence."""
+    rows = signal(spark, sf_dir).withColumn("frame_idx", F.floor((F.col("t") - ORIGIN) / HOUR).cast("int"))
+    last = rows.groupBy("user_id", "frame_idx").agg(F.max_by("value", F.struct("t", "event_id")).alias("pos_y"), F.max("event_id").alias("e"))
+    return last.select(F.lit("all").alias("video_id"), F.col("user_id").alias("track_id"), "frame_idx", F.col("frame_idx").cast("double").alias("timestamp"), (F.col("e") % 100 / 100.0).alias("pos_x"), "pos_y", F.lit(0.5).alias("confidence"), F.lit(False).alias("is_interpolated"))
+
+
+HOURLY = f"""{SIGNAL},
+hourly AS (SELECT user_id AS track_id, CAST(floor((t - {ORIGIN}) / {HOUR}.0) AS INTEGER) AS frame_idx, max_by(value, (t, event_id)) AS pos_y, max(event_id) % 100 / 100.0::DOUBLE AS pos_x FROM signal GROUP BY 1, 2)"""
+
+
+def _grid(spark) -> DataFrame:
+    return spark.createDataFrame([("all", 1.0, 640, 480, HOURS, float(HOURS))], "video_id string, fps double, width int, height int, frame_count int, duration double")
+
+
+FEATURES = f"""{HOURLY},
+v AS (SELECT track_id, frame_idx, (pos_y - lag(pos_y) OVER w) / CAST(frame_idx - lag(frame_idx) OVER w AS DOUBLE) AS vy FROM hourly WINDOW w AS (PARTITION BY track_id ORDER BY frame_idx)),
+features AS (SELECT g.f AS frame_idx, CAST(count(v.track_id) AS INTEGER) AS num_active_tracks, round(coalesce(avg(vy), 0), 4) AS mean_velocity_y, round(coalesce(stddev_pop(vy), 0), 4) AS std_velocity_y
+             FROM (SELECT CAST(unnest(range({HOURS})) AS INTEGER) AS f) g LEFT JOIN v ON v.frame_idx = g.f GROUP BY g.f)"""
+
+
+@query(f"WITH {FEATURES} SELECT * FROM features")
+def frame_features(spark, sf_dir):
+    found = features.frame_features(hourly(spark, sf_dir), _grid(spark))
+    return found.select("frame_idx", "num_active_tracks", F.round("mean_velocity_y", 4).alias("mean_velocity_y"), F.round("std_velocity_y", 4).alias("std_velocity_y"))
+
+
+@query(f"""WITH {SIGNAL},
+f AS (SELECT CAST(frame AS INTEGER) AS i, frame / 1.0::DOUBLE AS ts, count(DISTINCT user_id) AS n FROM (SELECT unnest(range({HOURS})) AS frame) LEFT JOIN signal ON event_type = 'purchase' AND CAST(floor((t - {ORIGIN}) / {HOUR}.0) AS BIGINT) = frame GROUP BY frame),
+k AS (SELECT count(*) AS nn, max(ts) AS lt, CAST(floor(6.0 * (count(*) / max(ts))) AS INTEGER) AS g FROM f),
+c AS (SELECT f.*, nn, lt, g, lag(i) OVER (ORDER BY i) AS p FROM f, k WHERE n >= 2),
+j AS (SELECT *, sum(CASE WHEN i - p - 1 > g THEN 1 ELSE 0 END) OVER (ORDER BY i) AS island FROM c),
+a AS (SELECT min(i) AS first, max(i) AS last, any_value(nn) AS nn, any_value(g) AS g FROM j GROUP BY island),
+b AS (SELECT first, CASE WHEN nn - 1 - last <= g THEN last WHEN last = 0 THEN nn - 1 ELSE last - 1 END AS e FROM a)
+SELECT CAST(row_number() OVER (ORDER BY first) - 1 AS INTEGER) AS segment_id, CAST(first AS DOUBLE) AS start_time, CAST(e AS DOUBLE) AS end_time, 0.8::DOUBLE AS confidence FROM b WHERE e - first >= 3""")
+def segments_hysteresis(spark, sf_dir):
+    rows = signal(spark, sf_dir).where("event_type = 'purchase'").withColumn("frame_idx", F.floor((F.col("t") - ORIGIN) / HOUR).cast("int"))
+    active = rows.groupBy("frame_idx").agg(F.countDistinct("user_id").cast("int").alias("n"))
+    dense = features.frame_grid(_grid(spark)).join(active, "frame_idx", "left").select("video_id", "frame_idx", "timestamp", F.coalesce("n", F.lit(0)).alias("num_active_tracks"))
+    return segments.segments(dense, 3.0, 6.0).drop("video_id")
+
+
+# gap filling
+
+
+def _gap_sql(y: str) -> str:
+    return f"""WITH {HOURLY},
+n AS (SELECT *, lead(frame_idx) OVER w AS f2, lead(pos_y) OVER w AS y2, lead(pos_x) OVER w AS x2, lag(frame_idx) OVER w AS f0, lag(pos_y) OVER w AS y0, lead(frame_idx, 2) OVER w AS f3, lead(pos_y, 2) OVER w AS y3 FROM hourly WINDOW w AS (PARTITION BY track_id ORDER BY frame_idx)),
+g AS (SELECT *, unnest(range(1, f2 - frame_idx)) AS j FROM n WHERE f2 - frame_idx BETWEEN 2 AND 10)
+SELECT track_id, CAST(frame_idx + j AS INTEGER) AS frame_idx, rint(({y}) * 1e4) / 1e4 AS pos_y, rint((pos_x + (x2 - pos_x) * (j / CAST(f2 - frame_idx AS DOUBLE))) * 1e4) / 1e4 AS pos_x FROM g""".replace("rint(", "round_even_(")
+
+
+_LINE = "pos_y + (y2 - pos_y) * (j / CAST(f2 - frame_idx AS DOUBLE))"
+
+
+def _even(sql: str) -> str:
+    """DuckDB has no rint: round_even with no decimals."""
+    out, at = "", 0
+    while (k := sql.find("round_even_(", at)) >= 0:
+        depth, e = 1, k + len("round_even_(")
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[e], 0)
+            e += 1
+        out += sql[at:k] + "round_even(" + sql[k + len("round_even_(") : e - 1] + ", 0)"
+        at = e
+    return out + sql[at:]
+
+
+@query(_even(_gap_sql(_LINE)))
+def gapfill_linear(spark, sf_dir):
+    found = gapfill.fill_gaps(hourly(spark, sf_dir), ["track_id"], quadratic=False)
+    return found.where("is_filled").select("track_id", "frame_idx", "pos_y", "pos_x")
+
+
+@query()
+def gapfill_quadratic(spark, sf_dir):
+    found = gapfill.fill_gaps(hourly(spark, sf_dir), ["track_id"])
+    return found.where("is_filled").select("track_id", "frame_idx", "pos_y", "pos_x")
+
+
+# overlay
+
+
+@query(f"""{_RUNS},
+m AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY start_time) AS k, start_time, end_time, n_events FROM runs),
+f AS (SELECT user_id, event_id, t FROM signal WHERE event_id % 5 = 0)
+SELECT f.user_id, f.event_id,
+  (SELECT count(*) FROM signal s WHERE s.user_id = f.user_id AND s.event_type <> 'click' AND s.t <= f.t) AS session_throws,
+  coalesce((SELECT avg(n_events) FROM m WHERE m.user_id = f.user_id AND m.end_time < f.t), 0) AS mean_throws,
+  coalesce((SELECT CAST(median(n_events) AS DOUBLE) FROM m WHERE m.user_id = f.user_id AND m.end_time < f.t), 0) AS median_throws,
+  CAST(coalesce((SELECT min(k) FROM m WHERE m.user_id = f.user_id AND m.start_time <= f.t AND f.t <= m.end_time), -1) AS INTEGER) AS current_run,
+  (SELECT count(*) FROM m JOIN signal s ON s.user_id = m.user_id AND s.event_type <> 'click' AND s.t >= m.start_time AND s.t <= f.t WHERE m.user_id = f.user_id AND m.start_time <= f.t AND f.t <= m.end_time) AS current_run_throws,
+  CAST((SELECT count(*) FROM signal s WHERE s.user_id = f.user_id AND s.t <= f.t AND f.t <= s.t + {HOUR}) AS INTEGER) AS flashing,
+  EXISTS (SELECT 1 FROM m WHERE m.user_id = f.user_id AND m.n_events >= 5 AND m.start_time <= f.t AND f.t <= m.end_time) AS in_segment
+FROM f""")
+def overlay_metrics(spark, sf_dir):
+    rows = signal(spark, sf_dir).withColumn("video_id", F.col("user_id"))
+    marks = rows.select("video_id", F.col("t").alias("timestamp"), F.when(F.col("event_type") == "click", "peak").otherwise("throw").alias("event_type"))
+    found = _runs(spark, sf_dir).select(F.col("user_id").alias("video_id"), F.col("run_id").alias("run_order"), "start_time", "end_time", F.col("n_events").alias("throw_count"))
+    frames = rows.where("event_id % 5 = 0").select("video_id", F.col("event_id").alias("frame_idx"), F.col("t").alias("timestamp"))
+    out = overlay.overlay(frames, marks, found, found.where("throw_count >= 5"), HOUR)
+    return out.select(F.col("video_id").alias("user_id"), F.col("frame_idx").alias("event_id"), "session_throws", "mean_throws", "median_throws", "current_run", "current_run_throws", "flashing", "in_segment")
+
+
+@query(f"WITH {SIGNAL} SELECT user_id, event_id, len(list(value) OVER w) AS n, list(value) OVER w AS history FROM signal WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)")
+def rolling20_history(spark, sf_dir):
+    out = overlay.tail(signal(spark, sf_dir), ["user_id"], "event_id", ["value"], 20)
+    return out.select("user_id", "event_id", F.size("tail").cast("long").alias("n"), F.transform("tail", lambda x: x["value"]).alias("history"))
+
+
+@query(f"WITH {SIGNAL} SELECT user_id, event_id, avg(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS rolling_mean FROM signal")
+def rolling30_mean(spark, sf_dir):
+    cents = signal(spark, sf_dir).withColumn("cents", F.round(F.col("value") * 100).cast("long"))
+    return overlay.rolling_mean(cents, ["user_id"], "event_id", "cents").select("user_id", "event_id", "rolling_mean")
+
+
+@query(f"WITH {SIGNAL} SELECT user_id, event_id, list(t) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 14 PRECEDING AND CURRENT ROW) AS tail FROM signal")
+def trajectory_tail(spark, sf_dir):
+    return overlay.tail(signal(spark, sf_dir), ["user_id"], "event_id", ["t"], 15).select("user_id", "event_id", F.transform("tail", lambda x: x["t"]).alias("tail"))
+
+
+@query(f"WITH {SIGNAL}, l AS (SELECT user_id, list(value ORDER BY event_id) AS v FROM signal GROUP BY user_id) SELECT user_id, round(list_reduce(v, lambda a, x: a * 0.7::DOUBLE + x * 0.3::DOUBLE), 6) AS ema FROM l")
+def ema_fold(spark, sf_dir):
+    return overlay.ema(signal(spark, sf_dir), ["user_id"], "event_id", "value", 0.3).withColumn("ema", F.round("ema", 6))
+
+
+# sessions and reports
+
+
+def _sessions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    o = table(spark, sf_dir, "orders")
+    sessions = o.select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("session_uuid"), F.lit(0.0).alias("start_time"), (F.col("o_orderkey") % 7).cast("double").alias("end_time"))
+    item = table(spark, sf_dir, "lineitem")
+    return sessions, item.where("l_returnflag <> 'N'").select(F.col("l_orderkey").alias("session_uuid"), F.col("l_quantity").cast("long").alias("throw_count"), F.col("l_linestatus"))
+
+
+@query("""SELECT o_custkey AS user_id, o_orderkey AS session_uuid, CAST(o_orderkey % 7 AS DOUBLE) AS timestamp, CAST(coalesce((SELECT sum(CAST(l_quantity AS BIGINT)) FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag <> 'N'), 0) AS BIGINT) AS total_throws, CAST(o_orderkey % 7 AS DOUBLE) AS duration_seconds FROM orders""")
+def user_history(spark, sf_dir):
+    return history.history(*_sessions(spark, sf_dir)).drop("start_time")
+
+
+@query("SELECT l_orderkey, count(*) FILTER (WHERE l_returnflag = 'R') AS total_throws, count(*) FILTER (WHERE l_returnflag = 'A') AS total_peaks, round(avg(l_discount), 6) AS average_confidence FROM lineitem GROUP BY l_orderkey")
+def session_totals(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.when(F.col("l_returnflag") == "R", "throw").when(F.col("l_returnflag") == "A", "peak").alias("event_type"), F.col("l_discount").alias("confidence"))
+    return history.segment_totals(rows, ["l_orderkey"]).withColumn("average_confidence", F.round("average_confidence", 6))
+
+
+@query("SELECT l_orderkey, sum(l_linenumber)::BIGINT AS throws, CASE WHEN l_orderkey % 5 > 0 THEN printf('%.2f t/s', sum(l_linenumber) / CAST(l_orderkey % 5 AS DOUBLE)) ELSE '0 t/s' END AS rate FROM lineitem GROUP BY l_orderkey")
+def throw_rate(spark, sf_dir):
+    sums = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum("l_linenumber").alias("throws"))
+    return sums.withColumn("rate", scalar.rate_label(F.col("throws").cast("double"), (F.col("l_orderkey") % 5).cast("double")))
+
+
+_COUNTED = ("customer", "orders", "lineitem", "events")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in _COUNTED))
+def table_counts(spark, sf_dir):
+    return history.table_counts({t: table(spark, sf_dir, t) for t in _COUNTED})
+
+
+@query("""WITH changes AS (SELECT c_custkey % 1000 AS k, 'n' || CAST(c_custkey AS VARCHAR) AS name, c_mktsegment AS email, c_custkey AS v FROM customer WHERE c_custkey % 3 = 0),
+newest AS (SELECT k, max_by(name, v) AS name, max_by(email, v) AS email FROM changes GROUP BY k),
+base AS (SELECT c_custkey AS k, c_name AS name, c_mktsegment AS email FROM customer)
+SELECT k, name, email FROM base WHERE k NOT IN (SELECT k FROM newest) UNION ALL SELECT k, name, email FROM newest""")
+def upsert_users(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    base = c.select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("email"))
+    changes = c.where("c_custkey % 3 = 0").select((F.col("c_custkey") % 1000).alias("k"), F.concat(F.lit("n"), F.col("c_custkey").cast("string")).alias("name"), F.col("c_mktsegment").alias("email"), F.col("c_custkey").alias("v"))
+    return history.upsert(base, changes, "k", "v")
+
+
+_ROLLUP = """WITH r AS (SELECT l_suppkey, list_sort(list(CAST(l_quantity AS BIGINT))) AS runs, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total_throws, max(CAST(l_quantity AS BIGINT)) AS max_streak, CAST(count(*) AS INTEGER) AS run_count FROM lineitem WHERE l_linenumber = 1 GROUP BY l_suppkey),
+e AS (SELECT *, abs(total_throws - 65) AS total_error, abs(max_streak - 35) AS max_error, abs(total_throws - 65) + abs(max_streak - 35) AS combined_error FROM r)"""
+
+
+def _rollup(spark, sf_dir):
+    return evaluate.rollup(table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_suppkey", F.col("l_quantity").cast("long").alias("throw_count")), ["l_suppkey"])
+
+
+@query(_ROLLUP + " SELECT * FROM e")
+def benchmark_rollup(spark, sf_dir):
+    return _rollup(spark, sf_dir)
+
+
+@query(_ROLLUP + " SELECT l_suppkey, total_throws, max_streak, combined_error FROM e ORDER BY combined_error, l_suppkey LIMIT 10")
+def top10_error(spark, sf_dir):
+    return evaluate.best(_rollup(spark, sf_dir), ["l_suppkey"]).select("l_suppkey", "total_throws", "max_streak", "combined_error")
+
+
+@query(r"""SELECT p_partkey, regexp_extract(f, '^(.*)_([^_]*)_([^_]*)$', 1) AS video, upper(regexp_extract(f, '^(.*)_([^_]*)_([^_]*)$', 2)) AS model, CAST(regexp_extract(f, '^(.*)_([^_]*)_([^_]*)$', 3) AS INTEGER) AS resolution
+FROM (SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN p_brand ELSE replace(p_name, ' ', '_') || '.mov_' || p_brand || '_' || CAST(p_size AS VARCHAR) END AS f FROM part) WHERE regexp_matches(f, '^(.*)_([^_]*)_([^_]*)$')""")
+def folder_name_parse(spark, sf_dir):
+    name = F.when(F.col("p_partkey") % 10 == 0, F.col("p_brand")).otherwise(F.concat(F.translate("p_name", " ", "_"), F.lit(".mov_"), "p_brand", F.lit("_"), F.col("p_size").cast("string")))
+    found = table(spark, sf_dir, "part").select("p_partkey", evaluate.folder_parts(name).alias("f")).where("f is not null")
+    return found.select("p_partkey", "f.video", "f.model", "f.resolution")
+
+
+# frames, boxes, classes
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_id % 2 = 0")
+def stride_sample(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumnRenamed("event_id", "frame_idx")
+    return files.every(rows).select(F.col("frame_idx").alias("event_id"), "user_id")
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_id >= 15 AND event_id < 300")
+def clip_range(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumnRenamed("event_id", "frame_idx")
+    return files.clip(rows, 0.5, 10.0, 30.0).select(F.col("frame_idx").alias("event_id"), "user_id")
+
+
+@query("""SELECT l_orderkey, l_linenumber FROM (SELECT *, CAST(trunc(l_quantity * 1.5) AS INTEGER) AS w, CAST(trunc(l_tax * 600 + 20) AS INTEGER) AS h FROM lineitem)
+WHERE w * h > CASE WHEN l_linenumber = 1 THEN 2500 ELSE 800 END AND CASE WHEN h > 0 THEN w / CAST(h AS DOUBLE) ELSE 0 END > 0.8 AND CASE WHEN h > 0 THEN w / CAST(h AS DOUBLE) ELSE 0 END < 1.2""")
+def noise_filter(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem")
+    gate = scalar.noise_gate(F.lit(0), F.lit(0), F.col("l_quantity") * 1.5, F.col("l_tax") * 600 + 20, F.col("l_linenumber") == 1)
+    return rows.where(gate).select("l_orderkey", "l_linenumber")
+
+
+@query("""SELECT l_orderkey, l_linenumber, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (l_quantity + l_quantity * 2) / 2 / 40 - 0.5)) AS cx, round(l_discount * 10 / 40, 6) AS w FROM lineitem""")
+def clamp_norm(spark, sf_dir):
+    box = scalar.centre_and_size(F.col("l_quantity"), F.lit(0.0), F.col("l_quantity") * 2, F.lit(1.0), F.lit(40), F.lit(40))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", scalar.clamp01(box["cx"] - 0.5).alias("cx"), F.round(F.col("l_discount") * 10 / 40, 6).alias("w"))
+
+
+@query("SELECT p_partkey, p_size FROM part WHERE p_size IN (32, 47) AND p_retailprice >= 0.1")
+def class_filter(spark, sf_dir):
+    return table(spark, sf_dir, "part").where(scalar.class_gate(F.col("p_size"), [32, 47]) & (F.col("p_retailprice") >= 0.1)).select("p_partkey", "p_size")
+
+
+@query("SELECT l_orderkey, arg_max(l_linenumber, (l_extendedprice, -l_linenumber)) AS best, arg_min(l_linenumber, (abs(l_quantity - 25), l_linenumber)) AS nearest FROM lineitem GROUP BY l_orderkey")
+def best_detection(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem")
+    return rows.groupBy("l_orderkey").agg(F.max_by("l_linenumber", F.struct("l_extendedprice", -F.col("l_linenumber"))).alias("best"), F.min_by("l_linenumber", F.struct(F.abs(F.col("l_quantity") - 25), "l_linenumber")).alias("nearest"))
+
+
+@query("""WITH b AS (SELECT l_orderkey, l_linenumber, CAST(1 + l_partkey % 9 AS INTEGER) AS crops, l_quantity * 12 AS x, l_discount * 6000 AS y FROM lineitem),
+c AS (SELECT *, CAST(ceil(sqrt(CAST(crops AS DOUBLE))) AS INTEGER) AS grid FROM b), d AS (SELECT *, 640 // grid AS cell FROM c)
+SELECT l_orderkey, l_linenumber, CAST(floor((y + y + 10) / 2 / cell) * grid + floor((x + x + 10) / 2 / cell) AS INTEGER) AS crop FROM d WHERE floor((y + y + 10) / 2 / cell) * grid + floor((x + x + 10) / 2 / cell) < crops""")
+def mosaic_mapping(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (1 + F.col("l_partkey") % 9).cast("int").alias("crops"), (F.col("l_quantity") * 12).alias("x"), (F.col("l_discount") * 6000).alias("y"))
+    grid = scalar.mosaic_grid(F.col("crops"), F.lit(640))
+    crop = scalar.mosaic_box({"x1": F.col("x"), "x2": F.col("x") + 10, "y1": F.col("y"), "y2": F.col("y") + 10}, F.col("crops"), grid["cell"], grid["grid"])
+    return rows.select("l_orderkey", "l_linenumber", crop.alias("crop")).where("crop is not null")
+
+
+# commands
+
+
+@query("""SELECT conv_id, turn, contains(lower(text), 'ball') OR contains(lower(text), 'bowl') AS ball, contains(lower(text), 'background') OR (contains(lower(text), 'back') AND contains(lower(text), 'ground')) AS background, contains(lower(text), 'reset') AS reset FROM conversations""")
+def voice_commands(spark, sf_dir):
+    return commands.commands(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "ball", "background", "reset")
+
+
+@query("""SELECT conv_id, max_by(text, turn) AS last_command FROM conversations WHERE contains(lower(text), 'ball') OR contains(lower(text), 'bowl') OR contains(lower(text), 'background') OR (contains(lower(text), 'back') AND contains(lower(text), 'ground')) OR contains(lower(text), 'reset') GROUP BY conv_id""")
+def last_command(spark, sf_dir):
+    return commands.last_command(table(spark, sf_dir, "conversations"), ["conv_id"], "turn")
+
+
+# signatures
+
+_MERGED = "WITH m AS (SELECT label, pos, round(avg(CAST(v AS DOUBLE)), 6) AS mean FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) GROUP BY label, pos)"
+
+
+@query(_MERGED + " SELECT label, CAST(pos AS INTEGER) AS pos, mean FROM m")
+def signature_merge(spark, sf_dir):
+    return signature.merge(table(spark, sf_dir, "embeddings"), ["label"], "embedding").withColumn("mean", F.round("mean", 6))
+
+
+@query(_MERGED + " SELECT label, list(round((mean - lo) * 255 / (hi - lo), 3) ORDER BY pos) AS merged FROM (SELECT *, min(mean) OVER (PARTITION BY label) AS lo, max(mean) OVER (PARTITION BY label) AS hi FROM m) GROUP BY label")
+def signature_minmax(spark, sf_dir):
+    merged = signature.merge(table(spark, sf_dir, "embeddings"), ["label"], "embedding").withColumn("mean", F.round("mean", 6))
+    out = signature.as_vectors(merged, ["label"])
+    return out.select("label", F.transform(signature.min_max(F.col("merged")), lambda x: F.round(x, 3)).alias("merged"))
+
+
+@query("""WITH h AS (SELECT event_type, CAST(floor(value * 36 / 180) AS INTEGER) AS bin, count(*) AS n FROM events WHERE value >= 0 AND value < 180 AND event_id % 100 > 30 GROUP BY 1, 2),
+b AS (SELECT *, count(*) OVER w AS k, min(n) OVER w AS lo0, max(n) OVER w AS hi FROM h WINDOW w AS (PARTITION BY event_type))
+SELECT event_type, bin, n, round(CASE WHEN hi > CASE WHEN k < 36 THEN 0 ELSE lo0 END THEN (n - CASE WHEN k < 36 THEN 0 ELSE lo0 END) * 255.0::DOUBLE / (hi - CASE WHEN k < 36 THEN 0 ELSE lo0 END) ELSE 0 END, 6) AS level FROM b""")
+def hue_histogram(spark, sf_dir):
+    pixels = table(spark, sf_dir, "events").select("event_type", F.col("value").alias("hue"), (F.col("event_id") % 100).alias("saturation"))
+    return signature.stretched(signature.hue_histogram(pixels, ["event_type"]), ["event_type"], 36).withColumn("level", F.round("level", 6))
+
+
+# tracking
+
+
+@query()
+def nearest_assignment(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 25).alias("frame"), F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    found = tracking.match(e.where("id % 2 = 0"), e.where("id % 2 = 1"), ["frame"], 0.5)
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+@query()
+def kalman_smooth(spark, sf_dir):
+    rows = signal(spark, sf_dir).withColumn("seconds", F.col("t") / 1e6)
+    return tracking.smooth(rows.withColumn("x", F.col("value") / 500).withColumn("y", F.col("value") / 500), ["user_id"], "event_id", "seconds", "x", "y").select("user_id", "event_id", F.round("x", 6).alias("x"), F.round("vx", 6).alias("vx"))
+
+
+@query()
+def track_objects(spark, sf_dir):
+    """Every user's day is a video of 1440 frames, an event a box."""
+    rows = signal(spark, sf_dir)
+    day = F.floor((F.col("t") - ORIGIN) / (24 * HOUR))
+    minute = F.floor((F.col("t") - ORIGIN) / 60_000_000) % 1440
+    x, y = F.col("value") % 100 * 6, F.col("value")
+    boxes = rows.select(F.concat(F.lit("day"), day.cast("string")).alias("video_id"), minute.cast("int").alias("frame_idx"), (minute / 30.0).alias("timestamp"), F.col("event_id").cast("int").alias("det_idx"), x.alias("x1"), y.alias("y1"), (x + 20).alias("x2"), (y + 20).alias("y2"), F.lit(0.5).alias("confidence"), F.lit(32).alias("class_id"))
+    videos = boxes.select("video_id").distinct().select("video_id", F.lit(30.0).alias("fps"), F.lit(640).alias("width"), F.lit(512).alias("height"), F.lit(1440).alias("frame_count"))
+    return tracking.track(boxes, videos, stride=1)
+
+
+# streams
+
+
+def _to_table(stream: DataFrame, name: str, mode: str) -> DataFrame:
+    """Runs a stream over what is there now and gives its written output."""
+    spark = stream.sparkSession
+    path = new_path(spark, name)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/data")
+
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/log").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/data")
+
+
+def _stream(spark, sf_dir) -> DataFrame:
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque*").select("user_id", "event_id", "value", F.timestamp_micros(scalar.micros("ts")).alias("at"))
+
+
+@query(_RUNS + " SELECT * FROM runs")
+def stream_runs(spark, sf_dir):
+    found = _to_table(live.stream_runs(_stream(spark, sf_dir), ["user_id"], "at", RUN_GAP), "stream-runs", "complete")
+    return found.select("user_id", F.unix_micros("start_time").alias("start_time"), F.unix_micros("end_time").alias("end_time"), "n_events")
+
+
+@query()
+def stream_peaks(spark, sf_dir):
+    points = _stream(spark, sf_dir).select("user_id", (F.unix_micros("at") / 1e6).alias("t"), "value")
+    return _to_table(live.live_peaks(points, "user_id", "t", "value", prominence=PROMINENCE), "stream-peaks", "append").withColumnRenamed("key", "user_id")

@@ -9,19 +9,23 @@ from tempora.config import DEFAULT
 from tempora.functions.scalar import round4
 
 
-def _parabola(points: list[tuple[Column, Column]]) -> tuple[Column, Column, Column]:
-    """a, b, c of the least-squares a t^2 + b t + c through (t, y) points; points with a null t are left out."""
-    s = [sum((F.coalesce(_power(t, k), F.lit(0.0)) for t, _ in points), F.lit(0.0)) for k in range(5)]
-    r = [sum((F.coalesce(_power(t, k) * y, F.lit(0.0)) for t, y in points), F.lit(0.0)) for k in range(3)]
+def _with_parabola(rows: DataFrame, points: list[tuple[Column, Column]]) -> DataFrame:
+    """Adds a, b, c of the least-squares a t^2 + b t + c through (t, y) points; points with a null t are left out.
+
+    Sums, determinants and quotients are columns of their own, which keeps the generated code small.
+    """
+    sums = {f"s{k}": sum((F.coalesce(_power(t, k), F.lit(0.0)) for t, _ in points), F.lit(0.0)) for k in range(5)}
+    sums |= {f"r{k}": sum((F.coalesce(_power(t, k) * y, F.lit(0.0)) for t, y in points), F.lit(0.0)) for k in range(3)}
+    rows = rows.withColumns(sums)
 
     def det(m):
-        return m[0][0] * (m[1][1] * m[2][2] - m[1][2] * m[2][1]) - m[0][1] * (m[1][0] * m[2][2] - m[1][2] * m[2][0]) + m[0][2] * (m[1][0] * m[2][1] - m[1][1] * m[2][0])
+        c = F.col
+        return c(m[0][0]) * (c(m[1][1]) * c(m[2][2]) - c(m[1][2]) * c(m[2][1])) - c(m[0][1]) * (c(m[1][0]) * c(m[2][2]) - c(m[1][2]) * c(m[2][0])) + c(m[0][2]) * (c(m[1][0]) * c(m[2][1]) - c(m[1][1]) * c(m[2][0]))
 
-    whole = [[s[4], s[3], s[2]], [s[3], s[2], s[1]], [s[2], s[1], s[0]]]
-    right = [r[2], r[1], r[0]]
-    parts = [det([[right[i] if j == k else whole[i][j] for j in range(3)] for i in range(3)]) for k in range(3)]
-    d = det(whole)
-    return tuple(F.when(d != 0, p / d) for p in parts)
+    whole = [["s4", "s3", "s2"], ["s3", "s2", "s1"], ["s2", "s1", "s0"]]
+    right = ["r2", "r1", "r0"]
+    rows = rows.withColumns({"d": det(whole)} | {f"d{k}": det([[right[i] if j == k else whole[i][j] for j in range(3)] for i in range(3)]) for k in range(3)})
+    return rows.withColumns({n: F.when(F.col("d") != 0, F.col(f"d{k}") / F.col("d")) for k, n in enumerate("abc")}).drop("d", "d0", "d1", "d2", *sums)
 
 
 def _power(t: Column, k: int) -> Column:
@@ -45,9 +49,8 @@ def fill_gaps(points: DataFrame, keys: list[str], max_gap: int = DEFAULT.max_fil
     gaps = rows.where((F.col("gap") > 1) & (F.col("gap") <= max_gap))
     t1 = F.col("timestamp")
     at = [(F.col(f"timestamp{n}") - t1, F.col(f"pos_y{n}")) for n in ("_p", "", "_n", "_m")]
-    a, b, c = _parabola(at)
     three = F.col("timestamp_p").isNotNull() | F.col("timestamp_m").isNotNull()
-    gaps = gaps.withColumn("a", F.when(three, a)).withColumn("b", F.when(three, b)).withColumn("c", F.when(three, c))
+    gaps = _with_parabola(gaps, at).withColumn("a", F.when(three, F.col("a")))
     gaps = gaps.withColumn("j", F.explode(F.sequence(F.lit(1), F.col("gap") - 1))).withColumn("alpha", F.col("j") / F.col("gap"))
 
     def line(col: str) -> Column:

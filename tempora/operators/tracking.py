@@ -195,6 +195,7 @@ def match(left: DataFrame, right: DataFrame, keys: list[str], limit: float) -> D
     left and right: (*keys, id, x, y). The assignment looks at all pairs of a key, so keys are meant to be small (a frame).
     """
     head = left.select(*keys).schema
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # fresh columns, where both sides come of one table
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         a, b = a.sort_by("id"), b.sort_by("id")
