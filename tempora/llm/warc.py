@@ -121,10 +121,13 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, date: str = "1970-01-01
     full = full.withColumn("digest", F.sha1(F.col("html").cast("binary")))
     small = materialize(full.select("page_id", "digest", F.octet_length("html").alias("size")), "digests")
     first = small.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("least"))
-    chosen = small.select("page_id", "digest", (F.col("size") < min_bytes).alias("short")).distinct().join(first, "digest", "left").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "short", "least")
-    same = F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d"))
-    dealt = full.repartition(n, "page_id").join(chosen.repartition(n, "p").hint("shuffle_hash"), same)
-    rows = dealt.select("page_id", "url", "html", "short", "least", "digest").sortWithinPartitions("page_id", "digest").drop("digest")
+    chosen = small.select("page_id", "digest", (F.col("size") < min_bytes).alias("short")).distinct().join(first, "digest", "left")
+    # one row a page and one plain join key, so that the join keeps the partitioning and pages are dealt out once
+    key = F.coalesce("page_id", F.lit(-(1 << 63)))
+    chosen = chosen.groupBy(key.alias("other_key")).agg(F.collect_list(F.struct("digest", "short", "least")).alias("options"))
+    dealt = full.withColumn("key", key).repartition(n, "key").join(chosen.repartition(n, "other_key").hint("shuffle_hash"), F.col("key") == F.col("other_key"))
+    option = F.get(F.filter("options", lambda x: x["digest"] == F.col("digest")), F.lit(0))
+    rows = dealt.select("page_id", "url", "html", option["short"].alias("short"), option["least"].alias("least"), "digest").sortWithinPartitions("page_id", "digest").drop("digest")
     return materialize(rows.mapInArrow(_write(new_path(spark, "warc"), date, archive_bytes), INDEX), "warc-index")
 
 
