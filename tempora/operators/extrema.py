@@ -28,18 +28,20 @@ def extrema(signal: DataFrame, keys: list[str], order: str, y: str, prominence:
 def extrema_sql(signal: DataFrame, keys: list[str], order: str, y: str, prominence: float, sign: int = 1) -> DataFrame:
     """The same by windows and a self-join; its work grows with the square of a series, so it is for short ones."""
     spark = signal.sparkSession
-    key = ", ".join(keys)
-    signal.createOrReplaceTempView("tempora_signal")
+    key, inner = ", ".join(keys), ", ".join(f"in_{k}" for k in keys)
+    named = ", ".join(f"in_{c} AS {c}" for c in signal.columns)
+    columns = ", ".join(f"s.{c}" for c in signal.columns)
+    signal.select(*[F.col(c).alias(f"in_{c}") for c in signal.columns]).createOrReplaceTempView("tempora_signal")
     on = lambda a, b: " AND ".join(f"{a}.{k} <=> {b}.{k}" for k in keys)
     return spark.sql(f"""
-        WITH s AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) - 1 AS i, {sign} * {y} AS v FROM tempora_signal),
-        c AS (SELECT *, sum(CASE WHEN v = pv THEN 0 ELSE 1 END) OVER (PARTITION BY {key} ORDER BY i) AS g FROM (SELECT *, lag(v) OVER (PARTITION BY {key} ORDER BY i) AS pv FROM s)),
-        f AS (SELECT {key}, g, any_value(v) AS v, min(i) AS a, max(i) AS b FROM c GROUP BY {key}, g),
+        WITH s AS (SELECT {named}, row_number() OVER (PARTITION BY {inner} ORDER BY in_{order}) - 1 AS tempora_i, {sign} * in_{y} AS tempora_v FROM tempora_signal),
+        c AS (SELECT *, sum(CASE WHEN tempora_v = pv THEN 0 ELSE 1 END) OVER (PARTITION BY {key} ORDER BY tempora_i) AS g FROM (SELECT *, lag(tempora_v) OVER (PARTITION BY {key} ORDER BY tempora_i) AS pv FROM s)),
+        f AS (SELECT {key}, g, any_value(tempora_v) AS v, min(tempora_i) AS a, max(tempora_i) AS b FROM c GROUP BY {key}, g),
         m AS (SELECT *, (a + b) div 2 AS p FROM (SELECT *, lag(v) OVER (PARTITION BY {key} ORDER BY a) AS l, lead(v) OVER (PARTITION BY {key} ORDER BY a) AS r FROM f) WHERE l < v AND r < v),
-        w AS (SELECT {", ".join("m." + k for k in keys)}, m.p, m.v, max(s.i) FILTER (WHERE s.v > m.v AND s.i < m.p) AS lo, min(s.i) FILTER (WHERE s.v > m.v AND s.i > m.p) AS hi FROM m JOIN s ON {on("m", "s")} GROUP BY {", ".join("m." + k for k in keys)}, m.p, m.v),
-        h AS (SELECT {", ".join("w." + k for k in keys)}, w.p, w.v - greatest(min(s.v) FILTER (WHERE s.i <= w.p), min(s.v) FILTER (WHERE s.i >= w.p)) AS prominence
-              FROM w JOIN s ON {on("w", "s")} AND s.i > coalesce(w.lo, -1) AND s.i < coalesce(w.hi, 9223372036854775807) GROUP BY {", ".join("w." + k for k in keys)}, w.p, w.v)
-        SELECT s.* EXCEPT (i, v), h.prominence FROM h JOIN s ON {on("h", "s")} AND h.p = s.i WHERE h.prominence >= {prominence}""")
+        w AS (SELECT {", ".join("m." + k for k in keys)}, m.p, m.v, max(s.tempora_i) FILTER (WHERE s.tempora_v > m.v AND s.tempora_i < m.p) AS lo, min(s.tempora_i) FILTER (WHERE s.tempora_v > m.v AND s.tempora_i > m.p) AS hi FROM m JOIN s ON {on("m", "s")} GROUP BY {", ".join("m." + k for k in keys)}, m.p, m.v),
+        h AS (SELECT {", ".join("w." + k for k in keys)}, w.p, w.v - greatest(min(s.tempora_v) FILTER (WHERE s.tempora_i <= w.p), min(s.tempora_v) FILTER (WHERE s.tempora_i >= w.p)) AS prominence
+              FROM w JOIN s ON {on("w", "s")} AND s.tempora_i > coalesce(w.lo, -1) AND s.tempora_i < coalesce(w.hi, 9223372036854775807) GROUP BY {", ".join("w." + k for k in keys)}, w.p, w.v)
+        SELECT {columns}, h.prominence FROM h JOIN s ON {on("h", "s")} AND h.p = s.tempora_i WHERE h.prominence >= {prominence}""")
 
 
 def places(y, prominence: float, width: float | None = None) -> list[int]:
