@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,3 +20,17 @@ def last_command(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The latest text of each key that holds a command."""
     held = commands(rows).where("ball or background or reset")
     return held.groupBy(*keys).agg(F.max_by("text", order).alias("last_command"))
+
+
+def consumed(frames: DataFrame, rows: DataFrame, keys: list[str], time: str = "timestamp") -> DataFrame:
+    """frames plus ball, background and reset: whether such a command came since the frame before.
+
+    A command is taken by the next frame of its key and then forgotten; several of a kind before a frame are one.
+    """
+    kinds = ("ball", "background", "reset")
+    marks = commands(rows).select(*keys, time, *[F.col(k).cast("int").alias(f"tempora_{k}") for k in kinds])
+    both = frames.withColumns({f"tempora_{k}": F.lit(0) for k in kinds}).withColumn("tempora_frame", F.lit(1)).unionByName(marks.withColumn("tempora_frame", F.lit(0)), allowMissingColumns=True)
+    order = Window.partitionBy(*keys).orderBy(time, "tempora_frame").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumns({f"tempora_{k}": F.sum(f"tempora_{k}").over(order) for k in kinds}).where("tempora_frame = 1")
+    order = Window.partitionBy(*keys).orderBy(time)
+    return both.withColumns({k: F.col(f"tempora_{k}") > F.coalesce(F.lag(f"tempora_{k}").over(order), F.lit(0)) for k in kinds}).drop("tempora_frame", *[f"tempora_{k}" for k in kinds])

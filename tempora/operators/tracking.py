@@ -232,3 +232,24 @@ def smooth(rows: DataFrame, keys: list[str], order: str, time: str, x: str, y: s
         return table.select([*keys, order]).append_column("x", pa.array(s[:, 0])).append_column("y", pa.array(s[:, 1])).append_column("vx", pa.array(s[:, 2])).append_column("vy", pa.array(s[:, 3]))
 
     return rows.groupBy(*keys).applyInArrow(run, out)
+
+
+def coast(rows: DataFrame, keys: list[str], order: str, x: str, y: str, alpha: float = 0.5, fall: float = 1.0) -> DataFrame:
+    """(*keys, order, x, y): a plain tracker of one object in pixels, folded over its rows in order.
+
+    Speed is an exponential mean of the moves; a row without a position moves on by the speed, which then gains `fall`
+    downwards. Rows before the first position have none.
+    """
+    listed = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))).alias("s"))
+    kind = dict(rows.dtypes)[order]
+    none = F.lit(None).cast("double")
+    start = F.struct(none.alias("x"), none.alias("y"), F.lit(0.0).alias("vx"), F.lit(0.0).alias("vy"), F.array().cast(f"array<struct<o:{kind},x:double,y:double>>").alias("out"))
+
+    def step(a, r):
+        seen, known = r["x"].isNotNull(), a["x"].isNotNull()
+        speed = lambda c: F.when(seen & known, (r[c] - a[c]) * alpha + a["v" + c] * (1 - alpha)).otherwise(a["v" + c])
+        nx, ny = F.when(seen, r["x"]).otherwise(a["x"] + a["vx"]), F.when(seen, r["y"]).otherwise(a["y"] + a["vy"])
+        vy = F.when(~seen & known, a["vy"] + fall).otherwise(speed("y"))
+        return F.struct(nx.alias("x"), ny.alias("y"), speed("x").alias("vx"), vy.alias("vy"), F.concat(a["out"], F.array(F.struct(r["o"].alias("o"), nx.alias("x"), ny.alias("y")))).alias("out"))
+
+    return listed.select(*keys, F.explode(F.aggregate("s", start, step)["out"]).alias("p")).select(*keys, F.col("p.o").alias(order), "p.x", "p.y")

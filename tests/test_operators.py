@@ -288,3 +288,16 @@ def test_cached(spark, tmp_path):
     for force in (False, False, True):
         assert files.cached(spark, path, make, force).count() == 3
     assert len(made) == 2
+
+
+def test_consumed_commands(spark):
+    frames = spark.createDataFrame([("a", float(t), t) for t in (1, 3, 5)], "k string, timestamp double, n int")
+    said = spark.createDataFrame([("a", 1.5, "register ball"), ("a", 2.0, "ball"), ("a", 4.0, "reset"), ("a", 4.5, "hello"), ("a", 6.0, "reset")], "k string, timestamp double, text string")
+    got = {r.n: (r.ball, r.background, r.reset) for r in commands.consumed(frames, said, ["k"]).collect()}
+    assert got == {1: (False, False, False), 3: (True, False, False), 5: (False, False, True)}
+
+
+def test_coast(spark):
+    rows = spark.createDataFrame([("a", 0, None, None), ("a", 1, 10.0, 10.0), ("a", 2, 14.0, 12.0), ("a", 3, None, None), ("a", 4, None, None), ("a", 5, 30.0, 30.0)], "k string, i int, x double, y double")
+    got = [(r.x, r.y) for r in tracking.coast(rows, ["k"], "i", "x", "y").orderBy("i").collect()]
+    assert got == [(None, None), (10, 10), (14, 12), (16, 13), (18, 15), (30, 30)]
