@@ -105,10 +105,11 @@ def _range_of(key: Column, splits: list[int]) -> Column:
 
 
 def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
-    """(doc_id, text, fingerprint, next_text, next_fingerprint), next by doc_id, after the last row the first.
+    """(doc_id, text, next_text, range, place, end), next by doc_id, after the last row the first.
 
     Rows are dealt once into ranges of doc_id between quantiles, and lead() works within a range. A copy of the first
-    row of the next range stands at the end of each range, so no text is dealt out twice and no task holds all rows.
+    row of the next range (end = 1) stands at the end of each range, so no text is dealt out twice and no task holds
+    all rows; the copies stay in the result, for further leads by (range, place), and have a null next_text.
     """
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -118,27 +119,30 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     splits = sorted(set(quantiles or []))
     ranged = base.withColumn("range", _range_of(key, splits))
     starts = sorted((r.start, r.range) for r in ranged.groupBy("range").agg(F.min(key).alias("start")).collect())
-    if not starts:
-        return with_fingerprint(base, "text", "fingerprint").withColumn("next_text", F.col("text")).withColumn("next_fingerprint", F.col("fingerprint"))
     before = {r: starts[i - 1][1] for i, (_, r) in enumerate(starts)}
     first = ranged.where(key.isin([s for s, _ in starts])).groupBy("range").agg(F.min(F.struct(key.alias("k"), "text")).alias("row"))
-    ends = first.select(F.lit(None).cast("long").alias("doc_id"), F.col("row.text").alias("text"), F.get(F.array(*[F.lit(before.get(i, 0)) for i in range(max(before) + 1)]), F.col("range")).alias("range"), F.lit(1).alias("end"))
-    rows = with_fingerprint(ranged.withColumn("end", F.lit(0)).unionByName(ends), "text", "fingerprint")
+    earlier = F.get(F.array(*[F.lit(before.get(i, 0)) for i in range(max(before, default=0) + 1)]), F.col("range"))
+    ends = first.select(F.lit(None).cast("long").alias("doc_id"), F.col("row.text").alias("text"), earlier.alias("range"), F.lit(1).alias("end"))
     order = Window.partitionBy("range").orderBy("end", F.col("doc_id").asc_nulls_first(), "text")
-    led = rows.withColumn("next", F.lead(F.struct("text", "fingerprint")).over(order)).where("end = 0")
-    return led.select("doc_id", "text", "fingerprint", F.col("next.text").alias("next_text"), F.col("next.fingerprint").alias("next_fingerprint"))
+    rows = ranged.withColumn("end", F.lit(0)).unionByName(ends)
+    return rows.withColumn("next_text", F.lead("text").over(order)).withColumn("place", F.row_number().over(order))
 
 
 def compared(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every text and of its edited text, and their likeness; one row a row of docs."""
+    """Fingerprints of every text and of its edited text, and their likeness; one row a row of docs.
+
+    Only texts are dealt out; the next fingerprint comes of a second lead over the same ranges.
+    """
     rows = with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
     moved = F.expr("CAST(n_chars div 4 AS INT)")
-    rows = rows.withColumn("edited", F.concat(F.col("text").substr(F.lit(1), F.col("n_chars").cast("int") - moved), F.col("next_text").substr(F.lit(1), moved))).drop("text", "next_text")
-    rows = with_fingerprint(rows, "edited", "edited_fingerprint")
+    rows = with_fingerprint(rows, "text", "fingerprint")
+    rows = rows.withColumn("edited", F.when(F.col("end") == 0, F.concat(F.col("text").substr(F.lit(1), F.col("n_chars").cast("int") - moved), F.col("next_text").substr(F.lit(1), moved)))).drop("text", "next_text")
+    rows = with_fingerprint(rows, "edited", "edited_fingerprint").withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).drop("edited")
+    rows = rows.withColumn("next_fingerprint", F.lead("fingerprint").over(Window.partitionBy("range").orderBy("place"))).where("end = 0")
     for c in ("fingerprint", "edited_fingerprint", "next_fingerprint"):
         rows = rows.withColumn(f"set_{c}", phrase_set(F.col(c)))
     near = lambda other: likeness(F.col("fingerprint"), F.col(other), F.col("set_fingerprint"), F.col(f"set_{other}"))
-    return rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("next_fingerprint").alias("near_next"))
+    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("next_fingerprint").alias("near_next"))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
