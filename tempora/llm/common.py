@@ -26,11 +26,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tempora/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def forget_at_exit(spark: SparkSession, path: str) -> None:
+    """Has the driver delete a written table when the application ends; until then every DataFrame over it holds."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes df to the shared folder and reads it back, so a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
+    df.write.parquet(path)
+    forget_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -10,8 +10,8 @@ one class of unknown words:
 
 d is the Good-Turing discount for counts up to TURING, with absolute discounting where the counts of counts allow none.
 alpha(v) is what the seen pairs of v leave over, divided by what their words leave of P, so every distribution sums to
-one exactly. All pairs are counted; those counted once give their mass to the backoff. p0 is the Good-Turing mass of
-the new. Where discounting leaves a context nothing, D(v) is c(v) + 1, else c(v).
+one exactly. All pairs are counted and kept. p0 is the Good-Turing mass of the new. Where discounting leaves a context
+nothing, D(v) is c(v) + 1, else c(v).
 
 How it runs: texts never move. Each task cuts its documents into chunks of some CHUNK tokens and asks for the distinct
 words and pairs of each: sorted 64-bit keys, delta-coded, dealt out by key range to shards. A shard adds up its keys
@@ -19,7 +19,7 @@ and answers every chunk with the counts, in the order of the question. A second
 each seen pair is accounted for by one chunk that holds it, a shard adds up the contexts and answers with weights. The
 last pass scores from the answers. A word or pair that makes a third of all text is one key of each chunk. Answers are
 tables in the shared folder, one directory a task, so a lost executor's tasks are simply run again; a checksum of each
-question guards against documents coming in another order.
+question guards against documents coming in another order, and the cut of the input is held fixed meanwhile.
 
 Nulls and odd rows: a null or empty text is its end alone; a null doc_id is learned from and is not held out; repeated
 rows count and score each; with nothing to learn from every score is 0; other columns are not read.
@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +38,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm.common import as_bytes, load, materialize, new_path, shuffle_partitions, whole_texts
+from tempora.llm.common import as_bytes, forget_at_exit, load, materialize, new_path, shuffle_partitions, whole_texts
 
 FOLDS, HELD_OUT = 7, 2
-TURING, MIN_PAIR = 5, 2
+#: Counts up to TURING are discounted; pairs counted fewer than MIN_PAIR times would give their mass to the backoff.
+TURING, MIN_PAIR = 5, 1
 CHUNK = 1_500_000
 SHARD_BYTES = 16 << 20
 WORDS, PAIRS, CONTEXTS = 0, 1, 2
@@ -377,6 +379,7 @@ def _write_answers(answers: DataFrame, name: str) -> tuple[str, DataFrame]:
     spark = answers.sparkSession
     path = new_path(spark, name)
     answers.repartition(shuffle_partitions(spark), "pid").sortWithinPartitions("pid", "chunk", "kind", "shard").write.partitionBy("pid").parquet(path)
+    forget_at_exit(spark, path)
     return path, spark.read.schema(answers.schema).parquet(path)
 
 
@@ -386,17 +389,31 @@ def _stats(answers: DataFrame, kind: int) -> list[int]:
     return [found.get(i, 0) for i in range(TURING + 3)]
 
 
+@contextmanager
+def _fixed_splits(spark: SparkSession):
+    """Input files are cut alike as long as this holds, whatever executors come and go."""
+    name = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, before or str(max(1, spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 def score_texts(docs: DataFrame, chunk: int = CHUNK, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """One row a row of docs(doc_id, text)."""
-    texts = _stable(whole_texts(docs))
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(4, -(-size // shard_bytes))
-    asked = texts.mapInArrow(_ask_counts(shards, chunk), ASK)
-    counts, table = _write_answers(asked.groupBy("kind", "shard").applyInArrow(_answer_counts, ANSWER), "counts")
-    levels = Levels(_stats(table, WORDS), _stats(table, PAIRS))
-    asked = texts.mapInArrow(_ask_weights(shards, chunk, [counts], levels), ASK)
-    weights, _ = _write_answers(asked.groupBy("kind", "shard").applyInArrow(_answer_weights, ANSWER), "weights")
-    return texts.mapInArrow(_score(chunk, [counts, weights], levels), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    """One row a row of docs(doc_id, text), as a written table."""
+    with _fixed_splits(docs.sparkSession):
+        texts = _stable(whole_texts(docs))
+        size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(4, -(-size // shard_bytes))
+        asked = texts.mapInArrow(_ask_counts(shards, chunk), ASK)
+        counts, table = _write_answers(asked.groupBy("kind", "shard").applyInArrow(_answer_counts, ANSWER), "counts")
+        levels = Levels(_stats(table, WORDS), _stats(table, PAIRS))
+        asked = texts.mapInArrow(_ask_weights(shards, chunk, [counts], levels), ASK)
+        weights, _ = _write_answers(asked.groupBy("kind", "shard").applyInArrow(_answer_weights, ANSWER), "weights")
+        scored = texts.mapInArrow(_score(chunk, [counts, weights], levels), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        return materialize(scored, "scores")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

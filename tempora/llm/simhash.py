@@ -47,7 +47,7 @@ def shingle_hashes(text: bytes, width: int = 3) -> list[int]:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     digest = xxhash.xxh64_intdigest
-    return [digest(joined[a:b], 42) for a, b in zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist())]
+    return [digest(joined[a:b], 42) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())]
 
 
 def _bit_sums(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -249,19 +249,17 @@ LINK_RUN = 1 << 20
 
 
 def _links_within(part: np.ndarray, value: np.ndarray, role: np.ndarray, fp: np.ndarray, radius: int):
-    """Rows are sorted by part and value. Compares the k-th next row of the same group, for k = 1, 2, ..."""
+    """Rows are sorted by part, value and role. Compares each exact row with the k-th next of its group, k = 1, 2, ..."""
     if not len(fp):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     new = np.concatenate(([True], (part[1:] != part[:-1]) | (value[1:] != value[:-1])))
-    start = np.maximum.accumulate(np.where(new, np.arange(len(fp)), 0))
     ends = np.append(np.flatnonzero(new)[1:], len(fp))
     left = ends[np.cumsum(new) - 1] - np.arange(len(fp)) - 1  # rows of the group after this one
-    del start
-    at = np.flatnonzero(left > 0)
+    at = np.flatnonzero((left > 0) & (role == 0))  # exact rows come first; two probes need not meet
     a_all, b_all, held, k = [], [], 0, 1
     while len(at):
         other = at + k
-        near = (np.bitwise_count(fp[at] ^ fp[other]) <= radius) & (fp[at] != fp[other]) & ((role[at] == 0) | (role[other] == 0))
+        near = (np.bitwise_count(fp[at] ^ fp[other]) <= radius) & (fp[at] != fp[other])
         if near.any():
             a_all.append(fp[at[near]])
             b_all.append(fp[other[near]])
@@ -349,7 +347,7 @@ def links(nodes: DataFrame, radius: int = 3, group_cap: int = 20000) -> DataFram
     moments = _moments(nodes)
     groups = {m: correlated_groups(moments, n, m) for m in range(2, radius + 2)} if radius > 0 else {1: [list(range(BITS))]}
     parts, thresholds = plan(n, moments, _part_counts(nodes, groups), groups, radius)
-    found = nodes.select("fp").mapInArrow(_probe_rows(parts, thresholds), "part int, value long, role byte, fp long").repartition(shuffle_partitions(spark), "part", "value").sortWithinPartitions("part", "value").mapInArrow(_verify(radius, group_cap), "kind byte, u long, v long")
+    found = nodes.select("fp").mapInArrow(_probe_rows(parts, thresholds), "part int, value long, role byte, fp long").repartition(shuffle_partitions(spark), "part", "value").sortWithinPartitions("part", "value", "role").mapInArrow(_verify(radius, group_cap), "kind byte, u long, v long")
     found = materialize(found, "links")
     near = found.where("kind = 0").select("u", "v")
     crowded = found.where("kind = 1").select("u", "v")

@@ -109,8 +109,10 @@ def _write(folder: str, date: str, archive_bytes: int):
     return run
 
 
-def write_archives(pages: DataFrame, min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Writes a record per page to archives in the shared folder and returns their index (a written table).
+def write_archives(pages: DataFrame, min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES, folder: str | None = None) -> DataFrame:
+    """Writes a record per page to archives in `folder` (by default a new one in the shared folder); gives their index.
+
+    The index is a written table, kept while the application runs; the archives stay.
 
     Only digests are grouped and joined; the pages themselves are dealt out once, by page_id. Payloads of fewer than
     min_bytes bytes are all responses.
@@ -128,7 +130,7 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, date: str = "1970-01-01
     dealt = full.withColumn("key", key).repartition(n, "key").join(chosen.repartition(n, "other_key").hint("shuffle_hash"), F.col("key") == F.col("other_key"))
     option = F.get(F.filter("options", lambda x: x["digest"] == F.col("digest")), F.lit(0))
     rows = dealt.select("page_id", "url", "html", option["short"].alias("short"), option["least"].alias("least"), "digest").sortWithinPartitions("page_id", "digest").drop("digest")
-    return materialize(rows.mapInArrow(_write(new_path(spark, "warc"), date, archive_bytes), INDEX), "warc-index")
+    return materialize(rows.mapInArrow(_write((folder or new_path(spark, "warc")).rstrip("/"), date, archive_bytes), INDEX), "warc-index")
 
 
 def coalesced(ranges: list[tuple[int, int]], gap: int = GAP, run: int = RUN) -> list[tuple[int, int, list[int]]]:

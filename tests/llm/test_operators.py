@@ -472,8 +472,10 @@ def test_top_k_bounds_large_numbers():
 # 10
 
 
+@pytest.mark.parametrize("least", [1, 2])
 @pytest.mark.parametrize("chunk", [300, 10**9])
-def test_katz(spark, odd, chunk):
+def test_katz(spark, odd, chunk, least, monkeypatch):
+    monkeypatch.setattr(katz, "MIN_PAIR", least)
     docs = [(d, t) for d, t in texts(odd)] + [(500 + i, f"of the river {i % 3} of the market") for i in range(60)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     got = katz.score_texts(df, chunk, 4000).collect()
@@ -486,14 +488,14 @@ def test_katz(spark, odd, chunk):
             two.update(zip(["\0start", *w], w))
     n, v = sum(one.values()), len(one)
     counts = lambda c: [sum(x == r for x in c.values()) for r in range(1, 7)]
-    d1, d2 = katz.discounts(counts(one)), katz.discounts(counts(two), 2)
+    d1, d2 = katz.discounts(counts(one)), katz.discounts(counts(two), katz.MIN_PAIR)
     keep = lambda d, c: c * (d[c] if c <= 5 else 1.0)
     z, p0 = sum(keep(d1, c) for c in one.values()), counts(one)[0] / n
     p = lambda w: (1 - p0) * keep(d1, one[w]) / z if w in one else p0
     context = one + Counter({"\0start": one["\0end"]})
     after = defaultdict(list)
     for (a, b), c in two.items():
-        if c >= 2:
+        if c >= katz.MIN_PAIR:
             after[a].append((b, c))
 
     def model(a):
@@ -505,7 +507,7 @@ def test_katz(spark, odd, chunk):
 
     def probability(a, b):
         d, alpha = model(a)
-        return keep(d2, two[a, b]) / d if two[a, b] >= 2 else alpha * p(b)
+        return keep(d2, two[a, b]) / d if two[a, b] >= katz.MIN_PAIR else alpha * p(b)
 
     for a in ["\0start", "the", "of", "river", "never"]:
         assert sum(probability(a, b) for b in one) + model(a)[1] * p0 == pytest.approx(1)
