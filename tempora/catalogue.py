@@ -178,7 +178,7 @@ features AS (SELECT g.f AS frame_idx, CAST(count(v.track_id) AS INTEGER) AS num_
 @query(f"WITH {FEATURES} SELECT * FROM features")
 def frame_features(spark, sf_dir):
     found = features.frame_features(hourly(spark, sf_dir), _grid(spark))
-    milli = lambda c: F.floor(F.col(c) * 1000 + 0.37).cast("long")  # noqa: E731  no value of two decimals over few points ends on such a bound
+    milli = lambda c: F.floor(F.col(c) * 1000 + 0.37).cast("long")  # noqa: E731  values of two decimals don't end on such a bound
     return found.select("frame_idx", "num_active_tracks", milli("mean_velocity_y").alias("mean_milli"), milli("std_velocity_y").alias("std_milli"))
 
 
@@ -229,7 +229,28 @@ def gapfill_linear(spark, sf_dir):
     return found.where("is_filled").select("track_id", "frame_idx", "pos_y", "pos_x")
 
 
-@query()
+def _parabola_sql() -> str:
+    """The closed form of the fit, term by term as the operator adds them."""
+    points = [("t0", "y0"), ("0.0::DOUBLE", "pos_y"), ("t2", "y2"), ("t3", "y3")]
+    power = lambda t, k: "*".join([f"(CASE WHEN {t} IS NOT NULL THEN 1.0::DOUBLE END)", *[t] * k])
+    sums = [f"0.0::DOUBLE + {' + '.join(f'coalesce({power(t, k)}, 0.0::DOUBLE)' for t, _ in points)} AS s{k}" for k in range(5)]
+    sums += [f"0.0::DOUBLE + {' + '.join(f'coalesce({power(t, k)}*{y}, 0.0::DOUBLE)' for t, y in points)} AS r{k}" for k in range(3)]
+    det = lambda m: f"{m[0][0]}*({m[1][1]}*{m[2][2]} - {m[1][2]}*{m[2][1]}) - {m[0][1]}*({m[1][0]}*{m[2][2]} - {m[1][2]}*{m[2][0]}) + {m[0][2]}*({m[1][0]}*{m[2][1]} - {m[1][1]}*{m[2][0]})"
+    whole, right = [["s4", "s3", "s2"], ["s3", "s2", "s1"], ["s2", "s1", "s0"]], ["r2", "r1", "r0"]
+    parts = [f"{det([[right[i] if j == k else whole[i][j] for j in range(3)] for i in range(3)])} AS d{k}" for k in range(3)]
+    return _even(f"""WITH {HOURLY},
+n AS (SELECT *, CAST(lead(frame_idx) OVER w AS DOUBLE) AS f2, lead(pos_y) OVER w AS y2, lead(pos_x) OVER w AS x2, CAST(lag(frame_idx) OVER w AS DOUBLE) - frame_idx AS t0, lag(pos_y) OVER w AS y0, CAST(lead(frame_idx) OVER w AS DOUBLE) - frame_idx AS t2, CAST(lead(frame_idx, 2) OVER w AS DOUBLE) - frame_idx AS t3, lead(pos_y, 2) OVER w AS y3 FROM hourly WINDOW w AS (PARTITION BY track_id ORDER BY frame_idx)),
+s AS (SELECT *, {", ".join(sums)} FROM n WHERE f2 - frame_idx BETWEEN 2 AND 10),
+d AS (SELECT *, {det(whole)} AS d, {", ".join(parts)} FROM s),
+q AS (SELECT *, CASE WHEN d <> 0 AND (y0 IS NOT NULL OR y3 IS NOT NULL) THEN d0 / d END AS a, CASE WHEN d <> 0 THEN d1 / d END AS b, CASE WHEN d <> 0 THEN d2 / d END AS c, unnest(range(1, CAST(f2 - frame_idx AS INTEGER))) AS j FROM d),
+t AS (SELECT *, j / (f2 - frame_idx) AS alpha, (frame_idx + (f2 - frame_idx) * (j / (f2 - frame_idx))) - frame_idx AS t, CASE WHEN abs(a) > 1e-4 THEN -b / (2 * a) END AS tt FROM q),
+v AS (SELECT *, (a * tt + b) * tt + c AS ty FROM t)
+SELECT track_id, CAST(frame_idx + j AS INTEGER) AS frame_idx,
+  round_even_((CASE WHEN a IS NULL THEN pos_y + (y2 - pos_y) * alpha WHEN coalesce(abs(t - tt) <= 0.7::DOUBLE AND ty < pos_y AND ty < y2, false) THEN ty ELSE (a * t + b) * t + c END) * 1e4) / 1e4 AS pos_y,
+  round_even_((pos_x + (x2 - pos_x) * alpha) * 1e4) / 1e4 AS pos_x FROM v""")
+
+
+@query(_parabola_sql())
 def gapfill_quadratic(spark, sf_dir):
     found = gapfill.fill_gaps(hourly(spark, sf_dir), ["track_id"])
     return found.where("is_filled").select("track_id", "frame_idx", "pos_y", "pos_x")
@@ -240,7 +261,7 @@ def gapfill_quadratic(spark, sf_dir):
 
 @query(f"""{_RUNS},
 m AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY start_time) AS k, start_time, end_time, n_events FROM runs),
-f AS (SELECT user_id, event_id, t FROM signal WHERE event_id % 5 = 0)
+f AS (SELECT user_id, event_id, t FROM signal)
 SELECT f.user_id, f.event_id,
   (SELECT count(*) FROM signal s WHERE s.user_id = f.user_id AND s.event_type <> 'click' AND s.t <= f.t) AS session_throws,
   coalesce((SELECT avg(n_events) FROM m WHERE m.user_id = f.user_id AND m.end_time < f.t), 0) AS mean_throws,
@@ -254,7 +275,7 @@ def overlay_metrics(spark, sf_dir):
     rows = signal(spark, sf_dir).withColumn("video_id", F.col("user_id"))
     marks = rows.select("video_id", F.col("t").alias("timestamp"), F.when(F.col("event_type") == "click", "peak").otherwise("throw").alias("event_type"))
     found = _runs(spark, sf_dir).select(F.col("user_id").alias("video_id"), F.col("run_id").alias("run_order"), "start_time", "end_time", F.col("n_events").alias("throw_count"))
-    frames = rows.where("event_id % 5 = 0").select("video_id", F.col("event_id").alias("frame_idx"), F.col("t").alias("timestamp"))
+    frames = rows.select("video_id", F.col("event_id").alias("frame_idx"), F.col("t").alias("timestamp"))
     out = overlay.overlay(frames, marks, found, found.where("throw_count >= 5"), HOUR)
     return out.select(F.col("video_id").alias("user_id"), F.col("frame_idx").alias("event_id"), "session_throws", "mean_throws", "median_throws", "current_run", "current_run_throws", "flashing", "in_segment")
 
@@ -286,12 +307,12 @@ def ema_fold(spark, sf_dir):
 
 def _sessions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     o = table(spark, sf_dir, "orders")
-    sessions = o.select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("session_uuid"), F.lit(0.0).alias("start_time"), (F.col("o_orderkey") % 7).cast("double").alias("end_time"))
+    sessions = o.select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("session_uuid"), F.lit(1000.0).alias("start_time"), F.col("o_totalprice").alias("end_time"))
     item = table(spark, sf_dir, "lineitem")
-    return sessions, item.where("l_returnflag <> 'N'").select(F.col("l_orderkey").alias("session_uuid"), F.col("l_quantity").cast("long").alias("throw_count"), F.col("l_linestatus"))
+    return sessions, item.select(F.col("l_orderkey").alias("session_uuid"), F.col("l_quantity").cast("long").alias("throw_count"))
 
 
-@query("""SELECT o_custkey AS user_id, o_orderkey AS session_uuid, CAST(o_orderkey % 7 AS DOUBLE) AS timestamp, CAST(coalesce((SELECT sum(CAST(l_quantity AS BIGINT)) FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag <> 'N'), 0) AS BIGINT) AS total_throws, CAST(o_orderkey % 7 AS DOUBLE) AS duration_seconds FROM orders""")
+@query("""SELECT o_custkey AS user_id, o_orderkey AS session_uuid, o_totalprice AS timestamp, CAST(coalesce((SELECT sum(CAST(l_quantity AS BIGINT)) FROM lineitem WHERE l_orderkey = o_orderkey), 0) AS BIGINT) AS total_throws, CASE WHEN o_totalprice > 1000 THEN o_totalprice - 1000.0::DOUBLE ELSE 0 END AS duration_seconds FROM orders""")
 def user_history(spark, sf_dir):
     return history.history(*_sessions(spark, sf_dir)).drop("start_time")
 
@@ -302,10 +323,10 @@ def session_totals(spark, sf_dir):
     return history.segment_totals(rows, ["l_orderkey"]).withColumn("average_confidence", F.round("average_confidence", 6))
 
 
-@query("SELECT l_orderkey, sum(l_linenumber)::BIGINT AS throws, CASE WHEN l_orderkey % 5 > 0 THEN printf('%.2f t/s', sum(l_linenumber) / CAST(l_orderkey % 5 AS DOUBLE)) ELSE '0 t/s' END AS rate FROM lineitem GROUP BY l_orderkey")
+@query("SELECT l_orderkey, sum(l_linenumber)::BIGINT AS throws, CASE WHEN min(l_quantity) - 1 > 0 THEN printf('%.2f t/s', sum(l_linenumber) / (min(l_quantity) - 1)) ELSE '0 t/s' END AS rate FROM lineitem GROUP BY l_orderkey")
 def throw_rate(spark, sf_dir):
-    sums = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum("l_linenumber").alias("throws"))
-    return sums.withColumn("rate", scalar.rate_label(F.col("throws").cast("double"), (F.col("l_orderkey") % 5).cast("double")))
+    sums = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum("l_linenumber").alias("throws"), (F.min("l_quantity") - 1).alias("duration"))
+    return sums.select("l_orderkey", "throws", scalar.rate_label(F.col("throws").cast("double"), F.col("duration")).alias("rate"))
 
 
 _COUNTED = ("customer", "orders", "lineitem", "events")
@@ -316,23 +337,24 @@ def table_counts(spark, sf_dir):
     return history.table_counts({t: table(spark, sf_dir, t) for t in _COUNTED})
 
 
-@query("""WITH changes AS (SELECT c_custkey % 1000 AS k, 'n' || CAST(c_custkey AS VARCHAR) AS name, c_mktsegment AS email, c_custkey AS v FROM customer WHERE c_custkey % 3 = 0),
+@query("""WITH changes AS (SELECT s_suppkey AS k, s_name AS name, CAST(s_nationkey AS VARCHAR) AS email, s_acctbal AS v FROM supplier UNION ALL SELECT s_suppkey, 'again', 'none', -s_acctbal FROM supplier),
 newest AS (SELECT k, max_by(name, v) AS name, max_by(email, v) AS email FROM changes GROUP BY k),
 base AS (SELECT c_custkey AS k, c_name AS name, c_mktsegment AS email FROM customer)
 SELECT k, name, email FROM base WHERE k NOT IN (SELECT k FROM newest) UNION ALL SELECT k, name, email FROM newest""")
 def upsert_users(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    base = c.select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("email"))
-    changes = c.where("c_custkey % 3 = 0").select((F.col("c_custkey") % 1000).alias("k"), F.concat(F.lit("n"), F.col("c_custkey").cast("string")).alias("name"), F.col("c_mktsegment").alias("email"), F.col("c_custkey").alias("v"))
-    return history.upsert(base, changes, "k", "v")
+    base = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("email"))
+    s = table(spark, sf_dir, "supplier")
+    changes = s.select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.col("s_nationkey").cast("string").alias("email"), F.col("s_acctbal").alias("v"))
+    again = s.select(F.col("s_suppkey").alias("k"), F.lit("again").alias("name"), F.lit("none").alias("email"), (-F.col("s_acctbal")).alias("v"))
+    return history.upsert(base, changes.unionByName(again), "k", "v")
 
 
-_ROLLUP = """WITH r AS (SELECT l_suppkey, list_sort(list(CAST(l_quantity AS BIGINT))) AS runs, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total_throws, max(CAST(l_quantity AS BIGINT)) AS max_streak, CAST(count(*) AS INTEGER) AS run_count FROM lineitem WHERE l_linenumber = 1 GROUP BY l_suppkey),
+_ROLLUP = """WITH r AS (SELECT l_suppkey, list_sort(list(CAST(l_quantity AS BIGINT))) AS runs, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total_throws, max(CAST(l_quantity AS BIGINT)) AS max_streak, CAST(count(*) AS INTEGER) AS run_count FROM lineitem GROUP BY l_suppkey),
 e AS (SELECT *, abs(total_throws - 65) AS total_error, abs(max_streak - 35) AS max_error, abs(total_throws - 65) + abs(max_streak - 35) AS combined_error FROM r)"""
 
 
 def _rollup(spark, sf_dir):
-    return evaluate.rollup(table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_suppkey", F.col("l_quantity").cast("long").alias("throw_count")), ["l_suppkey"])
+    return evaluate.rollup(table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_quantity").cast("long").alias("throw_count")), ["l_suppkey"])
 
 
 @query(_ROLLUP + " SELECT * FROM e")
@@ -346,9 +368,9 @@ def top10_error(spark, sf_dir):
 
 
 @query(r"""SELECT p_partkey, regexp_extract(f, '^(.*)_([^_]*)_([^_]*)$', 1) AS video, upper(regexp_extract(f, '^(.*)_([^_]*)_([^_]*)$', 2)) AS model, CAST(regexp_extract(f, '^(.*)_([^_]*)_([^_]*)$', 3) AS INTEGER) AS resolution
-FROM (SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN p_brand ELSE replace(p_name, ' ', '_') || '.mov_' || p_brand || '_' || CAST(p_size AS VARCHAR) END AS f FROM part) WHERE regexp_matches(f, '^(.*)_([^_]*)_([^_]*)$')""")
+FROM (SELECT p_partkey, CASE WHEN p_size < 10 THEN p_brand ELSE replace(p_name, ' ', '_') || '.mov_' || p_brand || '_' || CAST(p_size AS VARCHAR) END AS f FROM part) WHERE regexp_matches(f, '^(.*)_([^_]*)_([^_]*)$')""")
 def folder_name_parse(spark, sf_dir):
-    name = F.when(F.col("p_partkey") % 10 == 0, F.col("p_brand")).otherwise(F.concat(F.translate("p_name", " ", "_"), F.lit(".mov_"), "p_brand", F.lit("_"), F.col("p_size").cast("string")))
+    name = F.when(F.col("p_size") < 10, F.col("p_brand")).otherwise(F.concat(F.translate("p_name", " ", "_"), F.lit(".mov_"), "p_brand", F.lit("_"), F.col("p_size").cast("string")))
     found = table(spark, sf_dir, "part").select("p_partkey", evaluate.folder_parts(name).alias("f")).where("f is not null")
     return found.select("p_partkey", "f.video", "f.model", "f.resolution")
 
@@ -393,11 +415,11 @@ def best_detection(spark, sf_dir):
     return rows.groupBy("l_orderkey").agg(F.max_by("l_linenumber", F.struct("l_extendedprice", -F.col("l_linenumber"))).alias("best"), F.min_by("l_linenumber", F.struct(F.abs(F.col("l_quantity") - 25), "l_linenumber")).alias("nearest"))
 
 
-@query("""WITH b AS (SELECT l_orderkey, l_linenumber, CAST(1 + l_partkey % 9 AS INTEGER) AS crops, l_quantity * 12 AS x, l_discount * 6000 AS y FROM lineitem),
+@query("""WITH b AS (SELECT l_orderkey, l_linenumber, l_linenumber AS crops, l_quantity * 12 AS x, l_discount * 6000 AS y FROM lineitem),
 c AS (SELECT *, CAST(ceil(sqrt(CAST(crops AS DOUBLE))) AS INTEGER) AS grid FROM b), d AS (SELECT *, 640 // grid AS cell FROM c)
 SELECT l_orderkey, l_linenumber, CAST(floor((y + y + 10) / 2 / cell) * grid + floor((x + x + 10) / 2 / cell) AS INTEGER) AS crop FROM d WHERE floor((y + y + 10) / 2 / cell) * grid + floor((x + x + 10) / 2 / cell) < crops""")
 def mosaic_mapping(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (1 + F.col("l_partkey") % 9).cast("int").alias("crops"), (F.col("l_quantity") * 12).alias("x"), (F.col("l_discount") * 6000).alias("y"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_linenumber").alias("crops"), (F.col("l_quantity") * 12).alias("x"), (F.col("l_discount") * 6000).alias("y"))
     grid = scalar.mosaic_grid(F.col("crops"), F.lit(640))
     crop = scalar.mosaic_box({"x1": F.col("x"), "x2": F.col("x") + 10, "y1": F.col("y"), "y2": F.col("y") + 10}, F.col("crops"), grid["cell"], grid["grid"])
     return rows.select("l_orderkey", "l_linenumber", crop.alias("crop")).where("crop is not null")
@@ -433,11 +455,11 @@ def signature_minmax(spark, sf_dir):
     return out.select("label", F.transform(signature.min_max(F.col("merged")), lambda x: F.round(x, 3)).alias("merged"))
 
 
-@query("""WITH h AS (SELECT event_type, CAST(floor(value * 36 / 180) AS INTEGER) AS bin, count(*) AS n FROM events WHERE value >= 0 AND value < 180 AND event_id % 100 > 30 GROUP BY 1, 2),
+@query("""WITH h AS (SELECT event_type, CAST(floor(value * 36 / 180) AS INTEGER) AS bin, count(*) AS n FROM events WHERE value >= 0 AND value < 180 AND value > 30 GROUP BY 1, 2),
 b AS (SELECT *, count(*) OVER w AS k, min(n) OVER w AS lo0, max(n) OVER w AS hi FROM h WINDOW w AS (PARTITION BY event_type))
 SELECT event_type, bin, n, round(CASE WHEN hi > CASE WHEN k < 36 THEN 0 ELSE lo0 END THEN (n - CASE WHEN k < 36 THEN 0 ELSE lo0 END) * 255.0::DOUBLE / (hi - CASE WHEN k < 36 THEN 0 ELSE lo0 END) ELSE 0 END, 6) AS level FROM b""")
 def hue_histogram(spark, sf_dir):
-    pixels = table(spark, sf_dir, "events").select("event_type", F.col("value").alias("hue"), (F.col("event_id") % 100).alias("saturation"))
+    pixels = table(spark, sf_dir, "events").select("event_type", F.col("value").alias("hue"), F.col("value").alias("saturation"))
     return signature.stretched(signature.hue_histogram(pixels, ["event_type"]), ["event_type"], 36).withColumn("level", F.round("level", 6))
 
 
@@ -446,8 +468,8 @@ def hue_histogram(spark, sf_dir):
 
 @query()
 def nearest_assignment(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 25).alias("frame"), F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
-    found = tracking.match(e.where("id % 2 = 0"), e.where("id % 2 = 1"), ["frame"], 0.5)
+    e = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 20).alias("frame"), "label", F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    found = tracking.match(e.where("label < 5"), e.where("label >= 5"), ["frame"], 0.5)
     return found.withColumn("distance", F.round("distance", 6))
 
 

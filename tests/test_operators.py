@@ -301,3 +301,53 @@ def test_coast(spark):
     rows = spark.createDataFrame([("a", 0, None, None), ("a", 1, 10.0, 10.0), ("a", 2, 14.0, 12.0), ("a", 3, None, None), ("a", 4, None, None), ("a", 5, 30.0, 30.0)], "k string, i int, x double, y double")
     got = [(r.x, r.y) for r in tracking.coast(rows, ["k"], "i", "x", "y").orderBy("i").collect()]
     assert got == [(None, None), (10, 10), (14, 12), (16, 13), (18, 15), (30, 30)]
+
+
+def test_scores_and_overlap(spark):
+    a = spark.createDataFrame([("v", 1.0), ("v", 5.0), ("v", 9.0)], "video_id string, timestamp double")
+    b = spark.createDataFrame([("v", 1.1), ("v", 5.4), ("v", 9.05), ("v", 9.2)], "video_id string, timestamp double")
+    r = evaluate.event_scores(a, b, 0.25).first()
+    assert (r.n_true, r.n_found, r.hits, r.f1) == (3, 4, 2, pytest.approx(4 / 7))
+    s = spark.createDataFrame([("v", 0, 0.0, 4.0), ("v", 1, 10.0, 12.0)], "video_id string, segment_id int, start_time double, end_time double")
+    t = spark.createDataFrame([("v", 0, 2.0, 6.0)], s.schema)
+    assert [(x.a_id, x.b_id, x.iou) for x in evaluate.interval_overlap(s, t).collect()] == [(0, 0, pytest.approx(1 / 3))]
+
+
+def test_gates(spark):
+    rows = spark.createDataFrame([(500.0, 24.0, 24.0, 80.0, True), (500.0, 24.0, 24.0, 0.0, True), (500.0, 24.0, 24.0, 80.0, False), (300.0, 24.0, 24.0, 60.0, True), (500.0, 40.0, 24.0, 80.0, True), (500.0, 24.0, 24.0, 110.0, True)], "a double, w double, h double, p double, e boolean")
+    gate = scalar.contour_gate(F.col("a"), F.col("w"), F.col("h"), F.col("p"), F.col("e"))
+    assert [r.g for r in rows.select(gate.alias("g")).collect()] == [True, False, False, False, False, False]
+    box = scalar.clipped_box(F.lit(-3.7), F.lit(2.9), F.lit(700.0), F.lit(2.0), F.lit(640), F.lit(480))
+    r = spark.range(1).select(*[c.alias(k) for k, c in box.items()], scalar.in_reticle(F.lit(49), F.lit(0), F.lit(0), F.lit(0)).alias("in"), scalar.in_reticle(F.lit(50), F.lit(0), F.lit(0), F.lit(0)).alias("out"), scalar.as_timestamp(F.lit(90.0)).cast("string").alias("t")).first()
+    assert (r.x1, r.y1, r.x2, r.y2, r.empty, r["in"], r.out, r.t) == (0, 2, 640, 2, True, True, False, "1970-01-01 00:01:30")
+
+
+def test_classes(spark):
+    rows = spark.createDataFrame([(32,), (7,)], "c int")
+    of = lambda **k: [r.c for r in rows.where(scalar.class_gate(F.col("c"), **k)).collect()]
+    assert of(allowed=None) == [32] and of(allowed=[7]) == [7] and of(allowed=None, targets=None) == [32, 7]
+
+
+def test_scan_mode():
+    assert tracking.full_scan(30, {0: (0.5, 0.5, 0.1, 0.1)}, True) and tracking.full_scan(31, {}, True) and tracking.full_scan(31, {0: (0.5, 0.5, 0.1, 0.1)}, False)
+    assert not tracking.full_scan(31, {0: (0.5, 0.5, 0.1, 0.1)}, True)
+    assert tracking.regions({0: (0.5, 0.4, 0.1, 0.2)}) == [(0.5, 0.4, 0.4, 0.8)]
+    t = tracking.Tracker(gravity=0.0)
+    for i in range(3):
+        t.step(i, i / 30, np.array([[100.0 + 10 * i, 100, 120 + 10 * i, 120, 1]]), 640, 480)
+    x, y, w, h = t.predictions(3 / 30)[0]
+    assert x == pytest.approx(140 / 640, abs=0.01) and (w, h) == (pytest.approx(20 / 640), pytest.approx(20 / 480))
+    assert t.snapshot()[0][:4] == (0, "CONFIRMED", 3, 0)
+    t.retune(gravity=0.5, interpolate=False)
+    assert t.filters.gravity == 0.5 and not t.step(3, 0.1, np.zeros((0, 5)), 640, 480)
+
+
+def test_reports_and_tables(spark, tmp_path):
+    files.write_report(spark.createDataFrame([("a", 1)], "k string, n int"), f"file://{tmp_path}/r")
+    assert spark.read.option("header", True).csv(f"file://{tmp_path}/r").first().k == "a"
+    for _ in (1, 2):
+        files.create_tables(spark)
+    assert spark.table("runs").count() == 0 and "session_uuid" in spark.table("events").columns
+    r = evaluate.throughput(spark.createDataFrame([(300, 12.3), (300, None)], "frame_count int, total_time double")).collect()
+    assert [x.fps for x in r] == [24.4, None]
+    assert not history.healthy(spark.table("events"), spark.table("runs"))

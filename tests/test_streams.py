@@ -42,3 +42,25 @@ def test_audio_chunks(spark):
 def test_triggers(spark):
     rows = spark.createDataFrame([("reset",), ("hello",)], "text string")
     assert live.triggers(rows).select(F.col("reset")).collect()[0].reset and live.triggers(rows).count() == 1
+
+
+def test_live_tracking(spark, tmp_path):
+    """A stream of detections in two micro-batches against the tracker stepped frame by frame."""
+    from tempora.config import DEFAULT
+    from tempora.operators.tracking import Tracker
+
+    rng = np.random.default_rng(1)
+    rows, frames = [], {}
+    for f in range(40):
+        boxes = [] if f in (9, 10, 25) else [(100 + 4 * f + float(rng.normal()), 200.0, 400 - 5 * f)[b] for b in range(3)]
+        frames[f] = np.array([[x, 50 + 60 * k, x + 20, 70 + 60 * k, 0.9] for k, x in enumerate(boxes)]).reshape(-1, 5)
+        rows += [("v", f, f / 30, k, *map(float, b), 640, 480) for k, b in enumerate(frames[f])] or [("v", f, f / 30, 0, None, None, None, None, None, 640, 480)]
+    schema = "video_id string, frame_idx int, timestamp double, det_idx int, x1 double, y1 double, x2 double, y2 double, confidence double, width int, height int"
+    for name, part in (("a", [r for r in rows if r[1] < 20]), ("b", [r for r in rows if r[1] >= 20])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"file://{tmp_path}/in/{name}.parquet")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*.parquet")
+    got = catalogue._to_table(live.live_tracking(stream), "live", "append").collect()
+    tracker, expected = Tracker(DEFAULT, max_distance=DEFAULT.live_max_distance, gravity=DEFAULT.live_gravity), []
+    for f in range(40):
+        expected += tracker.step(f, f / 30, frames[f], 640, 480)
+    assert sorted(tuple(r)[1:] for r in got) == sorted(expected) and any(r.is_interpolated for r in got)
