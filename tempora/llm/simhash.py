@@ -59,9 +59,20 @@ def _pack(over: np.ndarray) -> np.ndarray:
     return np.packbits(over, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def fingerprints_of(texts: list[bytes], width: int = 3) -> np.ndarray:
-    """One uint64 a text. Works on runs of some 65,536 shingles; a longer text is summed in pieces."""
-    out = np.zeros(len(texts), np.uint64)
+def _remixed(hashes: np.ndarray, table: int | None) -> np.ndarray:
+    """The hashes under another hash function for each table; as they are for None."""
+    if table is None:
+        return hashes
+    salt = np.uint64(xxhash.xxh64_intdigest(b"table", table + 1))
+    with np.errstate(over="ignore"):
+        z = (hashes ^ salt) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return z ^ (z >> np.uint64(29))
+
+
+def table_prints(texts: list[bytes], width: int, tables: list[int | None]) -> np.ndarray:
+    """(n, tables) fingerprints. Works on runs of some 65,536 shingles; a longer text is summed in pieces."""
+    out = np.zeros((len(texts), len(tables)), np.uint64)
     held: list[np.ndarray] = []
     at: list[int] = []
     size = 0
@@ -70,15 +81,17 @@ def fingerprints_of(texts: list[bytes], width: int = 3) -> np.ndarray:
         nonlocal held, at, size
         if at:
             lengths = np.array([len(x) for x in held])
-            sums = _bit_sums(np.concatenate(held), np.concatenate(([0], np.cumsum(lengths)[:-1])))
-            out[at] = _pack(2 * sums > lengths[:, None])
+            whole, starts = np.concatenate(held), np.concatenate(([0], np.cumsum(lengths)[:-1]))
+            for k, t in enumerate(tables):
+                out[at, k] = _pack(2 * _bit_sums(_remixed(whole, t), starts) > lengths[:, None])
         held, at, size = [], [], 0
 
     for i, text in enumerate(texts):
         hashes = np.array(shingle_hashes(text, width), np.uint64)
         if len(hashes) > CHUNK:
-            sums = sum(_bit_sums(hashes[a : a + CHUNK], np.array([0])).astype(np.int64) for a in range(0, len(hashes), CHUNK))
-            out[i] = _pack(2 * sums > len(hashes))[0]
+            for k, t in enumerate(tables):
+                sums = sum(_bit_sums(_remixed(hashes[a : a + CHUNK], t), np.array([0])).astype(np.int64) for a in range(0, len(hashes), CHUNK))
+                out[i, k] = _pack(2 * sums > len(hashes))[0]
         elif len(hashes):
             held.append(hashes)
             at.append(i)
@@ -89,6 +102,11 @@ def fingerprints_of(texts: list[bytes], width: int = 3) -> np.ndarray:
     return out
 
 
+def fingerprints_of(texts: list[bytes], width: int = 3) -> np.ndarray:
+    """One uint64 a text."""
+    return table_prints(texts, width, [None])[:, 0]
+
+
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fp): fp holds the 64 bits as a signed long."""
 
@@ -212,17 +230,22 @@ def _patterns(bits: list[int], low: int, high: int) -> np.ndarray:
 
 
 def _probe_rows(parts: list[list[int]], thresholds: list[int]):
-    """Each fingerprint under its value in each partition (role 0), and under every value within e bits (role 1)."""
+    """Each fingerprint under its value in each partition (role 0), and under every value within e bits (role 1).
+
+    Partitions of table t are numbered from 64 t, so fingerprints meet within a table only.
+    """
     work = [(i, _mask(b), _patterns(b, 1, e) if e > 0 else np.zeros(0, np.uint64)) for i, (b, e) in enumerate(zip(parts, thresholds)) if e >= 0]
 
     def run(batches):
         for whole in batches:
             for start in range(0, whole.num_rows, 5000):
-                fps = whole.slice(start, 5000).column("fp").to_numpy().view(np.uint64)
+                batch = whole.slice(start, 5000)
+                fps, first = batch.column("fp").to_numpy().view(np.uint64), batch.column("table").to_numpy() * BITS
                 for i, mask, flips in work:
                     values = fps & mask
                     for role, v in ((0, values), *(((1, (values[:, None] ^ flips[None, :]).ravel()),) if len(flips) else ())):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), i, np.int32)), pa.array(v.view(np.int64)), pa.array(np.full(len(v), role, np.int8)), pa.array(np.repeat(fps, len(v) // max(1, len(fps))).view(np.int64))], ["part", "value", "role", "fp"])
+                        each = len(v) // max(1, len(fps))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(first + i, each).astype(np.int32)), pa.array(v.view(np.int64)), pa.array(np.full(len(v), role, np.int8)), pa.array(np.repeat(fps, each).view(np.int64))], ["part", "value", "role", "fp"])
 
     return run
 
@@ -329,7 +352,7 @@ def _far_links(members: DataFrame, parts: list[list[int]], thresholds: list[int]
             for start in range(0, whole.num_rows, 200):
                 batch = whole.slice(start, 200)
                 for fp, part in zip(batch.column("u").to_numpy().view(np.uint64), batch.column("v").to_numpy()):
-                    close, far = flips[int(part)]
+                    close, far = flips[int(part) % BITS]
                     z = np.concatenate([fp ^ close, fp ^ far])
                     is_close = np.zeros(len(z), bool)
                     is_close[: len(close)] = True
@@ -340,14 +363,25 @@ def _far_links(members: DataFrame, parts: list[list[int]], thresholds: list[int]
     return met.join(hub, "z").where("fp <> hub").select(F.col("fp").alias("u"), F.col("hub").alias("v")).distinct()
 
 
-def links(nodes: DataFrame, radius: int = 3, group_cap: int = 20000) -> DataFrame:
-    """nodes(fp), distinct -> (u, v): links that connect whatever all pairs within the radius connect."""
-    spark = nodes.sparkSession
+def planned(nodes: DataFrame, radius: int) -> tuple[list[list[int]], list[int]]:
+    """Partitions and thresholds for nodes(fp), from bit moments and collision counts of all of them."""
     n = nodes.count()
     moments = _moments(nodes)
     groups = {m: correlated_groups(moments, n, m) for m in range(2, radius + 2)} if radius > 0 else {1: [list(range(BITS))]}
-    parts, thresholds = plan(n, moments, _part_counts(nodes, groups), groups, radius)
-    found = nodes.select("fp").mapInArrow(_probe_rows(parts, thresholds), "part int, value long, role byte, fp long").repartition(shuffle_partitions(spark), "part", "value").sortWithinPartitions("part", "value", "role").mapInArrow(_verify(radius, group_cap), "kind byte, u long, v long")
+    return plan(n, moments, _part_counts(nodes, groups), groups, radius)
+
+
+def links(nodes: DataFrame, radius: int = 3, group_cap: int = 20000) -> DataFrame:
+    """nodes(fp[, table]), distinct -> (u, v): links that connect whatever all pairs within the radius connect.
+
+    With a `table` column only fingerprints of the same table meet; one plan serves all tables.
+    """
+    spark = nodes.sparkSession
+    if "table" not in nodes.columns:
+        nodes = nodes.withColumn("table", F.lit(0))
+    parts, thresholds = planned(nodes.where("table = 0"), radius)
+    rows = nodes.select("fp", "table").mapInArrow(_probe_rows(parts, thresholds), "part int, value long, role byte, fp long")
+    found = rows.repartition(shuffle_partitions(spark), "part", "value").sortWithinPartitions("part", "value", "role").mapInArrow(_verify(radius, group_cap), "kind byte, u long, v long")
     found = materialize(found, "links")
     near = found.where("kind = 0").select("u", "v")
     crowded = found.where("kind = 1").select("u", "v")
@@ -364,24 +398,84 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, group_cap:
     return prints.join(member.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
+# similar texts, for deduplication
+
+
+def _table_rows(docs: DataFrame, width: int, tables: int) -> DataFrame:
+    def run(batches):
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
+                fps = table_prints([t or b"" for t in as_bytes(batch.column("text"))], width, list(range(tables)))
+                ids = np.repeat(batch.column("doc_id").to_numpy(), tables)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.tile(np.arange(tables, dtype=np.int32), batch.num_rows)), pa.array(fps.ravel().view(np.int64))], ["doc_id", "table", "fp"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, table int, fp long")
+
+
+def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
+                sets = [np.unique(np.array(shingle_hashes(t or b"", words), np.uint64)).view(np.int64) for t in as_bytes(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+
+
+#: Ids are broadcast to pick out documents up to this many (8 bytes each); beyond, they are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
+
+def _bounded(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def similar_links(docs: DataFrame, similarity: float = 0.8, words: int = 5, tables: int = 8, width: int = 2, radius: int = 3, group_cap: int = 20000) -> DataFrame:
+    """(u, v): verified links between rows of docs(doc_id, text), ids distinct and not null.
+
+    Candidates come within the radius in any of several tables of fingerprints over `width`-word shingles; each is
+    verified by the exact Jaccard similarity of the two texts' sets of `words`-word shingles. Only candidates' texts
+    are read again. Copies of a fingerprint are candidates with the smallest id that has it, not with one another.
+    """
+    prints = materialize(_table_rows(docs, width, tables), "table-prints")
+    nodes = materialize(prints.groupBy("table", "fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "table-nodes")
+    same = prints.join(nodes.where("n > 1").select("table", "fp", "rep"), ["table", "fp"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    found = links(nodes.select("fp", "table"), radius, group_cap)
+    of = nodes.groupBy("fp").agg(F.min("rep").alias("rep"))
+    near = found.join(of.select(F.col("fp").alias("u"), F.col("rep").alias("a")), "u").join(of.select(F.col("fp").alias("v"), F.col("rep").alias("b")), "v").where("a <> b").select("a", "b")
+    pairs = materialize(same.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidate-ids")
+    sets = materialize(_shingle_sets(docs.join(_bounded(ids), "doc_id", "left_semi"), words), "shingle-sets")
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.withColumn("shared", shared).where(F.col("shared") >= similarity * (F.size("x") + F.size("y") - F.col("shared"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def keep_one(docs: DataFrame, radius: int = 3, similarity: float = 0.8, tables: int = 8) -> DataFrame:
     """docs with one document of each group left: that with the smallest doc_id (ties: the smallest text, then any).
 
-    Rows without a doc_id count as larger than all others and are told apart by their text.
+    Two steps. Links of near_duplicates() hold as they are; of the documents left, those linked by similar_links() go
+    too (none with tables = 0). Rows without a doc_id count as larger than all others and are told apart by their text.
     """
     own = "tempora_sid"
     nameless = F.lit(NO_ID) + F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(NO_ID - 1))
     named = docs.withColumn(own, F.coalesce(F.col("doc_id").cast("long"), nameless))
-    groups = near_duplicates(named.select(F.col(own).alias("doc_id"), "text"), radius)
-    chosen = groups.where("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
-    kept = named.join(chosen, own, "left_semi")
-    twice = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias(own)).count().where("count > 1")
-    if not twice.head(1):
-        return kept.drop(own)
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy(own).orderBy("text"))
-    return kept.withColumn("tempora_rank", rank).where("tempora_rank = 1").drop(own, "tempora_rank")
+    groups = materialize(near_duplicates(named.select(F.col(own).alias("doc_id"), "text"), radius), "groups")
+    chosen = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias(own)).count()
+    kept = named.join(chosen.select(own), own, "left_semi")
+    if chosen.where("count > 1").head(1):
+        from pyspark.sql import Window
+
+        rank = F.row_number().over(Window.partitionBy(own).orderBy("text"))
+        kept = kept.withColumn("tempora_rank", rank).where("tempora_rank = 1").drop("tempora_rank")
+    if tables:
+        kept = materialize(kept, "kept")
+        found = similar_links(kept.select(F.col(own).alias("doc_id"), F.col("text").cast("string").alias("text")), similarity, tables=tables)
+        gone = components(found).select(F.col("u").alias(own))
+        kept = kept.join(_bounded(gone), own, "left_anti")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

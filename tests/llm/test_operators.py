@@ -189,7 +189,7 @@ def test_components(spark):
 
 
 def test_keep_one(odd, none):
-    kept = texts(simhash.keep_one(odd))
+    kept = texts(simhash.keep_one(odd, tables=0))
     docs = texts(odd)
     label = linked([slow_fingerprint(t) for _, t in docs])
     groups = defaultdict(list)
@@ -199,6 +199,38 @@ def test_keep_one(odd, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 
+def jaccard(a, b):
+    sets_ = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := words(t)) else set() for t in (a, b)]
+    return len(sets_[0] & sets_[1]) / max(1, len(sets_[0] | sets_[1]))
+
+
+def test_similar_texts_go(spark, odd):
+    """Of texts with a word or two changed one stays; whatever goes is similar to another text; others stay."""
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("aeioulnrst") for _ in range(6)) for _ in range(3000)]
+    data, groups = [], []
+    for g in range(12):
+        text = [rng.choice(vocabulary) for _ in range(200 + 50 * g)]
+        members = [text]
+        for _ in range(3):
+            copy = list(text)
+            for _ in range(1 + g % 2):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            members.append(copy)
+        groups.append(range(len(data), len(data) + 4))
+        data += [(len(data) + i, " ".join(m)) for i, m in enumerate(members)]
+    alone = [(1000 + i, " ".join(rng.choice(vocabulary) for _ in range(150))) for i in range(30)]
+    df = spark.createDataFrame(data + alone, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.keep_one(df).collect()}
+    assert kept >= {d for d, _ in alone} and all(len(kept & set(g)) >= 1 for g in groups)
+    assert sum(len(kept & set(g)) for g in groups) <= len(groups) + 2
+    of = dict(data)
+    found = [(r.u, r.v) for r in simhash.similar_links(df).collect()]
+    assert found and all(jaccard(of[a], of[b]) >= 0.8 for a, b in found)
+    out = texts(simhash.keep_one(odd))
+    assert set(out) <= set(texts(simhash.keep_one(odd, tables=0))) and simhash.keep_one(odd).columns == odd.columns
+
+
 # 9
 
 
