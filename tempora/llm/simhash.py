@@ -432,7 +432,7 @@ def _bounded(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def similar_links(docs: DataFrame, similarity: float = 0.8, words: int = 5, tables: int = 8, width: int = 2, radius: int = 3, group_cap: int = 20000) -> DataFrame:
+def similar_links(docs: DataFrame, similarity: float = 0.8, words: int = 5, tables: int = 12, width: int = 2, radius: int = 3, group_cap: int = 20000) -> DataFrame:
     """(u, v): verified links between rows of docs(doc_id, text), ids distinct and not null.
 
     Candidates come within the radius in any of several tables of fingerprints over `width`-word shingles; each is
@@ -453,7 +453,7 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, words: int = 5, tabl
     return both.withColumn("shared", shared).where(F.col("shared") >= similarity * (F.size("x") + F.size("y") - F.col("shared"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def keep_one(docs: DataFrame, radius: int = 3, similarity: float = 0.8, tables: int = 8) -> DataFrame:
+def keep_one(docs: DataFrame, radius: int = 3, similarity: float = 0.8, tables: int = 12) -> DataFrame:
     """docs with one document of each group left: that with the smallest doc_id (ties: the smallest text, then any).
 
     Two steps. Links of near_duplicates() hold as they are; of the documents left, those linked by similar_links() go
