@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempora.llm import line_dedup, mixing, packing, quality, simhash
-from tempora.llm.common import load, materialize
+from tempora.llm.common import load, materialize, small_batches
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     model = quality.fit(quality.statistics(docs), load(spark, sf_dir, "labels"))
     return quality.keep_good(docs, model)
@@ -25,23 +26,27 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the lines that 10 or more of them hold."""
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     kept = line_dedup.drop_frequent_lines(docs, line_dedup.build_state(docs, min_docs=10, min_chars=1))
     return kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by fingerprints of three or fewer differing bits."""
+    """One document of each group linked by fingerprints of three or fewer differing bits, or by verified similarity."""
+    small_batches(spark)
     return simhash.keep_one(docs.select(*COLUMNS), radius=3)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn so that tokens meet the target weights of source, language and topic."""
+    small_batches(spark)
     return mixing.mix(docs.select(*COLUMNS))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences of 2048 tokens."""
+    small_batches(spark)
     return packing.pack_documents(docs)
 
 
