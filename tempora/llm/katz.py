@@ -43,7 +43,7 @@ from tempora.llm.common import as_bytes, forget_at_exit, load, materialize, new_
 FOLDS, HELD_OUT = 7, 2
 #: Counts up to TURING are discounted; pairs counted fewer than MIN_PAIR times would give their mass to the backoff.
 TURING, MIN_PAIR = 5, 1
-CHUNK = 1_500_000
+CHUNK = 1_000_000
 SHARD_BYTES = 16 << 20
 WORDS, PAIRS, CONTEXTS = 0, 1, 2
 END = np.uint64(xxhash.xxh64_intdigest(b"end", 1))
