@@ -323,7 +323,7 @@ def session_totals(spark, sf_dir):
     return history.segment_totals(rows, ["l_orderkey"]).withColumn("average_confidence", F.round("average_confidence", 6))
 
 
-@query("SELECT l_orderkey, sum(l_linenumber)::BIGINT AS throws, CASE WHEN min(l_quantity) - 1 > 0 THEN printf('%.2f t/s', sum(l_linenumber) / (min(l_quantity) - 1)) ELSE '0 t/s' END AS rate FROM lineitem GROUP BY l_orderkey")
+@query("SELECT l_orderkey, sum(l_linenumber)::BIGINT AS throws, CASE WHEN min(l_quantity) - 1 > 0 THEN printf('%.2f t/s', floor(sum(l_linenumber) / (min(l_quantity) - 1) * 100 + 0.5) / 100) ELSE '0 t/s' END AS rate FROM lineitem GROUP BY l_orderkey")
 def throw_rate(spark, sf_dir):
     sums = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum("l_linenumber").alias("throws"), (F.min("l_quantity") - 1).alias("duration"))
     return sums.select("l_orderkey", "throws", scalar.rate_label(F.col("throws").cast("double"), F.col("duration")).alias("rate"))

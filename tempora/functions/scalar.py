@@ -21,7 +21,9 @@ def rate(count: Column, duration: Column) -> Column:
 
 
 def rate_label(count: Column, duration: Column) -> Column:
-    return F.when(duration > 0, F.concat(F.format_string("%.2f", count / duration), F.lit(" t/s"))).otherwise(F.lit("0 t/s"))
+    """The rate with two decimals, hundredths rounded half up."""
+    hundredths = F.floor(count / duration * 100 + 0.5) / 100
+    return F.when(duration > 0, F.concat(F.format_string("%.2f", hundredths), F.lit(" t/s"))).otherwise(F.lit("0 t/s"))
 
 
 def frame_of(seconds: Column, fps: Column) -> Column:
