@@ -335,6 +335,15 @@ def test_packing(spark, odd):
         assert at <= 2048
 
 
+def test_ids_are_the_tokenizers():
+    encoder = packing._encoder("byte_bpe_50k.json")
+    assert encoder.merger is not None
+    rng, signs = random.Random(1), "ab Zé'sß \t\n\r.,!?123ÅöÑ¿¡«×÷ºª²½\u00a0\u00adſđƒ😀中\u2003'll're've's "
+    for _ in range(4000):
+        t = "".join(rng.choice(signs) for _ in range(rng.randrange(60)))
+        assert encoder.encode(t) == np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+
+
 def best_fit(lengths, size):
     rooms = []
     for x in sorted(lengths, reverse=True):
