@@ -432,12 +432,10 @@ def _bounded(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def similar_links(docs: DataFrame, similarity: float = 0.8, words: int = 5, tables: int = 12, width: int = 2, radius: int = 3, group_cap: int = 20000) -> DataFrame:
-    """(u, v): verified links between rows of docs(doc_id, text), ids distinct and not null.
+def _candidates(docs: DataFrame, tables: int, width: int, radius: int, group_cap: int) -> DataFrame:
+    """(a, b), a < b: rows within the radius in any of several tables of fingerprints over `width`-word shingles.
 
-    Candidates come within the radius in any of several tables of fingerprints over `width`-word shingles; each is
-    verified by the exact Jaccard similarity of the two texts' sets of `words`-word shingles. Only candidates' texts
-    are read again. Copies of a fingerprint are candidates with the smallest id that has it, not with one another.
+    Copies of a fingerprint are candidates with the smallest id that has it, not with one another.
     """
     prints = materialize(_table_rows(docs, width, tables), "table-prints")
     nodes = materialize(prints.groupBy("table", "fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "table-nodes")
@@ -445,7 +443,11 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, words: int = 5, tabl
     found = links(nodes.select("fp", "table"), radius, group_cap)
     of = nodes.groupBy("fp").agg(F.min("rep").alias("rep"))
     near = found.join(of.select(F.col("fp").alias("u"), F.col("rep").alias("a")), "u").join(of.select(F.col("fp").alias("v"), F.col("rep").alias("b")), "v").where("a <> b").select("a", "b")
-    pairs = materialize(same.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    return materialize(same.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, similarity: float, words: int) -> DataFrame:
+    """(u, v): the pairs (a, b) whose sets of `words`-word shingles are similar. Only their texts are read again."""
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidate-ids")
     sets = materialize(_shingle_sets(docs.join(_bounded(ids), "doc_id", "left_semi"), words), "shingle-sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
@@ -453,6 +455,190 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, words: int = 5, tabl
     return both.withColumn("shared", shared).where(F.col("shared") >= similarity * (F.size("x") + F.size("y") - F.col("shared"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+#: Documents whose shingles are counted to find hot ones, and the count in that sample from which one is hot. Hot ones
+#: go last in the order of shingles; any order is exact, so the sample bears on cost only.
+SAMPLE_DOCS, HOT, MOST_HOT = 20_000, 8, 100_000
+#: A hot shingle expected in more documents than this is dealt over pairs of blocks of them.
+HOT_BLOCK = 2_000
+#: Rows that are paired at a time, and pairs held before repeats are taken out.
+JOIN_ROWS, JOIN_PAIRS = 1 << 16, 1 << 18
+#: Pairs verified at once (or a tenth of the documents), and the rounds that thin more of them by components first.
+VERIFY_PAIRS, THIN_ROUNDS = 20_000, 4
+
+
+def _hot_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending by their count in a sample of documents, and the count expected of all."""
+    every = max(1, -(-docs.count() // SAMPLE_DOCS))
+    sample = _shingle_sets(docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(every)) == 0), words)
+    found = sample.select(F.explode("shingles").alias("s")).groupBy("s").count().where(F.col("count") >= HOT).orderBy(F.col("count").desc(), "s").limit(MOST_HOT).toArrow()
+    return found.column("s").to_numpy()[::-1].view(np.uint64), found.column("count").to_numpy()[::-1] * every
+
+
+def _ordered(hashes: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Distinct hashes by value, hot ones (sorted, of the given ranks) after them by rank."""
+    hashes = np.unique(hashes)
+    if not len(hot):
+        return hashes
+    at = np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)
+    is_hot = hot[at] == hashes
+    return np.concatenate([hashes[~is_hot], hot[at[is_hot][np.argsort(rank[at[is_hot]])]]])
+
+
+def _prefix_rows(similarity: float, words: int, hot: np.ndarray, counts: np.ndarray):
+    """Rows (key, place, doc_id, label) of the first n - ceil(similarity n) + 1 shingles of each text, n in all.
+
+    Similar texts share one of these. place holds n and the shingle's place among them. The key is the shingle, or, of
+    one with B > 1 blocks, the shingle mixed with each pair of blocks that the document's own is of.
+    """
+    order = np.argsort(hot)
+    sorted_hot, rank = hot[order], order
+    blocks = -(-counts[order] // HOT_BLOCK)
+    salt = np.uint64(0x9E3779B97F4A7C15)
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 50):
+                part = batch.slice(start, 50)
+                ids, labels = part.column("doc_id").to_numpy(), part.column("label").to_numpy()
+                keys, places, owner = [], [], []
+                for i, text in enumerate(as_bytes(part.column("text"))):
+                    tokens = _ordered(np.array(shingle_hashes(text or b"", words), np.uint64), sorted_hot, rank)
+                    n = len(tokens)
+                    if not n:
+                        continue
+                    head = tokens[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+                    place = (n << 32) + np.arange(len(head), dtype=np.int64)
+                    if len(sorted_hot):
+                        at = np.minimum(np.searchsorted(sorted_hot, head), len(sorted_hot) - 1)
+                        many = np.where(sorted_hot[at] == head, blocks[at], 1)
+                        own = xxhash.xxh64_intdigest(int(ids[i]).to_bytes(8, "little", signed=True))
+                        for j in np.flatnonzero(many > 1):
+                            b = int(many[j])
+                            other = np.arange(b)
+                            pair = (np.minimum(other, own % b) * b + np.maximum(other, own % b) + 1).astype(np.uint64)
+                            keys.append(head[j] ^ (pair * salt))
+                            places.append(np.full(b, place[j]))
+                            owner.append(np.full(b, i))
+                        head, place = head[many == 1], place[many == 1]
+                    keys.append(head)
+                    places.append(place)
+                    owner.append(np.full(len(head), i))
+                if keys:
+                    own = np.concatenate(owner)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(places)), pa.array(ids[own]), pa.array(labels[own])], ["key", "place", "doc_id", "label"])
+
+    return run
+
+
+def _pairs_within(similarity: float):
+    """Streams rows sorted by key and place; (a, b, met, least) of rows with one key that lengths and places allow to be
+    similar, met being the keys they share here and least the number they must share in all.
+
+    What a pair shares up to the nearer end of the two prefixes lies in both; beyond it, no more than the rest of one.
+    """
+    share = similarity / (1 + similarity)
+
+    def distinct(a: list, b: list, least: list):
+        every = np.stack([np.concatenate(a), np.concatenate(b), np.concatenate(least)], axis=1)
+        both, n = np.unique(every, axis=0, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (both[:, 0], both[:, 1], n.astype(np.int64), both[:, 2])], ["a", "b", "met", "least"])
+
+    def settle(key, place, doc, label):
+        n, at_place = place >> 32, place & 0xFFFFFFFF
+        ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
+        left = ends[np.searchsorted(ends, np.arange(len(key)), side="right")] - np.arange(len(key)) - 1
+        at, k = np.flatnonzero(left > 0), 1
+        a_all, b_all, c_all, held = [], [], [], 0
+        while len(at):
+            other = at + k
+            near = n[at] >= similarity * n[other] - 1e-9  # longer ones follow
+            at, other = at[near], other[near]
+            most = np.minimum(at_place[at], at_place[other]) + np.minimum(n[at] - at_place[at], n[other] - at_place[other])
+            fit = (label[at] != label[other]) & (doc[at] != doc[other]) & (most >= share * (n[at] + n[other]) - 1e-6)
+            if fit.any():
+                x, y = doc[at[fit]], doc[other[fit]]
+                a_all.append(np.minimum(x, y))
+                b_all.append(np.maximum(x, y))
+                rest = np.ceil(similarity * n[other[fit]] - 1e-9) - 1  # of the longer one, beyond its prefix
+                c_all.append(np.ceil(share * (n[at[fit]] + n[other[fit]]) - 1e-6 - rest).astype(np.int64))
+                held += len(x)
+                if held > JOIN_PAIRS:
+                    yield distinct(a_all, b_all, c_all)
+                    a_all, b_all, c_all, held = [], [], [], 0
+            k += 1
+            at = at[left[at] >= k]
+        if held:
+            yield distinct(a_all, b_all, c_all)
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append([batch.column(c).to_numpy() for c in ("key", "place", "doc_id", "label")])
+            size += batch.num_rows
+            if size < JOIN_ROWS or held[-1][0][-1] == held[0][0][0]:
+                continue
+            cols = [np.concatenate(c) for c in zip(*held)]
+            last = int(np.searchsorted(cols[0], cols[0][-1]))  # the last key's rows may go on
+            yield from settle(*(c[:last] for c in cols))
+            held = [[c[last:].copy() for c in cols]]
+            size = len(cols[0]) - last
+        if held:
+            yield from settle(*(np.concatenate(c) for c in zip(*held)))
+
+    return run
+
+
+def _labelled(docs: DataFrame, column: str, roots: DataFrame, label: str) -> DataFrame:
+    """docs with the least id of the component of `column` by roots(u, v) as `label`."""
+    right = roots.select(F.col("u").alias(column), F.col("v").alias(label))
+    if roots.count() <= BROADCAST_IDS:
+        right = F.broadcast(right)
+    return docs.join(right, column, "left").withColumn(label, F.coalesce(label, column))
+
+
+def missing_links(docs: DataFrame, known: DataFrame, similarity: float, words: int) -> DataFrame:
+    """(u, v): verified links that, with those of known(u, v), connect all that links of every similar pair connect.
+
+    A set-similarity join that leaves out no pair: similar texts share a shingle among the first of each in one order
+    of all shingles, hot ones last. Pairs that known links connect already are left out. Where many pairs remain, one
+    for each two components is verified first, and pairs within the components that result are left out too.
+    """
+    spark = docs.sparkSession
+    roots = components(known)
+    hot, counts = _hot_shingles(docs, words)
+    rows = _labelled(docs.select("doc_id", "text"), "doc_id", roots, "label").select("doc_id", "text", "label").mapInArrow(_prefix_rows(similarity, words, hot, counts), "key long, place long, doc_id long, label long")
+    met = rows.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key", "place").mapInArrow(_pairs_within(similarity), "a long, b long, met long, least long")
+    pairs = materialize(met.groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("least").alias("least")).where("met >= least").select("a", "b"), "join-pairs")
+    at_once = max(VERIFY_PAIRS, docs.count() // 10)
+    found = known
+    for _ in range(THIN_ROUNDS):
+        if pairs.count() <= at_once:
+            break
+        sides = _labelled(_labelled(pairs, "a", roots, "la"), "b", roots, "lb")
+        first = F.min(F.struct("a", "b")).alias("p")
+        # each component's link to the least one it may belong to: rows in proportion to components
+        ends = sides.select("a", "b", F.least("la", "lb").alias("x"), F.greatest("la", "lb").alias("y"))
+        tried = materialize(ends.groupBy("y").agg(F.min(F.struct("x", "a", "b")).alias("q")).select(F.struct("q.a", "q.b").alias("p")).unionByName(ends.groupBy("x").agg(first).select("p")).select("p.a", "p.b").distinct(), "join-tried")
+        found = found.unionByName(materialize(_verified(docs, tried, similarity, words), "join-found"))
+        roots = components(found)
+        left = _labelled(_labelled(pairs.join(tried, ["a", "b"], "left_anti"), "a", roots, "la"), "b", roots, "lb")
+        pairs = materialize(left.where("la <> lb").select("a", "b"), "join-pairs")
+    return found.unionByName(_verified(docs, pairs, similarity, words))
+
+
+def similar_links(docs: DataFrame, similarity: float = 0.8, words: int = 5, tables: int = 12, width: int = 2, radius: int = 3, group_cap: int = 20000) -> DataFrame:
+    """(u, v): verified links between rows of docs(doc_id, text), ids distinct and not null, that connect whatever the
+    pairs of texts connect whose sets of `words`-word shingles have the given Jaccard similarity or more.
+
+    Tables of fingerprints find most links at little cost, the largest groups among them; a join of shingles finds what
+    they miss.
+    """
+    near = _verified(docs, _candidates(docs, tables, width, radius, group_cap), similarity, words)
+    return missing_links(docs, materialize(near, "similar"), similarity, words)
+
+
 def keep_one(docs: DataFrame, radius: int = 3, similarity: float = 0.8, tables: int = 12) -> DataFrame:
     """docs with one document of each group left: that with the smallest doc_id (ties: the smallest text, then any).
 

@@ -231,6 +231,37 @@ def test_similar_texts_go(spark, odd):
     assert set(out) <= set(texts(simhash.keep_one(odd, tables=0))) and simhash.keep_one(odd).columns == odd.columns
 
 
+def test_all_similar_texts_go(spark, monkeypatch):
+    """Kept ids against brute force, with blocks replaced and text appended; hot shingles in blocks, pairs thinned."""
+    rng = random.Random(17)
+    vocabulary = ["".join(rng.choice("aeioulnrst") for _ in range(6)) for _ in range(3000)]
+    draw = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    data = []
+    for _ in range(15):
+        text = draw(400)
+        at = rng.randrange(300)
+        scattered = list(text)
+        for _ in range(8):
+            scattered[rng.randrange(400)] = rng.choice(vocabulary)
+        data += [text, text[:at] + draw(40) + text[at + 40 :], text[:at] + draw(20) + text[at + 20 :], text + draw(60), text + draw(85), text + draw(140), scattered]
+    common = draw(30)
+    data += [common + draw(rng.randrange(3, 60)) for _ in range(60)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(data)], "doc_id long, text string")
+    of = dict(texts(df))
+    first = sorted(r.doc_id for r in simhash.near_duplicates(df).collect() if r.doc_id == r.component_id)
+    label = {d: d for d in first}
+    for i, a in enumerate(first):
+        for b in first[i + 1 :]:
+            if label[a] != label[b] and jaccard(of[a], of[b]) >= 0.8:
+                x, y = sorted((label[a], label[b]))
+                label = {d: x if c == y else c for d, c in label.items()}
+    want = set(label.values())
+    assert {r.doc_id for r in simhash.keep_one(df).collect()} == want
+    for name, value in {"SAMPLE_DOCS": 40, "HOT": 3, "HOT_BLOCK": 10, "JOIN_ROWS": 50, "JOIN_PAIRS": 5, "VERIFY_PAIRS": 0, "THIN_ROUNDS": 2}.items():
+        monkeypatch.setattr(simhash, name, value)
+    assert {r.doc_id for r in simhash.keep_one(df).collect()} == want
+
+
 # 9
 
 
