@@ -324,6 +324,24 @@ def test_raking(odd, here):
     assert max(c[5] for c in cells) == pytest.approx(1) and all(0 <= c[5] <= 1 for c in cells)
 
 
+@pytest.mark.parametrize("here", [50_000, 0])
+def test_rare_values_leave_the_rest(spark, here):
+    """A document of a rare or null value, alone or in a cell of its own, costs few others, whatever the corpus's size."""
+    base = [(s, x, "prose", 1000 * n) for s, x, n in (("web", "en", 600), ("web", "de", 150), ("news", "en", 150), ("news", "de", 100))]
+    nested = [("web", "en", "prose", 600_000), ("books", "fr", "prose", 100_000), ("plays", "fr", "prose", 300_000)]
+
+    def kept(data, times=1):
+        df = spark.createDataFrame([(*d[:3], d[3] * (times if d[3] > 50 else 1)) for d in data], "source string, lang string, topic string, tokens long")
+        cells = mixing.rake(df, cells_here=here).collect()
+        assert all(0 <= c.probability <= 1 for c in cells)
+        return sum(c.tokens * c.probability for c in cells) / sum(c.tokens for c in cells)
+
+    for more in ([("web", None, "prose", 50)], [("new", "en", "prose", 50)], [(None, None, "caps", 50), ("new", "de", "prose", 50)]):
+        for times in (1, 300):
+            assert kept(base + more, times) > 0.95 * kept(base)
+    assert kept([*nested, ("books", "en", "prose", 50)]) > 0.5
+
+
 def test_mixing(spark, odd, none):
     tokens = {(r.doc_id, r.tokens) for r in mixing.with_dimensions(odd).collect()}
     assert tokens == {(d, len([w for w in re.split("[\x20\x09-\x0d]+", t or "") if w])) for d, t in texts(odd)}
