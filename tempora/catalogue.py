@@ -18,9 +18,9 @@ from tempora.streaming import live
 
 HOUR = 3_600_000_000
 RUN_GAP = 6 * HOUR
-#: 2024-01-01 in microseconds: the first hour of the grid
-ORIGIN = 1_704_067_200_000_000
-HOURS = 720
+#: The grid of hours begins with the hour of the first event and ends with that of the last.
+ORIGIN_SQL = f"(SELECT min(epoch_us(ts)) // {HOUR} * {HOUR} FROM events)"
+HOURS_SQL = f"(SELECT max(epoch_us(ts)) // {HOUR} - min(epoch_us(ts)) // {HOUR} + 1 FROM events)"
 PROMINENCE = 60.0
 
 QUERIES: dict = {}
@@ -45,6 +45,13 @@ def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value", scalar.micros("ts").alias("t"))
 
 
+def grid_of(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """The grid's first microsecond and its number of hours."""
+    ends = signal(spark, sf_dir).agg(F.min("t"), F.max("t")).first()
+    first, last = ((x or 0) // HOUR for x in ends)
+    return first * HOUR, last - first + 1
+
+
 SIGNAL = "signal AS (SELECT user_id, event_id, event_type, value, epoch_us(ts) AS t FROM events)"
 
 
@@ -156,34 +163,34 @@ def velocity_lag(spark, sf_dir):
 
 def hourly(spark, sf_dir) -> DataFrame:
     """A point per user and hour, its last event: user_id, frame_idx (hour), timestamp (hours), pos_x, pos_y, confidence."""
-    rows = signal(spark, sf_dir).withColumn("frame_idx", F.floor((F.col("t") - ORIGIN) / HOUR).cast("int"))
+    rows = signal(spark, sf_dir).withColumn("frame_idx", F.floor((F.col("t") - grid_of(spark, sf_dir)[0]) / HOUR).cast("int"))
     last = rows.groupBy("user_id", "frame_idx").agg(F.max_by("value", F.struct("t", "event_id")).alias("pos_y"), F.max("event_id").alias("e"))
     return last.select(F.lit("all").alias("video_id"), F.col("user_id").alias("track_id"), "frame_idx", F.col("frame_idx").cast("double").alias("timestamp"), (F.col("e") % 100 / 100.0).alias("pos_x"), "pos_y", F.lit(0.5).alias("confidence"), F.lit(False).alias("is_interpolated"))
 
 
 HOURLY = f"""{SIGNAL},
-hourly AS (SELECT user_id AS track_id, CAST(floor((t - {ORIGIN}) / {HOUR}.0) AS INTEGER) AS frame_idx, max_by(value, (t, event_id)) AS pos_y, max(event_id) % 100 / 100.0::DOUBLE AS pos_x FROM signal GROUP BY 1, 2)"""
+hourly AS (SELECT user_id AS track_id, CAST(floor((t - {ORIGIN_SQL}) / {HOUR}.0) AS INTEGER) AS frame_idx, max_by(value, (t, event_id)) AS pos_y, max(event_id) % 100 / 100.0::DOUBLE AS pos_x FROM signal GROUP BY 1, 2)"""
 
 
-def _grid(spark) -> DataFrame:
-    return spark.createDataFrame([("all", 1.0, 640, 480, HOURS, float(HOURS))], "video_id string, fps double, width int, height int, frame_count int, duration double")
+def _grid(spark, hours: int) -> DataFrame:
+    return spark.createDataFrame([("all", 1.0, 640, 480, hours, float(hours))], "video_id string, fps double, width int, height int, frame_count int, duration double")
 
 
 FEATURES = f"""{HOURLY},
 v AS (SELECT track_id, frame_idx, (pos_y - lag(pos_y) OVER w) / CAST(frame_idx - lag(frame_idx) OVER w AS DOUBLE) AS vy FROM hourly WINDOW w AS (PARTITION BY track_id ORDER BY frame_idx)),
 features AS (SELECT g.f AS frame_idx, CAST(count(v.track_id) AS INTEGER) AS num_active_tracks, CAST(floor(coalesce(avg(vy), 0) * 1000 + 0.37) AS BIGINT) AS mean_milli, CAST(floor(coalesce(stddev_pop(vy), 0) * 1000 + 0.37) AS BIGINT) AS std_milli
-             FROM (SELECT CAST(unnest(range({HOURS})) AS INTEGER) AS f) g LEFT JOIN v ON v.frame_idx = g.f GROUP BY g.f)"""
+             FROM (SELECT CAST(unnest(range({HOURS_SQL})) AS INTEGER) AS f) g LEFT JOIN v ON v.frame_idx = g.f GROUP BY g.f)"""
 
 
 @query(f"WITH {FEATURES} SELECT * FROM features")
 def frame_features(spark, sf_dir):
-    found = features.frame_features(hourly(spark, sf_dir), _grid(spark))
+    found = features.frame_features(hourly(spark, sf_dir), _grid(spark, grid_of(spark, sf_dir)[1]))
     milli = lambda c: F.floor(F.col(c) * 1000 + 0.37).cast("long")  # noqa: E731  values of two decimals don't end on such a bound
     return found.select("frame_idx", "num_active_tracks", milli("mean_velocity_y").alias("mean_milli"), milli("std_velocity_y").alias("std_milli"))
 
 
 @query(f"""WITH {SIGNAL},
-f AS (SELECT CAST(frame AS INTEGER) AS i, frame / 1.0::DOUBLE AS ts, count(DISTINCT user_id) AS n FROM (SELECT unnest(range({HOURS})) AS frame) LEFT JOIN signal ON event_type = 'purchase' AND CAST(floor((t - {ORIGIN}) / {HOUR}.0) AS BIGINT) = frame GROUP BY frame),
+f AS (SELECT CAST(frame AS INTEGER) AS i, frame / 1.0::DOUBLE AS ts, count(DISTINCT user_id) AS n FROM (SELECT unnest(range({HOURS_SQL})) AS frame) LEFT JOIN signal ON event_type = 'purchase' AND CAST(floor((t - {ORIGIN_SQL}) / {HOUR}.0) AS BIGINT) = frame GROUP BY frame),
 k AS (SELECT count(*) AS nn, max(ts) AS lt, CAST(floor(6.0 * (count(*) / max(ts))) AS INTEGER) AS g FROM f),
 c AS (SELECT f.*, nn, lt, g, lag(i) OVER (ORDER BY i) AS p FROM f, k WHERE n >= 2),
 j AS (SELECT *, sum(CASE WHEN i - p - 1 > g THEN 1 ELSE 0 END) OVER (ORDER BY i) AS island FROM c),
@@ -191,9 +198,10 @@ a AS (SELECT min(i) AS first, max(i) AS last, any_value(nn) AS nn, any_value(g)
 b AS (SELECT first, CASE WHEN nn - 1 - last <= g THEN last WHEN last = 0 THEN nn - 1 ELSE last - 1 END AS e FROM a)
 SELECT CAST(row_number() OVER (ORDER BY first) - 1 AS INTEGER) AS segment_id, CAST(first AS DOUBLE) AS start_time, CAST(e AS DOUBLE) AS end_time, 0.8::DOUBLE AS confidence FROM b WHERE e - first >= 3""")
 def segments_hysteresis(spark, sf_dir):
-    rows = signal(spark, sf_dir).where("event_type = 'purchase'").withColumn("frame_idx", F.floor((F.col("t") - ORIGIN) / HOUR).cast("int"))
+    origin, hours = grid_of(spark, sf_dir)
+    rows = signal(spark, sf_dir).where("event_type = 'purchase'").withColumn("frame_idx", F.floor((F.col("t") - origin) / HOUR).cast("int"))
     active = rows.groupBy("frame_idx").agg(F.countDistinct("user_id").cast("int").alias("n"))
-    dense = features.frame_grid(_grid(spark)).join(active, "frame_idx", "left").select("video_id", "frame_idx", "timestamp", F.coalesce("n", F.lit(0)).alias("num_active_tracks"))
+    dense = features.frame_grid(_grid(spark, hours)).join(active, "frame_idx", "left").select("video_id", "frame_idx", "timestamp", F.coalesce("n", F.lit(0)).alias("num_active_tracks"))
     return segments.segments(dense, 3.0, 6.0).drop("video_id")
 
 
@@ -473,18 +481,28 @@ def nearest_assignment(spark, sf_dir):
     return found.withColumn("distance", F.round("distance", 6))
 
 
-@query()
+_KALMAN = f"""WITH RECURSIVE {SIGNAL},
+g AS (SELECT user_id, event_id, t / 1e6 AS tm, value / 500 AS z, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM signal),
+s AS (SELECT user_id, event_id, i, tm, z AS x, 0.0::DOUBLE AS vx, 1.0::DOUBLE AS p, 0.0::DOUBLE AS c, 1.0::DOUBLE AS v FROM g WHERE i = 1
+  UNION ALL SELECT user_id, event_id, i, tm, x + p / (p + 0.001::DOUBLE) * (z - x), vx + c / (p + 0.001::DOUBLE) * (z - x), (1 - p / (p + 0.001::DOUBLE)) * p, (1 - p / (p + 0.001::DOUBLE)) * c, v - c / (p + 0.001::DOUBLE) * c
+  FROM (SELECT user_id, event_id, i, tm, z, x + vx * dt AS x, vx, p + 2 * dt * c + dt * dt * v + 0.01::DOUBLE AS p, c + dt * v AS c, v + 0.01::DOUBLE * 10 AS v
+    FROM (SELECT g.user_id, g.event_id, g.i, g.tm, g.z, s.x, s.vx, s.p, s.c, s.v, CASE WHEN g.tm - s.tm > 0 THEN g.tm - s.tm ELSE 1.0::DOUBLE / 30 END AS dt FROM s JOIN g ON g.user_id = s.user_id AND g.i = s.i + 1)))
+SELECT user_id, event_id, round(x, 6) + 0.0::DOUBLE AS x, round(vx, 6) + 0.0::DOUBLE AS vx FROM s"""
+
+
+@query(_KALMAN)
 def kalman_smooth(spark, sf_dir):
     rows = signal(spark, sf_dir).withColumn("seconds", F.col("t") / 1e6)
-    return tracking.smooth(rows.withColumn("x", F.col("value") / 500).withColumn("y", F.col("value") / 500), ["user_id"], "event_id", "seconds", "x", "y").select("user_id", "event_id", F.round("x", 6).alias("x"), F.round("vx", 6).alias("vx"))
+    return tracking.smooth(rows.withColumn("x", F.col("value") / 500).withColumn("y", F.col("value") / 500), ["user_id"], "event_id", "seconds", "x", "y").select("user_id", "event_id", (F.round("x", 6) + 0.0).alias("x"), (F.round("vx", 6) + 0.0).alias("vx"))  # no negative zero
 
 
 @query()
 def track_objects(spark, sf_dir):
     """Every user's day is a video of 1440 frames, an event a box."""
     rows = signal(spark, sf_dir)
-    day = F.floor((F.col("t") - ORIGIN) / (24 * HOUR))
-    minute = F.floor((F.col("t") - ORIGIN) / 60_000_000) % 1440
+    origin = grid_of(spark, sf_dir)[0] // (24 * HOUR) * 24 * HOUR
+    day = F.floor((F.col("t") - origin) / (24 * HOUR))
+    minute = F.floor((F.col("t") - origin) / 60_000_000) % 1440
     x, y = F.col("value") % 100 * 6, F.col("value")
     boxes = rows.select(F.concat(F.lit("day"), day.cast("string")).alias("video_id"), minute.cast("int").alias("frame_idx"), (minute / 30.0).alias("timestamp"), F.col("event_id").cast("int").alias("det_idx"), x.alias("x1"), y.alias("y1"), (x + 20).alias("x2"), (y + 20).alias("y2"), F.lit(0.5).alias("confidence"), F.lit(32).alias("class_id"))
     videos = boxes.select("video_id").distinct().select("video_id", F.lit(30.0).alias("fps"), F.lit(640).alias("width"), F.lit(512).alias("height"), F.lit(1440).alias("frame_count"))
@@ -521,3 +539,6 @@ def stream_runs(spark, sf_dir):
 def stream_peaks(spark, sf_dir):
     points = _stream(spark, sf_dir).select("user_id", (F.unix_micros("at") / 1e6).alias("t"), "value")
     return _to_table(live.live_peaks(points, "user_id", "t", "value", prominence=PROMINENCE), "stream-peaks", "append").withColumnRenamed("key", "user_id")
+
+
+from tempora import catalogue_more  # noqa: E402, F401  registers its queries

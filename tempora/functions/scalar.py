@@ -35,6 +35,11 @@ def as_timestamp(seconds: Column) -> Column:
     return F.timestamp_seconds(seconds)
 
 
+def holds(text: Column, part: str) -> Column:
+    """Whether a text holds a part, as it is."""
+    return text.contains(part)
+
+
 def micros(ts: str) -> Column:
     """Microseconds since 1970 of a zone-less timestamp column, whatever the session's zone."""
     return F.expr(f"CAST(datediff(CAST({ts} AS DATE), DATE'1970-01-01') AS BIGINT) * 86400000000 + hour({ts}) * 3600000000L + minute({ts}) * 60000000L + CAST(extract(SECOND FROM {ts}) * 1000000 AS BIGINT)")

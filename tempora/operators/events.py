@@ -30,8 +30,7 @@ def _track_events(settings: Settings):
             stamp = np.rint(t * 1e4) / 1e4
             found += [(stamp[i], settings.event_confidence, "throw", 0) for i in peaks.find(y, settings.prominence)]
             found += [(stamp[i], settings.event_confidence, "peak", 1) for i in peaks.find(-y, settings.prominence, settings.width)]
-            for place, (i, step) in enumerate(((0, 2), (n - 1, 3))):
-                del place
+            for i, step in ((0, 2), (n - 1, 3)):
                 if y[i] < settings.edge_y and not any(kind == "peak" and abs(at - t[i]) < settings.edge_seconds for at, _, kind, _ in found):
                     found.append((stamp[i], settings.edge_confidence, "peak", step))
         cols = list(zip(*found)) if found else [[]] * 4
@@ -50,5 +49,9 @@ def events(points: DataFrame, segments: DataFrame, settings: Settings = DEFAULT)
     """
     inside = segment_points(points, segments).select("video_id", "segment_id", "track_id", "frame_idx", "timestamp", "pos_y")
     found = inside.groupBy("video_id", "segment_id", "track_id").applyInArrow(_track_events(settings), "video_id string, segment_id int, track_id int, timestamp double, confidence double, event_type string, step int")
-    order = Window.partitionBy("video_id", "segment_id").orderBy("timestamp", "track_id", "step")
-    return found.withColumn("event_id", F.row_number().over(order) - 1).drop("step")
+    return numbered(found, ["timestamp", "track_id", "step"], "event_id").drop("step")
+
+
+def numbered(found: DataFrame, order: list[str], place: str) -> DataFrame:
+    """The place of each event in its segment, from 0."""
+    return found.withColumn(place, F.row_number().over(Window.partitionBy("video_id", "segment_id").orderBy(*order)) - 1)

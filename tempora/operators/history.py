@@ -43,6 +43,24 @@ def history(sessions: DataFrame, runs: DataFrame, user_id: str | None = None) ->
     return chosen.join(totals, "session_uuid", "left").select("user_id", "session_uuid", "start_time", F.col("end_time").alias("timestamp"), F.coalesce("total", F.lit(0)).cast("long").alias("total_throws"), F.when(duration > 0, duration).otherwise(F.lit(0.0)).alias("duration_seconds"))
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """history() with `place`, from 1, in the order of a user's sessions: by start, then key. The order of a user's rows
+    is a column, so no table is sorted as a whole."""
+    order = Window.partitionBy("user_id").orderBy("start_time", "session_uuid")
+    return rows.withColumn("place", F.row_number().over(order).cast("int"))
+
+
+def first_rows(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row of each key, the least by `order`; combined before the shuffle."""
+    rest = [c for c in rows.columns if c not in keys]
+    least = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("row"))
+    return least.select(*keys, *[F.col(f"row.`{c}`").alias(c) for c in rest])
+
+
+def all_users(users: DataFrame) -> DataFrame:
+    return users.select("user_id", "name", "email")
+
+
 def segment_totals(events: DataFrame, keys: list[str]) -> DataFrame:
     """Throw and peak events of each key: three meanings of "throws" stay apart (throw events, peak events, run peaks)."""
     return events.groupBy(*keys).agg(F.count_if(F.col("event_type") == "throw").alias("total_throws"), F.count_if(F.col("event_type") == "peak").alias("total_peaks"), F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("average_confidence"))

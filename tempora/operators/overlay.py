@@ -2,51 +2,78 @@
 
 from __future__ import annotations
 
+import bisect
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.config import DEFAULT
+from tempora.operators.folds import fold
+
+
+#: Marks of one moment are taken in this order: a run holds its first throw and its last frame.
+_BEGIN, _THROW, _FRAME, _END = range(4)
+
+
+class _Video:
+    """What a frame needs of all that came before it."""
+
+    def __init__(self):
+        self.throws = self.lit = self.segments = self.total = 0
+        self.done: list[int] = []  # throw counts of completed runs, sorted
+        self.open: dict[int, int] = {}  # run order -> throws before its start
 
+    def median(self) -> float:
+        n = len(self.done)
+        return (self.done[(n - 1) // 2] + self.done[n // 2]) / 2 if n else 0.0
 
-def _running(frames: DataFrame, marks: DataFrame, name: str, strict: bool = False) -> DataFrame:
-    """frames plus the number of marks(video_id, timestamp) at or before each (before it, if strict), by running sums."""
-    both = frames.withColumn("mark", F.lit(0)).unionByName(marks.select("video_id", "timestamp", F.lit(1).alias("mark")), allowMissingColumns=True)
-    so_far = F.sum("mark").over(Window.partitionBy("video_id").orderBy("timestamp").rangeBetween(Window.unboundedPreceding, 0))
-    if strict:
-        so_far = so_far - F.sum("mark").over(Window.partitionBy("video_id", "timestamp"))
-    return both.withColumn(name, so_far).where("mark = 0").drop("mark")
+
+def _step(v: _Video, kind: int, what: str, number: int | None, count: int | None, at) -> list[tuple]:
+    if kind == _FRAME:
+        run = min(v.open, default=-1)
+        return [(number, at, v.throws, v.total / len(v.done) if v.done else 0.0, v.median(), run, v.throws - v.open[run] if run >= 0 else 0, v.lit, v.segments > 0)]
+    sign = 1 if kind != _END else -1
+    if what == "throw":
+        v.throws += 1
+    elif what == "light":
+        v.lit += sign
+    elif what == "segment":
+        v.segments += sign
+    elif kind == _BEGIN:
+        v.open[number] = v.throws
+    else:
+        v.open.pop(number, None)
+        bisect.insort(v.done, count)
+        v.total += count
+    return []
 
 
 def overlay(frames: DataFrame, events: DataFrame, runs: DataFrame, segments: DataFrame, flash: float = DEFAULT.flash_seconds) -> DataFrame:
     """frames(video_id, frame_idx, timestamp) with the drawn metrics.
 
-    Throws so far come from a running sum. Runs of a video are few next to its frames: they meet as one sorted array a
-    video, so a frame's completed and current runs are array expressions and no frame is joined more than once. The
-    current run is the first, in order, that holds the frame; a run that ends right at the frame isn't completed.
+    Frames and marks of a video meet once, sorted by time, and stream through one pass; memory holds the counts of the
+    runs done. The current run is the first, in order, that holds the frame; a run that ends right at the frame isn't
+    completed. Frames before any mark have zeros.
     """
-    throws = events.where("event_type = 'throw'")
-    out = _running(frames.select("video_id", "frame_idx", "timestamp"), throws, "session_throws")
-    listed = runs.groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct("run_order", "start_time", "end_time", "throw_count"))).alias("runs"))
-    spans = segments.groupBy("video_id").agg(F.collect_list(F.struct("start_time", "end_time")).alias("spans"))
-    out = out.join(listed, "video_id", "left").join(spans, "video_id", "left")
-    t = F.col("timestamp")
-    done = F.sort_array(F.transform(F.filter(F.col("runs"), lambda r: r["end_time"] < t), lambda r: r["throw_count"]))
-    out = out.withColumn("done", F.coalesce(done, F.array().cast("array<bigint>")))
-    n = F.size("done")
-    total = F.aggregate("done", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    half = (F.get(F.col("done"), F.floor((n - 1) / 2).cast("int")) + F.get(F.col("done"), F.floor(n / 2).cast("int"))) / 2
-    inside = F.filter(F.col("runs"), lambda r: (r["start_time"] <= t) & (t <= r["end_time"]))
-    out = out.withColumn("current", F.get(inside, F.lit(0)))
-    started = _running(out.where("current is not null").select("video_id", F.col("current.start_time").alias("timestamp"), "frame_idx"), throws, "before", strict=True)
-    out = out.join(started.select("video_id", "frame_idx", "before"), ["video_id", "frame_idx"], "left")
-    out = _running(out, events, "begun")
-    out = _running(out, events.withColumn("timestamp", F.col("timestamp") + flash), "faded", strict=True)
-    lit = (F.col("begun") - F.col("faded")).cast("int")
-    return out.select(
-        "video_id", "frame_idx", "timestamp", F.col("session_throws").cast("long").alias("session_throws"), F.when(n > 0, total / n).otherwise(0.0).alias("mean_throws"), F.when(n > 0, half).otherwise(0.0).alias("median_throws"),
-        F.coalesce(F.col("current.run_order"), F.lit(-1)).cast("int").alias("current_run"), F.when(F.col("current").isNotNull(), F.col("session_throws") - F.col("before")).otherwise(0).cast("long").alias("current_run_throws"),
-        lit.alias("flashing"), F.coalesce(F.exists("spans", lambda s: (s["start_time"] <= t) & (t <= s["end_time"])), F.lit(False)).alias("in_segment"),
-    )
+    time = dict(frames.dtypes)["timestamp"]
+
+    def marks(rows: DataFrame, at, kind: int, what: str, number=None, count=None) -> DataFrame:
+        null = F.lit(None)
+        return rows.select("video_id", at.cast(time).alias("at"), F.lit(kind).alias("kind"), F.lit(what).alias("what"), (null if number is None else number).cast("long").alias("number"), (null if count is None else count).cast("long").alias("count"))
+
+    start, end, stamp = F.col("start_time"), F.col("end_time"), F.col("timestamp")
+    every = [
+        marks(frames, stamp, _FRAME, "frame", F.col("frame_idx")),
+        marks(events.where("event_type = 'throw'"), stamp, _THROW, "throw"),
+        marks(events, stamp, _THROW, "light"), marks(events, stamp + flash, _END, "light"),
+        marks(runs, start, _BEGIN, "run", F.col("run_order")), marks(runs, end, _END, "run", F.col("run_order"), F.col("throw_count")),
+        marks(segments, start, _BEGIN, "segment"), marks(segments, end, _END, "segment"),
+    ]
+    both = reduce(DataFrame.unionByName, every)
+    kind = dict(frames.dtypes)["frame_idx"]
+    out = f"frame_idx {kind}, timestamp {time}, session_throws long, mean_throws double, median_throws double, current_run int, current_run_throws long, flashing int, in_segment boolean"
+    return fold(both, ["video_id"], ["at", "kind"], ["kind", "what", "number", "count", "at"], _Video, _step, out)
 
 
 def tail(points: DataFrame, keys: list[str], order: str, columns: list[str], length: int = 20) -> DataFrame:
@@ -61,5 +88,9 @@ def rolling_mean(rows: DataFrame, keys: list[str], order: str, column: str, leng
 
 def ema(rows: DataFrame, keys: list[str], order: str, column: str, alpha: float) -> DataFrame:
     """(*keys, ema): the exponential mean of a series, folded in order; it starts at the first value."""
-    listed = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(column).cast("double").alias("v")))).alias("s"))
-    return listed.select(*keys, F.aggregate(F.slice("s", 2, 1 << 30), F.get(F.col("s"), F.lit(0))["v"], lambda a, x: a * (1 - alpha) + x["v"] * alpha).alias("ema"))
+
+    def step(state: list, v):
+        state[:] = [v] if not state else [state[0] * (1 - alpha) + v * alpha]
+        return ()
+
+    return fold(rows.withColumn(column, F.col(column).cast("double")), keys, [order], [column], list, step, "ema double", lambda state: [tuple(state)])

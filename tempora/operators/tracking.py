@@ -18,6 +18,7 @@ from tempora import schemas
 from tempora.config import DEFAULT, Settings
 from tempora.functions.assignment import assign
 from tempora.functions.motion import Filters
+from tempora.operators.folds import fold
 
 TENTATIVE, CONFIRMED, DELETED = "TENTATIVE", "CONFIRMED", "DELETED"
 
@@ -120,6 +121,7 @@ def regions(predictions: dict[int, tuple[float, float, float, float]], scale: fl
 
 
 _POINTS = [x.split()[0] for x in schemas.TRACK_POINTS.split(", ")]
+_STATES = [x.split()[0] for x in schemas.TRACK_STATES.split(", ")]
 
 
 def _frames(batches: Iterator[pa.RecordBatch]):
@@ -139,7 +141,7 @@ def _frames(batches: Iterator[pa.RecordBatch]):
         yield now, np.array(boxes, float).reshape(-1, 5)
 
 
-def _run(settings: Settings, interpolate: bool, stride: int):
+def _run(settings: Settings, interpolate: bool, stride: int, states: bool = False):
     def points(batches):
         tracker = video = last = None
 
@@ -150,25 +152,29 @@ def _run(settings: Settings, interpolate: bool, stride: int):
                 yield from tracker.step(frame, frame / last[1], np.zeros((0, 5)), last[2], last[3])
                 frame += stride
 
+        def ended():
+            return tracker.snapshot() if states else ()
+
         for head, boxes in _frames(batches):
             if head[0] != video:
                 if tracker is not None:
-                    yield video, list(idle(last[4]))
+                    yield video, [*idle(last[4]), *ended()]
                 tracker, video, last = Tracker(settings, interpolate), head[0], (*head[:5], -stride)
             yield video, [*idle(head[5]), *tracker.step(head[5], head[5] / head[1], boxes, head[2], head[3])]
             last = head
         if tracker is not None:
-            yield video, list(idle(last[4]))
+            yield video, [*idle(last[4]), *ended()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         kinds = [pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
+        kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), *[pa.float64()] * 6] if states else kinds
 
         def emit():
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds)], _POINTS)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds)], _STATES if states else _POINTS)
 
         for video, rows in points(batches):
-            held += [(video, *r) for r in rows]
+            held += [(video, *r) for r in rows if len(r) == len(kinds) - 1]
             if len(held) > 5000:
                 yield emit()
                 held = []
@@ -180,13 +186,24 @@ def _run(settings: Settings, interpolate: bool, stride: int):
 
 def track(detections: DataFrame, videos: DataFrame, settings: Settings = DEFAULT, interpolate: bool = True, stride: int | None = None, test_mode: bool = False) -> DataFrame:
     """Track points of every video. Every `stride`-th frame counts, and only the first test_frames in test mode."""
+    stride, used = _dealt(detections, videos, settings, stride, test_mode)
+    return used.mapInArrow(_run(settings, interpolate, stride), schemas.TRACK_POINTS)
+
+
+def track_states(detections: DataFrame, videos: DataFrame, settings: Settings = DEFAULT, interpolate: bool = True, stride: int | None = None, test_mode: bool = False) -> DataFrame:
+    """The tracks that live at the end of every video, active and confirmed ones by `state`."""
+    stride, used = _dealt(detections, videos, settings, stride, test_mode)
+    return used.mapInArrow(_run(settings, interpolate, stride, states=True), schemas.TRACK_STATES)
+
+
+def _dealt(detections: DataFrame, videos: DataFrame, settings: Settings, stride: int | None, test_mode: bool) -> tuple[int, DataFrame]:
     stride = settings.stride if stride is None else stride
     used = detections.where(F.col("frame_idx") % stride == 0)
     if test_mode:
         used = used.where(F.col("frame_idx") < settings.test_frames)
         videos = videos.withColumn("frame_count", F.least("frame_count", F.lit(settings.test_frames)))
     used = used.select("video_id", "frame_idx", "det_idx", "x1", "y1", "x2", "y2", "confidence").join(videos.select("video_id", "fps", "width", "height", "frame_count"), "video_id")
-    return used.repartition("video_id").sortWithinPartitions("video_id", "frame_idx", "det_idx").mapInArrow(_run(settings, interpolate, stride), schemas.TRACK_POINTS)
+    return stride, used.repartition("video_id").sortWithinPartitions("video_id", "frame_idx", "det_idx")
 
 
 def match(left: DataFrame, right: DataFrame, keys: list[str], limit: float) -> DataFrame:
@@ -212,26 +229,40 @@ def match(left: DataFrame, right: DataFrame, keys: list[str], limit: float) -> D
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, out)
 
 
+def unmatched(side: DataFrame, found: DataFrame, keys: list[str], matched: str) -> DataFrame:
+    """Rows of a side of match() that no pair of its result holds; `matched` is left_id or right_id."""
+    return side.join(found.select(*keys, F.col(matched).alias("id")), [*keys, "id"], "left_anti")
+
+
+def scan_mode(frames: DataFrame, every: int = DEFAULT.full_scan_every, rescan: int | None = None) -> DataFrame:
+    """frames(frame_idx, tracks, predictions, detections) plus `full`, and `again`: whether a scan of regions is followed
+    by one of the whole frame, because it found nothing or, with `rescan`, each so many frames."""
+    full = (F.col("frame_idx") % every == 0) | (F.col("tracks") == 0) | (F.col("predictions") == 0)
+    again = F.col("detections") == 0
+    if rescan is not None:
+        again |= F.col("frame_idx") % rescan == 0
+    return frames.withColumn("full", full).withColumn("again", ~full & again)
+
+
 def smooth(rows: DataFrame, keys: list[str], order: str, time: str, x: str, y: str, settings: Settings = DEFAULT) -> DataFrame:
     """(*keys, order, x, y, vx, vy): one filter a key, updated by every row in order."""
-    schema = rows.select(*keys, order).schema
-    out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema) + ", x double, y double, vx double, vy double"
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by(order)
-        f, last, states = Filters(settings), None, []
-        for t, a, b in zip(*(table.column(c).to_pylist() for c in (time, x, y))):
-            if last is None:
-                f.add(a, b)
-            else:
-                f.predict(np.array([t - last if t > last else 1 / 30]))
-                f.update(0, a, b)
-            states.append(f.at[0].copy())
-            last = t
-        s = np.array(states)
-        return table.select([*keys, order]).append_column("x", pa.array(s[:, 0])).append_column("y", pa.array(s[:, 1])).append_column("vx", pa.array(s[:, 2])).append_column("vy", pa.array(s[:, 3]))
-
-    return rows.groupBy(*keys).applyInArrow(run, out)
+
+    class State:
+        def __init__(self):
+            self.filters, self.last = Filters(settings), None
+
+    def step(s: State, at, t, a, b):
+        if s.last is None:
+            s.filters.add(a, b)
+        else:
+            s.filters.predict(np.array([t - s.last if t > s.last else 1 / 30]))
+            s.filters.update(0, a, b)
+        s.last = t
+        return [(at, *map(float, s.filters.at[0]))]
+
+    kind = dict(rows.dtypes)[order]
+    copied = rows.select(*keys, order, F.col(time).alias("tempora_t"), F.col(x).cast("double").alias("tempora_x"), F.col(y).cast("double").alias("tempora_y"))
+    return fold(copied, keys, [order], [order, "tempora_t", "tempora_x", "tempora_y"], State, step, f"{order} {kind}, x double, y double, vx double, vy double")
 
 
 def coast(rows: DataFrame, keys: list[str], order: str, x: str, y: str, alpha: float = 0.5, fall: float = 1.0) -> DataFrame:
@@ -240,16 +271,18 @@ def coast(rows: DataFrame, keys: list[str], order: str, x: str, y: str, alpha: f
     Speed is an exponential mean of the moves; a row without a position moves on by the speed, which then gains `fall`
     downwards. Rows before the first position have none.
     """
-    listed = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))).alias("s"))
-    kind = dict(rows.dtypes)[order]
-    none = F.lit(None).cast("double")
-    start = F.struct(none.alias("x"), none.alias("y"), F.lit(0.0).alias("vx"), F.lit(0.0).alias("vy"), F.array().cast(f"array<struct<o:{kind},x:double,y:double>>").alias("out"))
 
-    def step(a, r):
-        seen, known = r["x"].isNotNull(), a["x"].isNotNull()
-        speed = lambda c: F.when(seen & known, (r[c] - a[c]) * alpha + a["v" + c] * (1 - alpha)).otherwise(a["v" + c])
-        nx, ny = F.when(seen, r["x"]).otherwise(a["x"] + a["vx"]), F.when(seen, r["y"]).otherwise(a["y"] + a["vy"])
-        vy = F.when(~seen & known, a["vy"] + fall).otherwise(speed("y"))
-        return F.struct(nx.alias("x"), ny.alias("y"), speed("x").alias("vx"), vy.alias("vy"), F.concat(a["out"], F.array(F.struct(r["o"].alias("o"), nx.alias("x"), ny.alias("y")))).alias("out"))
+    def step(s: list, at, a, b):
+        px, py, vx, vy = s
+        if a is not None:
+            if px is not None:
+                vx, vy = (a - px) * alpha + vx * (1 - alpha), (b - py) * alpha + vy * (1 - alpha)
+            px, py = a, b
+        elif px is not None:
+            px, py, vy = px + vx, py + vy, vy + fall
+        s[:] = px, py, vx, vy
+        return [(at, px, py)]
 
-    return listed.select(*keys, F.explode(F.aggregate("s", start, step)["out"]).alias("p")).select(*keys, F.col("p.o").alias(order), "p.x", "p.y")
+    kind = dict(rows.dtypes)[order]
+    copied = rows.select(*keys, order, F.col(x).cast("double").alias("tempora_x"), F.col(y).cast("double").alias("tempora_y"))
+    return fold(copied, keys, [order], [order, "tempora_x", "tempora_y"], lambda: [None, None, 0.0, 0.0], step, f"{order} {kind}, x double, y double")

@@ -15,6 +15,7 @@ from tempora import schemas
 from tempora.config import DEFAULT, Settings
 from tempora.functions import peaks
 from tempora.operators.commands import commands
+from tempora.operators.folds import fold
 from tempora.operators.runs import runs_by_session_window
 from tempora.operators.tracking import Tracker
 
@@ -83,12 +84,13 @@ def triggers(transcripts: DataFrame) -> DataFrame:
 
 def audio_chunks(rows: DataFrame, keys: list[str], order: str, size: str, limit: float) -> DataFrame:
     """Numbers the buffers of an audio stream's pieces: a buffer is handed on, whole, once it holds more than `limit`."""
-    listed = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("double").alias("s")))).alias("p"))
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0.0).alias("held"), F.array().cast("array<struct<o:bigint,chunk:int>>").alias("out"))
 
-    def step(a, x):
-        held = a["held"] + x["s"]
-        out = F.concat(a["out"], F.array(F.struct(x["o"].cast("bigint").alias("o"), a["chunk"].alias("chunk"))))
-        return F.struct(F.when(held > limit, a["chunk"] + 1).otherwise(a["chunk"]).alias("chunk"), F.when(held > limit, 0.0).otherwise(held).alias("held"), out.alias("out"))
+    def step(state: list, at, s):
+        chunk = state[0]
+        state[1] += s
+        if state[1] > limit:
+            state[:] = [chunk + 1, 0.0]
+        return [(at, chunk)]
 
-    return listed.select(*keys, F.explode(F.aggregate("p", start, step)["out"]).alias("x")).select(*keys, F.col("x.o").alias(order), F.col("x.chunk").alias("chunk"))
+    kind = dict(rows.dtypes)[order]
+    return fold(rows.withColumn(size, F.col(size).cast("double")), keys, [order], [order, size], lambda: [0, 0.0], step, f"{order} {kind}, chunk int")
