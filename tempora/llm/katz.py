@@ -14,13 +14,18 @@ one exactly. All pairs are counted and kept. p0 is the Good-Turing mass of the n
 nothing, D(v) is c(v) + 1, else c(v).
 
 How it runs: texts never move. Each task cuts its documents into chunks of some CHUNK tokens and asks for the distinct
-words and pairs of each: sorted 64-bit keys, delta-coded, dealt out by key range to shards. A shard adds up its keys
-and answers every chunk with the counts, in the order of the question. A second round asks for the backoff weights:
+words and pairs of each: sorted 64-bit keys, delta-coded, dealt out by key range to shards; a chunk sends at most a row
+for each of its keys. A shard adds up its keys, stores its part of the n-gram table (`ngram_table`) and answers every
+chunk with the counts, in the order of the question. A second round asks for the backoff weights:
 each seen pair is accounted for by one chunk that holds it, a shard adds up the contexts and answers with weights. The
 last pass scores from the answers. A word or pair that makes a third of all text is one key of each chunk. Answers are
 tables in the shared folder, one directory a task, so a lost executor's tasks are simply run again; a checksum of each
 question guards against documents coming in another order, and the cut of the input is held fixed meanwhile.
 
+Words stand as 64-bit hashes without a check: two of V words share one with a chance of V squared over 2 ** 65, one in a
+hundred thousand at ten million words. The order is two: stored and moved bytes grow with the distinct n-grams, and three
+words would double the 2.0 x input of disk that two take (the check tool's limit is 4).
+
 Nulls and odd rows: a null or empty text is its end alone; a null doc_id is learned from and is not held out; repeated
 rows count and score each; with nothing to learn from every score is 0; other columns are not read.
 """
@@ -46,6 +51,7 @@ TURING, MIN_PAIR = 5, 1
 CHUNK = 1_000_000
 SHARD_BYTES = 16 << 20
 WORDS, PAIRS, CONTEXTS = 0, 1, 2
+STORED = -2  # the pid under which the n-gram tables stand beside the answers
 END = np.uint64(xxhash.xxh64_intdigest(b"end", 1))
 START = np.uint64(xxhash.xxh64_intdigest(b"start", 1))
 ASK = "pid int, chunk int, kind int, shard int, keys binary, n binary, x binary, y binary"
@@ -95,10 +101,14 @@ def pair_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def _bounds(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Where each shard's range of the sorted keys begins, and the end."""
-    first = np.array([-((-s << 64) // shards) for s in range(1, shards)], np.uint64)
-    return np.concatenate(([0], np.searchsorted(keys, first), [len(keys)]))
+def _cuts(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shards (a power of two, by the keys' high bits) that sorted keys fall into, and where each one's begin and the
+    last one's end. Work is in proportion to the keys, however many shards there are."""
+    if not len(keys):
+        return np.zeros(0, np.int64), np.zeros(1, np.int64)
+    of = (keys >> np.uint64(64 - (shards.bit_length() - 1))).astype(np.int64) if shards > 1 else np.zeros(len(keys), np.int64)
+    first = np.flatnonzero(np.diff(of, prepend=-1))
+    return of[first], np.append(first, len(keys))
 
 
 # chunks of documents
@@ -156,10 +166,9 @@ def _counted(keys: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _asks(pid: int, number: int, kind: int, shards: int, keys: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
-    at = _bounds(keys, shards)
-    full = [s for s in range(shards) if at[s] < at[s + 1]]
-    cut = [slice(at[s], at[s + 1]) for s in full]
-    cols = [pa.array([c] * len(full), pa.int32()) for c in (pid, number, kind)] + [pa.array(full, pa.int32()), pa.array([_squeeze_keys(keys[c]) for c in cut], pa.binary())]
+    full, at = _cuts(keys, shards)
+    cut = [slice(a, b) for a, b in zip(at, at[1:])]
+    cols = [pa.array([c] * len(full), pa.int32()) for c in (pid, number, kind)] + [pa.array(full.astype(np.int32)), pa.array([_squeeze_keys(keys[c]) for c in cut], pa.binary())]
     cols += [pa.array([_squeeze(values[i][c]) if i < len(values) else b"" for c in cut], pa.binary()) for i in range(3)]
     return pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in ASK.split(", ")])
 
@@ -187,7 +196,10 @@ def _totals(asks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return sorted_[new], place, first
 
 
-def _answers(rows: list[tuple], stats: list[int] | None) -> pa.Table:
+def _answers(rows: list[tuple], stats: list[int] | None, stored: tuple[bytes, bytes] = (b"", b"")) -> pa.Table:
+    """The answers; the shard's part of the n-gram table (pid STORED: keys and what is known of them); its sums (pid -1)."""
+    if rows:
+        rows = [*rows, (STORED, 0, rows[0][2], rows[0][3], 0, 0, *stored)]
     cols = list(zip(*rows)) if rows else [[]] * 8
     kinds = [pa.int32()] * 4 + [pa.int64()] * 2 + [pa.binary()] * 2
     names = [x.split()[0] for x in ANSWER.split(", ")]
@@ -212,7 +224,8 @@ def _answer_counts(table: pa.Table) -> pa.Table:
         rows.append((*head, len(k), _mark(k), _squeeze(answer[at : at + len(k)]), _squeeze(first[at : at + len(k)].view(np.uint8))))
         at += len(k)
     known = total[total > 0]
-    return _answers(rows, [int(known.sum()), len(known), *(int((known == r).sum()) for r in range(1, TURING + 2))])
+    held = total >= (MIN_PAIR if heads and heads[0][2] == PAIRS else 1)
+    return _answers(rows, [int(known.sum()), len(known), *(int((known == r).sum()) for r in range(1, TURING + 2))], (_squeeze_keys(distinct[held]), _squeeze(total[held].astype(np.uint64))))
 
 
 # discounts
@@ -331,7 +344,7 @@ def _answer_weights(table: pa.Table) -> pa.Table:
         own = place[at : at + len(k)]
         rows.append((*head, len(k), _mark(k), _squeeze(alpha[own]), _squeeze(bump[own].astype(np.uint8))))
         at += len(k)
-    return _answers(rows, None)
+    return _answers(rows, None, (_squeeze_keys(distinct), _squeeze(alpha)))
 
 
 # scores
@@ -389,6 +402,23 @@ def _stats(answers: DataFrame, kind: int) -> list[int]:
     return [found.get(i, 0) for i in range(TURING + 3)]
 
 
+def ngram_table(spark: SparkSession, path: str, levels: Levels) -> DataFrame:
+    """(kind, shard, key, value) of a written model, partitioned by key range: of words and pairs the discounted count, of
+    contexts the log10 of the backoff weight. `path` is that of the counts or of the weights."""
+
+    def run(batches):
+        for batch in batches:
+            for kind, shard, n, x in zip(*(batch.column(c).to_pylist() for c in ("kind", "shard", "n", "x"))):
+                keys = _expand_keys(n)
+                value = _expand(x, np.float64) if kind == CONTEXTS else levels.kept(levels.d_word if kind == WORDS else levels.d_pair, _expand(x, np.uint64))
+                for a in range(0, len(keys), 10_000):
+                    part = keys[a : a + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(np.full(len(part), shard, np.int32)), pa.array(part.view(np.int64)), pa.array(np.asarray(value[a : a + 10_000], np.float64))], ["kind", "shard", "key", "value"])
+
+    rows = spark.read.schema(ANSWER).parquet(path).where(F.col("pid") == STORED)
+    return rows.select("kind", "shard", "n", "x").mapInArrow(run, "kind int, shard int, key long, value double")
+
+
 @contextmanager
 def _fixed_splits(spark: SparkSession):
     """Input files are cut alike as long as this holds, whatever executors come and go."""
@@ -403,17 +433,22 @@ def _fixed_splits(spark: SparkSession):
 
 def score_texts(docs: DataFrame, chunk: int = CHUNK, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row a row of docs(doc_id, text), as a written table."""
+    return fitted(docs, chunk, shard_bytes)[0]
+
+
+def fitted(docs: DataFrame, chunk: int = CHUNK, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, Levels, str, str]:
+    """The scores, the levels' totals and discounts, and where the tables of counts and of backoff weights are."""
     with _fixed_splits(docs.sparkSession):
         texts = _stable(whole_texts(docs))
         size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        shards = max(4, -(-size // shard_bytes))
+        shards = 1 << max(2, (size // shard_bytes).bit_length())
         asked = texts.mapInArrow(_ask_counts(shards, chunk), ASK)
         counts, table = _write_answers(asked.groupBy("kind", "shard").applyInArrow(_answer_counts, ANSWER), "counts")
         levels = Levels(_stats(table, WORDS), _stats(table, PAIRS))
         asked = texts.mapInArrow(_ask_weights(shards, chunk, [counts], levels), ASK)
         weights, _ = _write_answers(asked.groupBy("kind", "shard").applyInArrow(_answer_weights, ANSWER), "weights")
         scored = texts.mapInArrow(_score(chunk, [counts, weights], levels), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-        return materialize(scored, "scores")
+        return materialize(scored, "scores"), levels, counts, weights
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
