@@ -3,8 +3,10 @@
 A section is a run of paragraphs: it ends at a blank line, or at a line break whose next line starts with one of
 SECTION_STARTS, so its bounds follow from the text around them and not from positions. A paragraph is a line with its
 break. A phrase ends at white space after a letter or sign of PHRASE_ENDS, or after PHRASE_MOST characters. Phrases put
-together are the text again. A phrase's digest is its XXH64; a paragraph's is the SHA-256 of its phrases' digests, a
-section's that of its paragraphs', the root's that of its sections'.
+together are the text again. A phrase's digest is its SHA-256; a paragraph's is that of its phrases' digests, a section's
+that of its paragraphs', the root's that of its sections'. Cuts depend on the characters around them only, so that an edit
+moves none but its neighbours; which letters cut is a matter of grain (some 40 characters a phrase in running text), and
+text without any of them is cut by length.
 
 The fingerprint is the tree as text: root, then per section 12 hexadecimal digits of its digest, then per paragraph its
 phrases' digests cut to 24 bits in base 64 (four signs each): ``root|section:phrases,phrases|section:...``. Equal roots
@@ -37,8 +39,8 @@ LEAST = -(1 << 63)  # stands for a null doc_id when rows are put in order
 
 
 def tree(text: Column) -> Column:
-    """array<array<array<long>>>: sections, their paragraphs, their phrases' digests."""
-    paragraph = lambda line: F.transform(F.regexp_extract_all(line, F.lit(_PHRASE), F.lit(0)), lambda p: F.xxhash64(p))
+    """array<array<array<string>>>: sections, their paragraphs, their phrases' digests."""
+    paragraph = lambda line: F.transform(F.regexp_extract_all(line, F.lit(_PHRASE), F.lit(0)), lambda p: F.sha2(p.cast("binary"), 256))
     section = lambda part: F.transform(F.split(part, r"(?<=\n)"), paragraph)
     return F.transform(F.split(F.coalesce(text, F.lit("")), _SECTION), section)
 
@@ -49,13 +51,13 @@ def _digest(values: Column) -> Column:
 
 def _codes(phrases: Column) -> Column:
     """24 bits of each digest as four signs of base 64."""
-    cut = F.transform(phrases, lambda x: F.substring(F.lpad(F.hex(x), 16, "0"), 1, 6))
+    cut = F.transform(phrases, lambda x: F.substring(x, 1, 6))
     return F.translate(F.base64(F.unhex(F.array_join(cut, ""))), "\r\n", "")
 
 
 def _sections(tree_: Column) -> Column:
     """array<struct(digest, codes)>, one a section."""
-    paragraphs = F.transform(tree_, lambda s: F.transform(s, lambda p: F.struct(_digest(p.cast("array<string>")).alias("digest"), _codes(p).alias("codes"))))
+    paragraphs = F.transform(tree_, lambda s: F.transform(s, lambda p: F.struct(_digest(p).alias("digest"), _codes(p).alias("codes"))))
     return F.transform(paragraphs, lambda s: F.struct(_digest(F.transform(s, lambda p: p["digest"])).alias("digest"), F.array_join(F.transform(s, lambda p: p["codes"]), ",").alias("codes")))
 
 
