@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from tempora.llm.common import load, materialize, new_path, shuffle_partitions
 
 ARCHIVE_BYTES = 128 << 20  # an archive is closed and the next begun beyond this
+DEAL_BYTES = 128 << 20
 GAP, RUN = 64 << 10, 8 << 20  # ranges nearer than GAP are read at once, up to RUN bytes
 INDEX = "page_id long, path string, offset long, length long, url string, payload_digest string, payload_bytes long, record_type string, refers_to long"
 
@@ -118,14 +119,15 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, date: str = "1970-01-01
     min_bytes bytes are all responses.
     """
     spark = pages.sparkSession
-    n = shuffle_partitions(spark)
     full = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     full = full.withColumn("digest", F.sha1(F.col("html").cast("binary")))
     small = materialize(full.select("page_id", "digest", F.octet_length("html").alias("size")), "digests")
     first = small.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("least"))
     chosen = small.select("page_id", "digest", (F.col("size") < min_bytes).alias("short")).distinct().join(first, "digest", "left")
-    # one row a page and one plain join key, so that the join keeps the partitioning and pages are dealt out once
-    key = F.coalesce("page_id", F.lit(-(1 << 63)))
+    n = _deals(spark, small.agg(F.sum("size")).first()[0])
+    # one row a page and one plain join key, so that the join keeps the partitioning and pages are dealt out once; pages
+    # without an id are dealt by payload, and should a page's id be such a hash, options are told apart by digest anyway
+    key = F.coalesce("page_id", F.xxhash64("digest"))
     chosen = chosen.groupBy(key.alias("other_key")).agg(F.collect_list(F.struct("digest", "short", "least")).alias("options"))
     dealt = full.withColumn("key", key).repartition(n, "key").join(chosen.repartition(n, "other_key").hint("shuffle_hash"), F.col("key") == F.col("other_key"))
     option = F.get(F.filter("options", lambda x: x["digest"] == F.col("digest")), F.lit(0))
@@ -133,6 +135,11 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, date: str = "1970-01-01
     return materialize(rows.mapInArrow(_write((folder or new_path(spark, "warc")).rstrip("/"), date, archive_bytes), INDEX), "warc-index")
 
 
+def _deals(spark: SparkSession, size: int | None) -> int:
+    """Tasks for so many bytes of payload, of some DEAL_BYTES each."""
+    return max(shuffle_partitions(spark), -(-(size or 0) // DEAL_BYTES))
+
+
 def coalesced(ranges: list[tuple[int, int]], gap: int = GAP, run: int = RUN) -> list[tuple[int, int, list[int]]]:
     """Sorted (offset, length) -> (start, length, which): ranges within `gap` of each other read at once, up to `run` bytes."""
     out: list[tuple[int, int, list[int]]] = []
@@ -185,7 +192,7 @@ def read_records(index: DataFrame) -> DataFrame:
             if handle is not None:
                 handle.close()
 
-    n = shuffle_partitions(index.sparkSession)
+    n = _deals(index.sparkSession, index.agg(F.sum("length")).first()[0])
     sorted_ = index.select("path", "offset", "length").repartition(n, "path").sortWithinPartitions("path", "offset")
     return sorted_.mapInArrow(run, "page_id long, url string, payload binary, payload_digest string, payload_bytes long, record_type string, refers_to long")
 
