@@ -6,13 +6,13 @@ documents, with the few other keys of the corpus that this filter would wrongly
 shard; a batch of inserted or deleted documents changes counts by +1 or -1 and inserts into or deletes from the
 filter the keys that cross the threshold, so every step can be undone.
 
-Dropping lines is one map pass without a shuffle: a line goes if its shard's filter accepts its key and the key is no
-exception, which is exact for lines of the counted corpus.  Filters go to the executors only while their summed
-size is within ``filter_bytes``; beyond that the lines' keys are joined with the exact table.
+A line goes if its shard's filter accepts its key and the key is no exception, which is exact for lines of the counted
+corpus.  While the filters' summed size is within ``filter_bytes`` they go to all executors and lines are dropped in one
+map pass without a shuffle; beyond that, keys go to their shard's filter, a shard with many lines being asked in parts.
 
 Nulls and odd rows: a null or empty text is one empty line; keys of fewer than ``min_chars`` code points are never
 dropped; repeated rows count as documents of their own; an empty table gives an empty result; columns other than
-doc_id and text are carried along unread.
+doc_id and text are carried along unread, and those named like a column that is added get ``_in`` put to their names.
 """
 
 from __future__ import annotations
@@ -119,7 +119,8 @@ def _long_enough(key: bytes, min_chars: int) -> bool:
 
 
 def _shard(d: bytes, shards: int) -> int:
-    return int.from_bytes(d[8:12], "little") % shards
+    """By bits that neither the filter's fingerprint (bytes 8 and 9) nor its buckets (2 to 7) use."""
+    return int.from_bytes(d[12:16], "little") % shards
 
 
 def _count_lines(shards: int, min_chars: int, sign: int):
@@ -172,9 +173,10 @@ def _build(min_docs: int):
     return run
 
 
-def build_state(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, docs_per_shard: int = 32768) -> LineState:
-    """Counts all lines of docs. The number of shards follows the number of documents, so a shard's keys fit one task."""
-    shards = 1 << max(3, (docs.count() // docs_per_shard).bit_length())
+def build_state(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, shard_bytes: int = 64 << 20) -> LineState:
+    """Counts all lines of docs. The number of shards follows the bytes of text, so a shard's keys fit one task."""
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    shards = 1 << max(3, (size // shard_bytes).bit_length())
     refcounts = materialize(line_counts(docs, shards, min_chars), "line-refcounts")
     filters = materialize(refcounts.groupBy("shard").applyInArrow(_build(min_docs), FILTER_SCHEMA), "line-filters")
     return LineState(refcounts, filters, shards, min_docs, min_chars)
@@ -248,14 +250,14 @@ def _apply(shared, shards: int, min_chars: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         member = _Member(shared.value, shards, min_chars) if shared is not None else None
         for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                batch = whole.slice(start, 1000)
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
                 texts = [t or b"" for t in as_bytes(batch.column("text"))]
                 if member is not None:
                     gone = set() if member.empty else member.decide(list({line_key(x) for t in texts for x in t.split(b"\n")}))
                     tests = [gone.__contains__] * len(texts)
                 else:
-                    own = [set(x or ()) for x in batch.column("gone").to_pylist()]
+                    own = [set(x or ()) for x in batch.column("tempora_gone").to_pylist()]
                     tests = [(lambda k, g=g: bool(g) and _long_enough(k, min_chars) and digest(k) in g) for g in own]
                 out = [_split(t, f) for t, f in zip(texts, tests)]
                 kept = [b"\n".join(k) for k, _ in out]
@@ -265,12 +267,24 @@ def _apply(shared, shards: int, min_chars: int, schema: pa.Schema):
     return run
 
 
-def drop_frequent_lines(docs: DataFrame, state: LineState, filter_bytes: int = 64 << 20) -> DataFrame:
+ADDED = ("kept_text", "n_lines", "n_dropped")
+
+
+def _free_names(docs: DataFrame) -> DataFrame:
+    """docs with `_in` put to the names of columns that would clash with added ones."""
+    names = list(docs.columns)
+    for i, c in enumerate(names):
+        if c in ADDED:
+            while names[i] in ADDED or names.count(names[i]) > 1:
+                names[i] += "_in"
+    return docs.toDF(*names)
+
+
+def drop_frequent_lines(docs: DataFrame, state: LineState, filter_bytes: int = 64 << 20, part_rows: int = 500_000) -> DataFrame:
     """docs (any columns, with text) plus kept_text, n_lines and n_dropped; docs must be among those counted in state."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    docs = docs.drop("kept_text", "n_lines", "n_dropped", "gone", "text_key")
-    docs = docs.withColumn("text", F.col("text").cast("string"))
+    docs = _free_names(docs).withColumn("text", F.col("text").cast("string"))
     out = docs.withColumn("kept_text", F.lit("")).withColumn("n_lines", F.lit(0).cast("long")).withColumn("n_dropped", F.lit(0).cast("long")).schema
     schema = to_arrow_schema(out)
     size = state.filters.agg(F.coalesce(F.sum(F.length("slots") + F.length("exceptions")), F.lit(0))).first()[0]
@@ -278,16 +292,33 @@ def drop_frequent_lines(docs: DataFrame, state: LineState, filter_bytes: int = 6
         rows = [(r.shard, r.n_buckets, bytes(r.slots), bytes(r.exceptions)) for r in state.filters.collect()]
         shared = docs.sparkSession.sparkContext.broadcast(rows)
         return docs.mapInArrow(_apply(shared, state.shards, state.min_chars, schema), out)
-    keyed = docs.withColumn("text_key", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    text_key = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    shards, min_chars = state.shards, state.min_chars
 
     def pairs(batches):
-        for batch in batches:
-            found = [(h, digest(k)) for h, t in zip(batch.column("text_key").to_pylist(), as_bytes(batch.column("text"))) for k in {line_key(x) for x in (t or b"").split(b"\n")}]
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.string()), pa.array([k for _, k in found], pa.binary())], ["text_key", "key"])
-
-    frequent = state.refcounts.where(F.col("n") >= state.min_docs).select("key")
-    gone = keyed.select("text_key", "text").mapInArrow(pairs, "text_key string, key binary").distinct().join(frequent, "key").groupBy("text_key").agg(F.collect_set("key").alias("gone"))
-    joined = keyed.join(gone, "text_key", "left").drop("text_key")
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
+                keyed = [(h, k) for h, t in zip(batch.column("h").to_pylist(), as_bytes(batch.column("text"))) for k in {line_key(x) for x in (t or b"").split(b"\n")} if _long_enough(k, min_chars)]
+                digests = [digest(k) for _, k in keyed]
+                yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in keyed], pa.string()), pa.array([_shard(d, shards) for d in digests], pa.int32()), pa.array(digests, pa.binary())], ["h", "shard", "key"])
+
+    def asked(filters: pa.Table, keys: pa.Table) -> pa.Table:
+        if filters.num_rows and keys.num_rows:
+            row = filters.slice(0, 1).to_pylist()[0]
+            wrong = {row["exceptions"][i : i + 16] for i in range(0, len(row["exceptions"]), 16)}
+            found = keys.column("key").to_pylist()
+            hit = CuckooFilter.load(row["n_buckets"], row["slots"]).contains(_digests(found))
+            return keys.select(["h", "key"]).filter(pa.array([bool(x) and k not in wrong for k, x in zip(found, hit)]))
+        return keys.select(["h", "key"]).slice(0, 0)
+
+    # a key's rows are those of the documents that hold it, so a shard's rows are known before they are made
+    parts = state.refcounts.groupBy("shard").agg(F.ceil(F.sum("n") / part_rows).cast("int").alias("parts"))
+    filters = state.filters.join(parts, "shard").select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).drop("parts")
+    lines = docs.select(text_key.alias("h"), "text").mapInArrow(pairs, "h string, shard int, key binary").distinct().join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int")).drop("parts")
+    gone = filters.groupBy("shard", "part").cogroup(lines.groupBy("shard", "part")).applyInArrow(asked, "h string, key binary")
+    gone = gone.groupBy("h").agg(F.collect_set("key").alias("tempora_gone")).withColumnRenamed("h", "tempora_h")
+    joined = docs.withColumn("tempora_h", text_key).join(gone, "tempora_h", "left").drop("tempora_h")
     return joined.mapInArrow(_apply(None, state.shards, state.min_chars, schema), out)
 
 
