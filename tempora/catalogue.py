@@ -535,7 +535,18 @@ def stream_runs(spark, sf_dir):
     return found.select("user_id", F.unix_micros("start_time").alias("start_time"), F.unix_micros("end_time").alias("end_time"), "n_events")
 
 
-@query()
+#: A minimum is counted when it first stands out in the last 20 points, unless a later one was counted before.
+_LIVE = f"""WITH {SIGNAL},
+s AS (SELECT *, lag(y) OVER w AS before, lead(y) OVER w AS after FROM (SELECT user_id, t, value AS y, row_number() OVER (PARTITION BY user_id ORDER BY t, value) - 1 AS i FROM signal) WINDOW w AS (PARTITION BY user_id ORDER BY i)),
+c AS (SELECT e.user_id, e.i AS at_, greatest(e.i - 19, 0) AS a, c.i AS j, c.t, c.y FROM s e JOIN s c ON c.user_id = e.user_id AND c.i > greatest(e.i - 19, 0) AND c.i < e.i WHERE e.i >= 4 AND c.y < c.before AND c.y < c.after),
+b AS (SELECT c.user_id, c.at_, c.a, c.j, c.t, c.y, coalesce(max(k.i) FILTER (WHERE k.i < c.j AND k.y < c.y), -1) AS lo, coalesce(min(k.i) FILTER (WHERE k.i > c.j AND k.y < c.y), 1000000000) AS hi FROM c JOIN s k ON k.user_id = c.user_id AND k.i BETWEEN c.a AND c.at_ GROUP BY ALL),
+p AS (SELECT b.user_id, b.j, b.t, b.at_ FROM b JOIN s k ON k.user_id = b.user_id AND k.i BETWEEN b.a AND b.at_ AND k.i > b.lo AND k.i < b.hi GROUP BY b.user_id, b.j, b.t, b.at_, b.y HAVING least(max(k.y) FILTER (WHERE k.i <= b.j), max(k.y) FILTER (WHERE k.i >= b.j)) - b.y >= {PROMINENCE}),
+f AS (SELECT user_id, j, t, min(at_) AS first FROM p GROUP BY user_id, j, t),
+g AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM f o WHERE o.user_id = f.user_id AND o.t > f.t AND o.first < f.first))
+SELECT user_id, t / 1e6 AS peak_time, row_number() OVER (PARTITION BY user_id ORDER BY first, j) AS peak_count FROM g"""
+
+
+@query(_LIVE)
 def stream_peaks(spark, sf_dir):
     points = _stream(spark, sf_dir).select("user_id", (F.unix_micros("at") / 1e6).alias("t"), "value")
     return _to_table(live.live_peaks(points, "user_id", "t", "value", prominence=PROMINENCE), "stream-peaks", "append").withColumnRenamed("key", "user_id")

@@ -13,6 +13,8 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     if cost.shape[0] > cost.shape[1]:
         return sorted((r, c) for c, r in assign(cost.T))
     n, m = cost.shape
+    if n == 1:
+        return [(0, int(cost[0].argmin()))]
     u, v = np.zeros(n), np.zeros(m)
     owner = np.full(m, -1)
     for row in range(n):

@@ -31,13 +31,19 @@ class Filters:
         self.at[:, 3] += self.gravity * dt
         p, c, v = self.cov.T
         q = self.settings.process_noise
-        self.cov = np.column_stack([p + 2 * dt * c + dt * dt * v + q, c + dt * v, v + q * self.settings.velocity_noise_factor])
+        now = np.empty_like(self.cov)
+        now[:, 0], now[:, 1], now[:, 2] = p + 2 * dt * c + dt * dt * v + q, c + dt * v, v + q * self.settings.velocity_noise_factor
+        self.cov = now
 
-    def update(self, i: int, x: float, y: float) -> None:
-        p, c, v = self.cov[i]
+    def update_all(self, rows: np.ndarray, seen: np.ndarray) -> None:
+        """Each of the filters `rows` takes its measured position of `seen`."""
+        p, c, v = self.cov[rows].T
         s = p + self.settings.measurement_noise
         gain, drift = p / s, c / s
-        off = np.array([x, y]) - self.at[i, :2]
-        self.at[i, :2] += gain * off
-        self.at[i, 2:] += drift * off
-        self.cov[i] = (1 - gain) * p, (1 - gain) * c, v - drift * c
+        off = seen - self.at[rows, :2]
+        self.at[rows, :2] += gain[:, None] * off
+        self.at[rows, 2:] += drift[:, None] * off
+        self.cov[rows] = np.stack([(1 - gain) * p, (1 - gain) * c, v - drift * c], axis=1)
+
+    def update(self, i: int, x: float, y: float) -> None:
+        self.update_all(np.array([i]), np.array([[x, y]]))

@@ -24,7 +24,7 @@ TENTATIVE, CONFIRMED, DELETED = "TENTATIVE", "CONFIRMED", "DELETED"
 
 
 def _r4(v: float) -> float:
-    return float(np.rint(v * 1e4) / 1e4)
+    return round(v * 1e4) / 1e4
 
 
 @dataclass
@@ -61,41 +61,48 @@ class Tracker:
         """boxes: (n, 5) of x1, y1, x2, y2 in pixels and confidence -> (track, frame, time, x, y, confidence, synthetic)."""
         s, scale = self.settings, np.array([width, height], float)
         centres = (boxes[:, :2] + boxes[:, 2:4]) / 2 / scale
-        sizes = (boxes[:, 2:4] - boxes[:, :2]) / scale
+        sizes = ((boxes[:, 2:4] - boxes[:, :2]) / scale).tolist()
         stamp, points = _r4(time), []
+        seen = [(_r4(x), _r4(y), _r4(c)) for (x, y), c in zip(centres.tolist(), boxes[:, 4].tolist())]
         if self.live:
             dt = time - np.array([t.stamp for t in self.live])
             self.filters.predict(np.where(dt > 0, dt, 1 / 30))
-        far = np.linalg.norm((self.filters.at[:, None, :2] - centres[None]) * scale, axis=2) if self.live and len(boxes) else np.zeros((0, 0))
         limit = s.max_distance if self.max_distance is None else self.max_distance
-        matched = {r: c for r, c in assign(far) if far[r, c] < limit}
+        matched: dict[int, int] = {}
+        if self.live and len(boxes):
+            off = (self.filters.at[:, None, :2] - centres[None]) * scale
+            far = np.sqrt((off * off).sum(2))
+            matched = {r: c for r, c in assign(far) if far[r, c] < limit}
+            if matched:
+                self.filters.update_all(np.array(list(matched)), centres[list(matched.values())])
         for r, t in enumerate(self.live):
             if r in matched:
                 c = matched[r]
-                self.filters.update(r, *centres[c])
                 t.size = tuple((1 - s.size_alpha) * a + s.size_alpha * b for a, b in zip(t.size, sizes[c]))
                 t.inactive, t.hits, t.stamp = 0, t.hits + 1, stamp
                 if t.hits >= s.min_hits:
                     t.state = CONFIRMED
-                points.append((t.id, frame, stamp, _r4(centres[c][0]), _r4(centres[c][1]), _r4(boxes[c, 4]), False))
+                points.append((t.id, frame, stamp, *seen[c], False))
+        coasting = np.clip(self.filters.at[:, :2], 0, 1).tolist() if self.interpolate and len(matched) < len(self.live) else []
         for r, t in enumerate(self.live):
             if r not in matched:
                 t.inactive += 1
                 if self.interpolate and t.state == CONFIRMED:
-                    x, y = np.clip(self.filters.at[r, :2], 0, 1)
+                    x, y = coasting[r]
                     points.append((t.id, frame, stamp, _r4(x), _r4(y), _r4(max(0.01, 0.1 * (1 - t.inactive / s.max_inactive))), True))
                     t.stamp = stamp
                 if t.inactive >= s.max_inactive:
                     t.state = DELETED
-        alive = np.array([t.state != DELETED for t in self.live], bool)
-        if not alive.all():
-            self.filters.keep(alive)
+        alive = [t.state != DELETED for t in self.live]
+        if not all(alive):
+            self.filters.keep(np.array(alive, bool))
             self.live = [t for t in self.live if t.state != DELETED]
+        taken = set(matched.values())
         for c in range(len(boxes)):
-            if c not in matched.values():
+            if c not in taken:
                 self.live.append(_Live(self.next_id, stamp, tuple(sizes[c]), state=CONFIRMED if s.min_hits <= 1 else TENTATIVE))
                 self.filters.add(*centres[c])
-                points.append((self.next_id, frame, stamp, _r4(centres[c][0]), _r4(centres[c][1]), _r4(boxes[c, 4]), False))
+                points.append((self.next_id, frame, stamp, *seen[c], False))
                 self.next_id += 1
         return points
 
@@ -247,22 +254,26 @@ def scan_mode(frames: DataFrame, every: int = DEFAULT.full_scan_every, rescan: i
 def smooth(rows: DataFrame, keys: list[str], order: str, time: str, x: str, y: str, settings: Settings = DEFAULT) -> DataFrame:
     """(*keys, order, x, y, vx, vy): one filter a key, updated by every row in order."""
 
-    class State:
-        def __init__(self):
-            self.filters, self.last = Filters(settings), None
-
-    def step(s: State, at, t, a, b):
-        if s.last is None:
-            s.filters.add(a, b)
-        else:
-            s.filters.predict(np.array([t - s.last if t > s.last else 1 / 30]))
-            s.filters.update(0, a, b)
-        s.last = t
-        return [(at, *map(float, s.filters.at[0]))]
+    q, far, m, g = settings.process_noise, settings.process_noise * settings.velocity_noise_factor, settings.measurement_noise, settings.gravity
+
+    def step(s: list, at, t, a, b):
+        """The formulas of Filters for one object, on plain numbers."""
+        if not s:
+            s[:] = [t, a, b, 0.0, 0.0, 1.0, 0.0, 1.0]
+            return [(at, a, b, 0.0, 0.0)]
+        last, px, py, vx, vy, p, c, v = s
+        dt = t - last if t > last else 1 / 30
+        px, py, vy = px + vx * dt, py + vy * dt, vy + g * dt
+        p, c, v = p + 2 * dt * c + dt * dt * v + q, c + dt * v, v + far
+        gain, drift = p / (p + m), c / (p + m)
+        dx, dy = a - px, b - py
+        px, py, vx, vy = px + gain * dx, py + gain * dy, vx + drift * dx, vy + drift * dy
+        s[:] = [t, px, py, vx, vy, (1 - gain) * p, (1 - gain) * c, v - drift * c]
+        return [(at, px, py, vx, vy)]
 
     kind = dict(rows.dtypes)[order]
     copied = rows.select(*keys, order, F.col(time).alias("tempora_t"), F.col(x).cast("double").alias("tempora_x"), F.col(y).cast("double").alias("tempora_y"))
-    return fold(copied, keys, [order], [order, "tempora_t", "tempora_x", "tempora_y"], State, step, f"{order} {kind}, x double, y double, vx double, vy double")
+    return fold(copied, keys, [order], [order, "tempora_t", "tempora_x", "tempora_y"], list, step, f"{order} {kind}, x double, y double, vx double, vy double")
 
 
 def coast(rows: DataFrame, keys: list[str], order: str, x: str, y: str, alpha: float = 0.5, fall: float = 1.0) -> DataFrame:
