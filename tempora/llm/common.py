@@ -2,34 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
+from tempora.sources.shared import new_path
 
+#: Paths written by materialize() within the innermost scratch().
+_SCRATCH: list[list[str]] = []
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; one of our own only where that is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="tempora-")
-    return _OWN[app]
 
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tempora/{name}-{uuid.uuid4().hex}"
+def _delete(spark: SparkSession, path: str, now: bool) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(place, True) if now else files.deleteOnExit(place)
 
 
 def forget_at_exit(spark: SparkSession, path: str) -> None:
     """Has the driver delete a written table when the application ends; until then every DataFrame over it holds."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    _delete(spark, path, now=False)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -38,7 +31,39 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     forget_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.tempora_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Deletes the table that materialize() wrote for df, which no plan needs any more."""
+    path = getattr(df, "tempora_path", None)
+    if path:
+        _delete(df.sparkSession, path, now=True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator:
+    """Tables written within go at its end, but for those given to the function that it yields."""
+    paths: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = df.tempora_path
+        paths.remove(path)
+        if len(_SCRATCH) > 1:
+            _SCRATCH[-2].append(path)
+        return df
+
+    _SCRATCH.append(paths)
+    try:
+        yield keep
+    finally:
+        _SCRATCH.pop()
+        for path in paths:
+            _delete(spark, path, now=True)
 
 
 #: Rows an Arrow batch between Spark and Python, at most: whole documents are large rows.

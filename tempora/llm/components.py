@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import materialize
+from tempora.llm.common import materialize, release
 
 MAX_ROUNDS = 60
 
@@ -37,5 +37,6 @@ def components(edges: DataFrame) -> DataFrame:
         if mark[0] == 0 or mark == seen:
             return now
         seen = mark
-        now = materialize(_small_star(_large_star(now)), "edges")
+        before, now = now, materialize(_small_star(_large_star(now)), "edges")
+        release(before)
     raise RuntimeError(f"components did not settle within {MAX_ROUNDS} rounds")

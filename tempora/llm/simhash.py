@@ -21,10 +21,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tempora.llm.common import as_bytes, load, materialize, shuffle_partitions, whole_texts
+from tempora.llm.common import as_bytes, load, materialize, scratch, shuffle_partitions, whole_texts
 from tempora.llm.components import components
 
 BITS = 64
@@ -59,20 +59,15 @@ def _pack(over: np.ndarray) -> np.ndarray:
     return np.packbits(over, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def _remixed(hashes: np.ndarray, table: int | None) -> np.ndarray:
-    """The hashes under another hash function for each table; as they are for None."""
-    if table is None:
-        return hashes
-    salt = np.uint64(xxhash.xxh64_intdigest(b"table", table + 1))
-    with np.errstate(over="ignore"):
-        z = (hashes ^ salt) * np.uint64(0x9E3779B97F4A7C15)
-        z = (z ^ (z >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        return z ^ (z >> np.uint64(29))
+def _majority(hashes: np.ndarray) -> np.uint64:
+    """The fingerprint of many hashes, repeats included."""
+    sums = sum(_bit_sums(hashes[a : a + CHUNK], np.array([0])).astype(np.int64) for a in range(0, len(hashes), CHUNK))
+    return _pack(2 * sums > len(hashes))[0]
 
 
-def table_prints(texts: list[bytes], width: int, tables: list[int | None]) -> np.ndarray:
-    """(n, tables) fingerprints. Works on runs of some 65,536 shingles; a longer text is summed in pieces."""
-    out = np.zeros((len(texts), len(tables)), np.uint64)
+def fingerprints_of(texts: list[bytes], width: int = 3) -> np.ndarray:
+    """One uint64 a text. Works on runs of some 65,536 shingles; a longer text is summed in pieces."""
+    out = np.zeros(len(texts), np.uint64)
     held: list[np.ndarray] = []
     at: list[int] = []
     size = 0
@@ -81,17 +76,14 @@ def table_prints(texts: list[bytes], width: int, tables: list[int | None]) -> np
         nonlocal held, at, size
         if at:
             lengths = np.array([len(x) for x in held])
-            whole, starts = np.concatenate(held), np.concatenate(([0], np.cumsum(lengths)[:-1]))
-            for k, t in enumerate(tables):
-                out[at, k] = _pack(2 * _bit_sums(_remixed(whole, t), starts) > lengths[:, None])
+            starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+            out[at] = _pack(2 * _bit_sums(np.concatenate(held), starts) > lengths[:, None])
         held, at, size = [], [], 0
 
     for i, text in enumerate(texts):
         hashes = np.array(shingle_hashes(text, width), np.uint64)
         if len(hashes) > CHUNK:
-            for k, t in enumerate(tables):
-                sums = sum(_bit_sums(_remixed(hashes[a : a + CHUNK], t), np.array([0])).astype(np.int64) for a in range(0, len(hashes), CHUNK))
-                out[i, k] = _pack(2 * sums > len(hashes))[0]
+            out[i] = _majority(hashes)
         elif len(hashes):
             held.append(hashes)
             at.append(i)
@@ -102,11 +94,6 @@ def table_prints(texts: list[bytes], width: int, tables: list[int | None]) -> np
     return out
 
 
-def fingerprints_of(texts: list[bytes], width: int = 3) -> np.ndarray:
-    """One uint64 a text."""
-    return table_prints(texts, width, [None])[:, 0]
-
-
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fp): fp holds the 64 bits as a signed long."""
 
@@ -230,22 +217,19 @@ def _patterns(bits: list[int], low: int, high: int) -> np.ndarray:
 
 
 def _probe_rows(parts: list[list[int]], thresholds: list[int]):
-    """Each fingerprint under its value in each partition (role 0), and under every value within e bits (role 1).
-
-    Partitions of table t are numbered from 64 t, so fingerprints meet within a table only.
-    """
+    """Each fingerprint under its value in each partition (role 0), and under every value within e bits (role 1)."""
     work = [(i, _mask(b), _patterns(b, 1, e) if e > 0 else np.zeros(0, np.uint64)) for i, (b, e) in enumerate(zip(parts, thresholds)) if e >= 0]
 
     def run(batches):
         for whole in batches:
             for start in range(0, whole.num_rows, 5000):
                 batch = whole.slice(start, 5000)
-                fps, first = batch.column("fp").to_numpy().view(np.uint64), batch.column("table").to_numpy() * BITS
+                fps = batch.column("fp").to_numpy().view(np.uint64)
                 for i, mask, flips in work:
                     values = fps & mask
                     for role, v in ((0, values), *(((1, (values[:, None] ^ flips[None, :]).ravel()),) if len(flips) else ())):
                         each = len(v) // max(1, len(fps))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(first + i, each).astype(np.int32)), pa.array(v.view(np.int64)), pa.array(np.full(len(v), role, np.int8)), pa.array(np.repeat(fps, each).view(np.int64))], ["part", "value", "role", "fp"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), i, np.int32)), pa.array(v.view(np.int64)), pa.array(np.full(len(v), role, np.int8)), pa.array(np.repeat(fps, each).view(np.int64))], ["part", "value", "role", "fp"])
 
     return run
 
@@ -352,7 +336,7 @@ def _far_links(members: DataFrame, parts: list[list[int]], thresholds: list[int]
             for start in range(0, whole.num_rows, 200):
                 batch = whole.slice(start, 200)
                 for fp, part in zip(batch.column("u").to_numpy().view(np.uint64), batch.column("v").to_numpy()):
-                    close, far = flips[int(part) % BITS]
+                    close, far = flips[int(part)]
                     z = np.concatenate([fp ^ close, fp ^ far])
                     is_close = np.zeros(len(z), bool)
                     is_close[: len(close)] = True
@@ -372,19 +356,22 @@ def planned(nodes: DataFrame, radius: int) -> tuple[list[list[int]], list[int]]:
 
 
 def links(nodes: DataFrame, radius: int = 3, group_cap: int = 20000) -> DataFrame:
-    """nodes(fp[, table]), distinct -> (u, v): links that connect whatever all pairs within the radius connect.
-
-    With a `table` column only fingerprints of the same table meet; one plan serves all tables.
-    """
+    """nodes(fp), distinct -> (u, v): links that connect whatever all pairs within the radius connect."""
     spark = nodes.sparkSession
-    if "table" not in nodes.columns:
-        nodes = nodes.withColumn("table", F.lit(0))
-    parts, thresholds = planned(nodes.where("table = 0"), radius)
-    rows = nodes.select("fp", "table").mapInArrow(_probe_rows(parts, thresholds), "part int, value long, role byte, fp long")
+    parts, thresholds = planned(nodes, radius)
+    rows = nodes.select("fp").mapInArrow(_probe_rows(parts, thresholds), "part int, value long, role byte, fp long")
+    values = F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(int(_mask(b).view(np.int64)))).alias("value")) for i, (b, e) in enumerate(zip(parts, thresholds)) if e >= 0])
+    hot = materialize(nodes.select(F.explode(values).alias("x")).groupBy("x.part", "x.value").count().where(F.col("count") > group_cap).select("part", "value", F.lit(True).alias("hot")), "crowded-values")
+    crowded = None
+    if hot.head(1):  # rows of a crowded value, probes included, never meet in one task
+        rows = rows.join(_bounded(hot), ["part", "value"], "left")
+        crowded = rows.where("hot").select(F.col("fp").alias("u"), F.col("part").cast("long").alias("v"))
+        rows = rows.where("hot is null").drop("hot")
     found = rows.repartition(shuffle_partitions(spark), "part", "value").sortWithinPartitions("part", "value", "role").mapInArrow(_verify(radius, group_cap), "kind byte, u long, v long")
     found = materialize(found, "links")
     near = found.where("kind = 0").select("u", "v")
-    crowded = found.where("kind = 1").select("u", "v")
+    more = found.where("kind = 1").select("u", "v")
+    crowded = more if crowded is None else more.unionByName(crowded)
     return near.unionByName(_far_links(crowded, parts, thresholds, radius)) if crowded.head(1) else near
 
 
@@ -401,27 +388,40 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, group_cap:
 # similar texts, for deduplication
 
 
-def _table_rows(docs: DataFrame, width: int, tables: int) -> DataFrame:
-    def run(batches):
-        for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
-                fps = table_prints([t or b"" for t in as_bytes(batch.column("text"))], width, list(range(tables)))
-                ids = np.repeat(batch.column("doc_id").to_numpy(), tables)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.tile(np.arange(tables, dtype=np.int32), batch.num_rows)), pa.array(fps.ravel().view(np.int64))], ["doc_id", "table", "fp"])
+class _WordHashes(dict):
+    """XXH64 of words; keeps those of the first MOST words it meets, as words repeat."""
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, table int, fp long")
+    MOST = 1 << 17
 
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh64_intdigest(word)
+        if len(self) < self.MOST:
+            self[word] = h
+        return h
 
-def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            for start in range(0, batch.num_rows, 200):
-                part = batch.slice(start, 200)
-                sets = [np.unique(np.array(shingle_hashes(t or b"", words), np.uint64)).view(np.int64) for t in as_bytes(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+def _mixed(z: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        z = (z ^ (z >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        z = (z ^ (z >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return z ^ (z >> np.uint64(32))
+
+
+def word_shingles(words: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of every run of `width` words, given the words' hashes; of fewer words, of them all."""
+    n = len(words)
+    if not n:
+        return words
+    runs = max(1, n - width + 1)
+    out = np.full(runs, min(n, width), np.uint64)
+    for j in range(min(n, width)):
+        out = _mixed(out + words[j : j + runs])
+    return out
+
+
+def _hashes_of(text: bytes | None, known: _WordHashes) -> np.ndarray:
+    words = (text or b"").lower().split()
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 #: Ids are broadcast to pick out documents up to this many (8 bytes each); beyond, they are joined by a shuffle.
@@ -432,51 +432,41 @@ def _bounded(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def _candidates(docs: DataFrame, tables: int, width: int, radius: int, group_cap: int) -> DataFrame:
-    """(a, b), a < b: rows within the radius in any of several tables of fingerprints over `width`-word shingles.
-
-    Copies of a fingerprint are candidates with the smallest id that has it, not with one another.
-    """
-    prints = materialize(_table_rows(docs, width, tables), "table-prints")
-    nodes = materialize(prints.groupBy("table", "fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "table-nodes")
-    same = prints.join(nodes.where("n > 1").select("table", "fp", "rep"), ["table", "fp"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    found = links(nodes.select("fp", "table"), radius, group_cap)
-    of = nodes.groupBy("fp").agg(F.min("rep").alias("rep"))
-    near = found.join(of.select(F.col("fp").alias("u"), F.col("rep").alias("a")), "u").join(of.select(F.col("fp").alias("v"), F.col("rep").alias("b")), "v").where("a <> b").select("a", "b")
-    return materialize(same.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, similarity: float, words: int) -> DataFrame:
-    """(u, v): the pairs (a, b) whose sets of `words`-word shingles are similar. Only their texts are read again."""
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidate-ids")
-    sets = materialize(_shingle_sets(docs.join(_bounded(ids), "doc_id", "left_semi"), words), "shingle-sets")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.withColumn("shared", shared).where(F.col("shared") >= similarity * (F.size("x") + F.size("y") - F.col("shared"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
-
-
 #: Documents whose shingles are counted to find hot ones, and the count in that sample from which one is hot. Hot ones
 #: go last in the order of shingles; any order is exact, so the sample bears on cost only.
 SAMPLE_DOCS, HOT, MOST_HOT = 20_000, 8, 100_000
-#: A hot shingle expected in more documents than this is dealt over pairs of blocks of them.
+#: Rows of one key beyond this many are dealt over blocks of them, and pairs of such blocks.
 HOT_BLOCK = 2_000
 #: Rows that are paired at a time, and pairs held before repeats are taken out.
 JOIN_ROWS, JOIN_PAIRS = 1 << 16, 1 << 18
 #: Pairs verified at once (or a tenth of the documents), and the rounds that thin more of them by components first.
 VERIFY_PAIRS, THIN_ROUNDS = 20_000, 4
+#: Leaders of a key when every document tries one hub.
+LEADERS = 4
 
 
-def _hot_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, ascending by their count in a sample of documents, and the count expected of all."""
+def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    def run(batches):
+        known = _WordHashes()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 100):
+                part = batch.slice(start, 100)
+                sets = [np.unique(word_shingles(_hashes_of(t, known), words)).view(np.int64) for t in as_bytes(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+
+
+def _hot_shingles(docs: DataFrame, words: int) -> np.ndarray:
+    """Hashes, ascending by their count in a sample of documents."""
     every = max(1, -(-docs.count() // SAMPLE_DOCS))
     sample = _shingle_sets(docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(every)) == 0), words)
     found = sample.select(F.explode("shingles").alias("s")).groupBy("s").count().where(F.col("count") >= HOT).orderBy(F.col("count").desc(), "s").limit(MOST_HOT).toArrow()
-    return found.column("s").to_numpy()[::-1].view(np.uint64), found.column("count").to_numpy()[::-1] * every
+    return found.column("s").to_numpy()[::-1].view(np.uint64)
 
 
 def _ordered(hashes: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Distinct hashes by value, hot ones (sorted, of the given ranks) after them by rank."""
-    hashes = np.unique(hashes)
+    """Distinct hashes, given by value, with hot ones (sorted, of the given ranks) after the others by rank."""
     if not len(hot):
         return hashes
     at = np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)
@@ -484,135 +474,232 @@ def _ordered(hashes: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> np.ndarra
     return np.concatenate([hashes[~is_hot], hot[at[is_hot][np.argsort(rank[at[is_hot]])]]])
 
 
-def _prefix_rows(similarity: float, words: int, hot: np.ndarray, counts: np.ndarray):
-    """Rows (key, place, doc_id, label) of the first n - ceil(similarity n) + 1 shingles of each text, n in all.
+SKETCH = "doc_id long, set_a long, set_b long, n long, head array<long>"
 
-    Similar texts share one of these. place holds n and the shingle's place among them. The key is the shingle, or, of
-    one with B > 1 blocks, the shingle mixed with each pair of blocks that the document's own is of.
-    """
-    order = np.argsort(hot)
-    sorted_hot, rank = hot[order], order
-    blocks = -(-counts[order] // HOT_BLOCK)
-    salt = np.uint64(0x9E3779B97F4A7C15)
+
+def _sketches(docs: DataFrame, hot: np.ndarray, similarity: float, words: int) -> DataFrame:
+    """One row a document: a 128-bit key of its set of `words`-word shingles, their number n, and the first
+    n - ceil(similarity n) + 1 of them in the one order of all. Similar texts share one of these."""
+    rank = np.argsort(hot)
+    sorted_hot = hot[rank]
 
     def run(batches):
-        for batch in batches:
-            for start in range(0, batch.num_rows, 50):
-                part = batch.slice(start, 50)
-                ids, labels = part.column("doc_id").to_numpy(), part.column("label").to_numpy()
-                keys, places, owner = [], [], []
-                for i, text in enumerate(as_bytes(part.column("text"))):
-                    tokens = _ordered(np.array(shingle_hashes(text or b"", words), np.uint64), sorted_hot, rank)
+        known = _WordHashes()
+        for whole in batches:
+            for start in range(0, whole.num_rows, 100):
+                batch = whole.slice(start, 100)
+                keys, sizes, heads = [], [], []
+                for text in as_bytes(batch.column("text")):
+                    tokens = np.unique(word_shingles(_hashes_of(text, known), words))
                     n = len(tokens)
-                    if not n:
-                        continue
-                    head = tokens[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
-                    place = (n << 32) + np.arange(len(head), dtype=np.int64)
-                    if len(sorted_hot):
-                        at = np.minimum(np.searchsorted(sorted_hot, head), len(sorted_hot) - 1)
-                        many = np.where(sorted_hot[at] == head, blocks[at], 1)
-                        own = xxhash.xxh64_intdigest(int(ids[i]).to_bytes(8, "little", signed=True))
-                        for j in np.flatnonzero(many > 1):
-                            b = int(many[j])
-                            other = np.arange(b)
-                            pair = (np.minimum(other, own % b) * b + np.maximum(other, own % b) + 1).astype(np.uint64)
-                            keys.append(head[j] ^ (pair * salt))
-                            places.append(np.full(b, place[j]))
-                            owner.append(np.full(b, i))
-                        head, place = head[many == 1], place[many == 1]
-                    keys.append(head)
-                    places.append(place)
-                    owner.append(np.full(len(head), i))
-                if keys:
-                    own = np.concatenate(owner)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(places)), pa.array(ids[own]), pa.array(labels[own])], ["key", "place", "doc_id", "label"])
+                    keys.append(xxhash.xxh3_128_digest(tokens.tobytes()))
+                    sizes.append(n)
+                    heads.append(_ordered(tokens, sorted_hot, rank)[: n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0].view(np.int64))
+                key = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+                cols = [batch.column("doc_id"), pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), pa.array(sizes, pa.int64()), pa.array(heads, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in SKETCH.split(", ")])
 
-    return run
+    return docs.select("doc_id", "text").mapInArrow(run, SKETCH)
 
 
-def _pairs_within(similarity: float):
-    """Streams rows sorted by key and place; (a, b, met, least) of rows with one key that lengths and places allow to be
-    similar, met being the keys they share here and least the number they must share in all.
+def _verified(docs: DataFrame, pairs: DataFrame, similarity: float, words: int) -> DataFrame:
+    """(u, v): the pairs (a, b) whose sets of `words`-word shingles are similar. Only their texts are read again."""
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidate-ids")
+    sets = materialize(_shingle_sets(docs.join(_bounded(ids), "doc_id", "left_semi"), words), "shingle-sets")
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    similar = both.withColumn("shared", shared).where((F.col("shared") > 0) & (F.col("shared") >= similarity * (F.size("x") + F.size("y") - F.col("shared"))))
+    return similar.select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def _met_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key, those whose key another row has too. Holds one row back, never a key's rows."""
+    last = None
+    again = False  # whether `last` has met its key before
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if last is not None:
+            batch = pa.concat_batches([last, batch])
+        key = batch.column("key").to_numpy()
+        same = key[1:] == key[:-1]
+        met = np.concatenate(([again], same)) | np.concatenate((same, [False]))
+        again = bool(met[-1])
+        last = batch.slice(batch.num_rows - 1)
+        yield batch.slice(0, batch.num_rows - 1).filter(pa.array(met[:-1]))
+    if last is not None and again:
+        yield last
+
+
+def _whole_keys(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by key (the first of names), some JOIN_ROWS at a time, no key's rows apart."""
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append([batch.column(c).to_numpy() for c in names])
+        size += batch.num_rows
+        if size < JOIN_ROWS or held[-1][0][-1] == held[0][0][0]:
+            continue
+        cols = [np.concatenate(c) for c in zip(*held)]
+        last = int(np.searchsorted(cols[0], cols[0][-1]))  # the last key's rows may go on
+        yield [c[:last] for c in cols]
+        held = [[c[last:].copy() for c in cols]]
+        size = len(cols[0]) - last
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def _least(similarity: float, n_a, n_b) -> np.ndarray:
+    """How many keys two heads must share: what similar sets share, less all that lies beyond the head of the larger."""
+    share = similarity / (1 + similarity)
+    return np.ceil(share * (n_a + n_b) - 1e-6 - (np.ceil(similarity * np.maximum(n_a, n_b) - 1e-9) - 1)).astype(np.int64)
+
 
-    What a pair shares up to the nearer end of the two prefixes lies in both; beyond it, no more than the rest of one.
+def _fit(similarity: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether two rows of a key, each (n, place, before, own), may be of similar sets.
+
+    Up to the key a pair shares no more than what either has before it, and from there on no more than the rest of
+    either: of all shingles, and of those of the heads that anybody shares.
     """
     share = similarity / (1 + similarity)
+    near = np.minimum(a[0], b[0]) >= similarity * np.maximum(a[0], b[0]) - 1e-9
+    most = np.minimum(a[1], b[1]) + np.minimum(a[0] - a[1], b[0] - b[1])
+    met = np.minimum(a[2], b[2]) + np.minimum(a[3] - a[2], b[3] - b[2])
+    return near & (most >= share * (a[0] + b[0]) - 1e-6) & (met >= _least(similarity, a[0], b[0]))
+
 
-    def distinct(a: list, b: list, least: list):
-        every = np.stack([np.concatenate(a), np.concatenate(b), np.concatenate(least)], axis=1)
-        both, n = np.unique(every, axis=0, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (both[:, 0], both[:, 1], n.astype(np.int64), both[:, 2])], ["a", "b", "met", "least"])
-
-    def settle(key, place, doc, label):
-        n, at_place = place >> 32, place & 0xFFFFFFFF
-        ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
-        left = ends[np.searchsorted(ends, np.arange(len(key)), side="right")] - np.arange(len(key)) - 1
-        at, k = np.flatnonzero(left > 0), 1
-        a_all, b_all, c_all, held = [], [], [], 0
-        while len(at):
-            other = at + k
-            near = n[at] >= similarity * n[other] - 1e-9  # longer ones follow
-            at, other = at[near], other[near]
-            most = np.minimum(at_place[at], at_place[other]) + np.minimum(n[at] - at_place[at], n[other] - at_place[other])
-            fit = (label[at] != label[other]) & (doc[at] != doc[other]) & (most >= share * (n[at] + n[other]) - 1e-6)
-            if fit.any():
-                x, y = doc[at[fit]], doc[other[fit]]
-                a_all.append(np.minimum(x, y))
-                b_all.append(np.maximum(x, y))
-                rest = np.ceil(similarity * n[other[fit]] - 1e-9) - 1  # of the longer one, beyond its prefix
-                c_all.append(np.ceil(share * (n[at[fit]] + n[other[fit]]) - 1e-6 - rest).astype(np.int64))
-                held += len(x)
-                if held > JOIN_PAIRS:
-                    yield distinct(a_all, b_all, c_all)
-                    a_all, b_all, c_all, held = [], [], [], 0
-            k += 1
-            at = at[left[at] >= k]
-        if held:
-            yield distinct(a_all, b_all, c_all)
+def _stars(similarity: float):
+    """Rows sorted by key and falling centrality -> (hub, doc, met, least): each row with the first leader of its key that
+    it may be similar to; a row without one becomes a leader, LEADERS a key at most. Rows in proportion to rows."""
 
     def run(batches):
-        held, size = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append([batch.column(c).to_numpy() for c in ("key", "place", "doc_id", "label")])
-            size += batch.num_rows
-            if size < JOIN_ROWS or held[-1][0][-1] == held[0][0][0]:
-                continue
-            cols = [np.concatenate(c) for c in zip(*held)]
-            last = int(np.searchsorted(cols[0], cols[0][-1]))  # the last key's rows may go on
-            yield from settle(*(c[:last] for c in cols))
-            held = [[c[last:].copy() for c in cols]]
-            size = len(cols[0]) - last
-        if held:
-            yield from settle(*(np.concatenate(c) for c in zip(*held)))
+        for key, _, place, before, own, doc in _whole_keys(batches, ("key", "order", "place", "before", "own", "doc_id")):
+            row = np.stack([place >> 32, place & 0xFFFFFFFF, before, own])
+            first = np.concatenate(([True], key[1:] != key[:-1]))
+            group = np.cumsum(first) - 1
+            free = np.ones(len(key), bool)
+            pairs = []
+            for _ in range(LEADERS):
+                rows = np.flatnonzero(free)
+                if not len(rows):
+                    break
+                g = group[rows]
+                lead = np.concatenate(([True], g[1:] != g[:-1]))
+                leader = rows[np.flatnonzero(lead)[np.cumsum(lead) - 1]]
+                fit = _fit(similarity, row[:, rows], row[:, leader])
+                use = fit & (doc[rows] != doc[leader])
+                a, b = leader[use], rows[use]
+                pairs.append(np.stack([doc[a], doc[b], _least(similarity, row[0, a], row[0, b])], axis=1))
+                free[rows[fit]] = False
+            both, met = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (both[:, 0], both[:, 1], met.astype(np.int64), both[:, 2])], ["hub", "doc", "met", "least"])
 
     return run
 
 
-def _labelled(docs: DataFrame, column: str, roots: DataFrame, label: str) -> DataFrame:
-    """docs with the least id of the component of `column` by roots(u, v) as `label`."""
-    right = roots.select(F.col("u").alias(column), F.col("v").alias(label))
-    if roots.count() <= BROADCAST_IDS:
-        right = F.broadcast(right)
-    return docs.join(right, column, "left").withColumn(label, F.coalesce(label, column))
+def _pairs_within(similarity: float):
+    """Rows sorted by key and place -> (a, b) of rows of two labels that may be similar.
 
+    Of the keys that a similar pair shares, `least` or more, the first is early in both rows: at least as many less one
+    of the row's own come after it. Pairs that share later keys only are none, so those are not looked at.
+    """
 
-def missing_links(docs: DataFrame, known: DataFrame, similarity: float, words: int) -> DataFrame:
-    """(u, v): verified links that, with those of known(u, v), connect all that links of every similar pair connect.
+    def distinct(found: list):
+        both = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], ["a", "b"])
+
+    def run(batches):
+        for key, place, before, own, doc, label in _whole_keys(batches, ("key", "place", "before", "own", "doc_id", "label")):
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            sizes = np.diff(np.append(first, len(key)))
+            mixed = np.repeat(np.minimum.reduceat(label, first) != np.maximum.reduceat(label, first), sizes)
+            key, place, before, own, doc, label = (c[mixed] for c in (key, place, before, own, doc, label))
+            row = np.stack([place >> 32, place & 0xFFFFFFFF, before, own])
+            n = row[0]
+            ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
+            left = ends[np.searchsorted(ends, np.arange(len(key)), side="right")] - np.arange(len(key)) - 1 if len(key) else np.zeros(0, int)
+            at, k = np.flatnonzero(left > 0), 1
+            found, held = [], 0
+            while len(at):
+                other = at + k
+                near = n[at] >= similarity * n[other] - 1e-9  # longer ones follow
+                at, other = at[near], other[near]
+                least = _least(similarity, n[at], n[other])
+                early = (row[2, at] <= row[3, at] - least) & (row[2, other] <= row[3, other] - least)
+                fit = early & (label[at] != label[other]) & (doc[at] != doc[other]) & _fit(similarity, row[:, at], row[:, other])
+                if fit.any():
+                    found.append(np.sort(np.stack([doc[at[fit]], doc[other[fit]]], axis=1), axis=1))
+                    held += int(fit.sum())
+                    if held > JOIN_PAIRS:
+                        yield distinct(found)
+                        found, held = [], 0
+                k += 1
+                at = at[left[at] >= k]
+            if held:
+                yield distinct(found)
 
-    A set-similarity join that leaves out no pair: similar texts share a shingle among the first of each in one order
-    of all shingles, hot ones last. Pairs that known links connect already are left out. Where many pairs remain, one
-    for each two components is verified first, and pairs within the components that result are left out too.
+    return run
+
+
+def _labelled(rows: DataFrame, column: str, roots: DataFrame, label: str) -> DataFrame:
+    """rows with the least id of the component of `column` by roots(u, v) as `label`."""
+    right = _bounded(roots.select(F.col("u").alias(column), F.col("v").alias(label)))
+    return rows.join(right, column, "left").withColumn(label, F.coalesce(label, column))
+
+
+def _shared_keys(sketches: DataFrame) -> DataFrame:
+    """(key, place, doc_id, before, own, blocks): the heads' shingles that two or more rows hold; place has n and the
+    place in the head; own is how many such keys the row has, before how many of them come before this one; blocks is
+    over 1 where more than HOT_BLOCK rows hold the key, counted exactly."""
+    spark = sketches.sparkSession
+    rows = sketches.select("doc_id", "n", F.posexplode("head").alias("i", "key")).select("key", (F.shiftleft("n", 32) + F.col("i")).alias("place"), "doc_id")
+    met = materialize(rows.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key").mapInArrow(_met_keys, "key long, place long, doc_id long"), "shared-keys")
+    hot = materialize(met.groupBy("key").count().where(F.col("count") > HOT_BLOCK).select("key", F.ceil(F.col("count") / HOT_BLOCK).cast("int").alias("blocks")), "hot-keys")
+    if hot.head(1):
+        met = met.join(_bounded(hot), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    else:
+        met = met.withColumn("blocks", F.lit(1))
+    each = Window.partitionBy("doc_id", F.shiftright("place", 32))
+    before = F.row_number().over(each.orderBy("place")) - 1
+    return materialize(met.withColumn("before", before.cast("long")).withColumn("own", F.count("*").over(each)), "ranked-keys")
+
+
+def _hub_links(docs: DataFrame, shared: DataFrame, similarity: float, words: int) -> DataFrame:
+    """(u, v): verified links of documents with one hub each, the most central document that they meet most often."""
+    n = shuffle_partitions(docs.sparkSession)
+    rows = shared.withColumn("order", -F.col("own") / F.shiftright("place", 32))
+    own = F.when(F.col("blocks") > 1, F.xxhash64("key", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))).otherwise(F.col("key"))
+    rows = rows.select(own.alias("key"), "order", "place", "before", "own", "doc_id").repartition(n, "key").sortWithinPartitions("key", "order", "doc_id")
+    met = rows.mapInArrow(_stars(similarity), "hub long, doc long, met long, least long").groupBy("hub", "doc").agg(F.sum("met").alias("met"), F.max("least").alias("least")).where("met >= least")
+    best = met.groupBy("doc").agg(F.max(F.struct("met", "hub")).alias("best"))
+    tried = best.select(F.least("doc", "best.hub").alias("a"), F.greatest("doc", "best.hub").alias("b")).distinct()
+    return _verified(docs, materialize(tried, "hub-pairs"), similarity, words)
+
+
+def missing_links(docs: DataFrame, heads: DataFrame, known: DataFrame, similarity: float, words: int) -> tuple[DataFrame, DataFrame]:
+    """(u, v): the links known(u, v) and verified ones that connect all that links of every similar pair connect; and a
+    smaller graph of the same components.
+
+    A set-similarity join that leaves out no pair. First every document tries one hub, so that a large group of near
+    copies becomes one component at a cost in proportion to its members. Then all pairs of rows that share an early key
+    are met that are of different components still, and their heads compared; where many remain, one for each two components is verified first, and
+    pairs within the components that result are left out too.
     """
-    spark = docs.sparkSession
-    roots = components(known)
-    hot, counts = _hot_shingles(docs, words)
-    rows = _labelled(docs.select("doc_id", "text"), "doc_id", roots, "label").select("doc_id", "text", "label").mapInArrow(_prefix_rows(similarity, words, hot, counts), "key long, place long, doc_id long, label long")
-    met = rows.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key", "place").mapInArrow(_pairs_within(similarity), "a long, b long, met long, least long")
-    pairs = materialize(met.groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("least").alias("least")).where("met >= least").select("a", "b"), "join-pairs")
+    spark, shared = docs.sparkSession, _shared_keys(heads)
+    found = known.unionByName(materialize(_hub_links(docs, shared, similarity, words), "hub-links"))
+    roots = components(found)
+    rows = _labelled(shared, "doc_id", roots, "label")
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
+    paired = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.xxhash64("key", F.least(own, b.cast("long")), F.greatest(own, b.cast("long"))))
+    rows = rows.select(F.explode(F.when(F.col("blocks") > 1, paired).otherwise(F.array("key"))).alias("key"), "place", "before", "own", "doc_id", "label")
+    met = rows.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key", "place").mapInArrow(_pairs_within(similarity), "a long, b long").distinct()
+    end = lambda c, n, x: heads.select(F.col("doc_id").alias(c), F.col("n").alias(n), F.col("head").alias(x))
+    share = similarity / (1 + similarity)
+    least = F.ceil(share * (F.col("m") + F.col("n")) - 1e-6 - (F.ceil(similarity * F.greatest("m", "n") - 1e-9) - 1))
+    pairs = met.join(end("a", "m", "x"), "a").join(end("b", "n", "y"), "b").where(F.size(F.array_intersect("x", "y")) >= least)
+    pairs = materialize(pairs.select("a", "b").distinct(), "join-pairs")
     at_once = max(VERIFY_PAIRS, docs.count() // 10)
-    found = known
     for _ in range(THIN_ROUNDS):
         if pairs.count() <= at_once:
             break
@@ -621,46 +708,57 @@ def missing_links(docs: DataFrame, known: DataFrame, similarity: float, words: i
         # each component's link to the least one it may belong to: rows in proportion to components
         ends = sides.select("a", "b", F.least("la", "lb").alias("x"), F.greatest("la", "lb").alias("y"))
         tried = materialize(ends.groupBy("y").agg(F.min(F.struct("x", "a", "b")).alias("q")).select(F.struct("q.a", "q.b").alias("p")).unionByName(ends.groupBy("x").agg(first).select("p")).select("p.a", "p.b").distinct(), "join-tried")
-        found = found.unionByName(materialize(_verified(docs, tried, similarity, words), "join-found"))
-        roots = components(found)
+        more = materialize(_verified(docs, tried, similarity, words), "join-found")
+        found, roots = found.unionByName(more), components(roots.unionByName(more))
         left = _labelled(_labelled(pairs.join(tried, ["a", "b"], "left_anti"), "a", roots, "la"), "b", roots, "lb")
         pairs = materialize(left.where("la <> lb").select("a", "b"), "join-pairs")
-    return found.unionByName(_verified(docs, pairs, similarity, words))
-
+    last = materialize(_verified(docs, pairs, similarity, words), "last-links")
+    return found.unionByName(last), roots.unionByName(last)
 
-def similar_links(docs: DataFrame, similarity: float = 0.8, words: int = 5, tables: int = 12, width: int = 2, radius: int = 3, group_cap: int = 20000) -> DataFrame:
-    """(u, v): verified links between rows of docs(doc_id, text), ids distinct and not null, that connect whatever the
-    pairs of texts connect whose sets of `words`-word shingles have the given Jaccard similarity or more.
 
-    Tables of fingerprints find most links at little cost, the largest groups among them; a join of shingles finds what
-    they miss.
+def similar_links(docs: DataFrame, similarity: float = 0.8, words: int = 5, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(u, v): links between rows of docs(doc_id, text), ids not null, that connect whatever the links known(u, v) and the
+    pairs of texts connect whose sets of `words`-word shingles have the given Jaccard similarity or more; all but the known
+    ones are verified. And a smaller graph of the same components. Texts without words have no links. Equal sets are linked by their 128-bit keys and go on as one.
     """
-    near = _verified(docs, _candidates(docs, tables, width, radius, group_cap), similarity, words)
-    return missing_links(docs, materialize(near, "similar"), similarity, words)
+    sketches = materialize(_sketches(docs, _hot_shingles(docs, words), similarity, words).where("n > 0"), "sketches")
+    equal = sketches.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    same = materialize(sketches.join(equal, ["set_a", "set_b"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"), "set_a", "set_b").distinct(), "equal-sets")
+    one = sketches.join(_bounded(same.select(F.col("u").alias("doc_id"), "set_a", "set_b")), ["doc_id", "set_a", "set_b"], "left_anti")
+    first = same.select("u", "v")
+    return missing_links(docs, one, first if known is None else first.unionByName(known), similarity, words)
 
 
-def keep_one(docs: DataFrame, radius: int = 3, similarity: float = 0.8, tables: int = 12) -> DataFrame:
+def near_links(docs: DataFrame, radius: int = 3, width: int = 3, group_cap: int = 20000) -> DataFrame:
+    """(u, v): links of documents, ids not null, that connect what near_duplicates() puts in one component."""
+    prints = materialize(fingerprints(docs, width), "fingerprints")
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "nodes")
+    same = prints.join(nodes.where("n > 1").select("fp", "rep"), "fp").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    of = lambda end: nodes.select(F.col("fp").alias(end), F.col("rep").alias(f"rep_{end}"))
+    near = links(nodes.select("fp"), radius, group_cap).join(of("u"), "u").join(of("v"), "v")
+    return same.unionByName(near.select(F.col("rep_u").alias("u"), F.col("rep_v").alias("v")))
+
+
+def keep_one(docs: DataFrame, radius: int = 3, similarity: float | None = 0.8) -> DataFrame:
     """docs with one document of each group left: that with the smallest doc_id (ties: the smallest text, then any).
 
-    Two steps. Links of near_duplicates() hold as they are; of the documents left, those linked by similar_links() go
-    too (none with tables = 0). Rows without a doc_id count as larger than all others and are told apart by their text.
+    A group is what the links of near_duplicates() and those of similar_links() connect together (the former alone with
+    similarity None). Rows without a doc_id count as larger than all others and are told apart by their text.
     """
     own = "tempora_sid"
     nameless = F.lit(NO_ID) + F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(NO_ID - 1))
     named = docs.withColumn(own, F.coalesce(F.col("doc_id").cast("long"), nameless))
-    groups = materialize(near_duplicates(named.select(F.col(own).alias("doc_id"), "text"), radius), "groups")
-    chosen = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias(own)).count()
-    kept = named.join(chosen.select(own), own, "left_semi")
-    if chosen.where("count > 1").head(1):
-        from pyspark.sql import Window
-
+    plain = named.select(F.col(own).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    with scratch(docs.sparkSession) as keep:
+        found = materialize(near_links(plain, radius), "near-links")
+        if similarity is not None:
+            found = similar_links(plain, similarity, known=found)[1]
+        gone = keep(components(found)).select(F.col("u").alias(own))
+    kept = named.join(_bounded(gone), own, "left_anti")
+    repeated = named.groupBy(own).count().where("count > 1")
+    if repeated.head(1):
         rank = F.row_number().over(Window.partitionBy(own).orderBy("text"))
         kept = kept.withColumn("tempora_rank", rank).where("tempora_rank = 1").drop("tempora_rank")
-    if tables:
-        kept = materialize(kept, "kept")
-        found = similar_links(kept.select(F.col(own).alias("doc_id"), F.col("text").cast("string").alias("text")), similarity, tables=tables)
-        gone = components(found).select(F.col("u").alias(own))
-        kept = kept.join(_bounded(gone), own, "left_anti")
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
