@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempora.llm import line_dedup, mixing, packing, quality, simhash
-from tempora.llm.common import load, materialize, small_batches
+from tempora.llm.common import load, materialize, release, small_batches
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -62,7 +62,8 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{k}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{k}")
+        release(before)
     return docs
 
 
