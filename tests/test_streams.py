@@ -64,3 +64,73 @@ def test_live_tracking(spark, tmp_path):
     for f in range(40):
         expected += tracker.step(f, f / 30, frames[f], 640, 480)
     assert sorted(tuple(r)[1:] for r in got) == sorted(expected) and any(r.is_interpolated for r in got)
+
+
+class Spotter:
+    """Finds the bright square of a picture; counts what it is asked."""
+
+    def __init__(self):
+        self.asked = {"detect": 0, "detect_in": 0, "register": 0, "reset": 0, "register_background": 0}
+
+    def detect(self, picture, motion=None):
+        self.asked["detect"] += 1
+        ys, xs = np.nonzero(picture[..., 0] > 200)
+        return [(float(xs.min()), float(ys.min()), float(xs.max() + 1), float(ys.max() + 1), 0.9, 100)] if len(xs) else []
+
+    def detect_in(self, picture, rois):
+        self.asked["detect_in"] += 1
+        found = self.detect(picture)
+        self.asked["detect"] -= 1
+        return found
+
+    def __getattr__(self, name):
+        if name.startswith("__") or name not in ("register", "reset", "register_background"):
+            raise AttributeError(name)
+
+        def note(*_):
+            self.asked[name] += 1
+
+        return note
+
+
+def _ball(f):
+    picture = np.zeros((120, 160, 3), np.uint8)
+    y = int(20 + 60 * abs((f % 20) - 10) / 10)
+    picture[y : y + 30, 60:90] = 255
+    return picture
+
+
+def test_live_pipeline(spark, tmp_path):
+    """Blank frames, background and registration return early, rescans come each five frames, and peaks are counted."""
+    from tempora.streaming.pipeline import LivePipeline, live_pipeline
+
+    p = LivePipeline(Spotter())
+    assert p.step(np.zeros((48, 64, 3), np.uint8), 0.0) == ("tracked", "full", 0)
+    assert p.step(_ball(0), 0.03, background=True)[0] == "tracked" and p.step(_ball(1), 0.06)[0] == "background" and p.frames == 2
+    scans = [p.step(_ball(f), f / 30)[1] for f in range(2, 62)]
+    assert scans.count("regions") > 50 and p.peak_count >= 2 and len(p.tracker.live) >= 1
+    assert p.detector.asked["detect"] >= 12 and p.detector.asked["register_background"] == 1
+    assert p.step(_ball(0), 3.0, ball=True, reset=True)[0] == "registration" and p.detector.asked["register"] == p.detector.asked["reset"] == 1
+    rows = [("v", f, f / 30, 160, 120, None if f == 3 else _ball(f).tobytes(), False, f == 5, False) for f in range(30)]
+    schema = "video_id string, frame_idx int, timestamp double, width int, height int, frame binary, ball boolean, background boolean, reset boolean"
+    for name, part in (("a", rows[:15]), ("b", rows[15:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"file://{tmp_path}/in/{name}.parquet")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*.parquet")
+    got = {r.frame_idx: r for r in catalogue._to_table(live_pipeline(stream, lambda: LivePipeline(Spotter())), "pipeline", "append").collect()}
+    one, expected = LivePipeline(Spotter()), {}
+    for r in rows:
+        expected[r[1]] = ("unread", "", 0) if r[5] is None else one.step(np.frombuffer(r[5], np.uint8).reshape(120, 160, 3), r[2], *r[6:])
+    assert {f: (r.status, r.scan, r.detections) for f, r in got.items()} == expected
+    assert got[6].status == "background" and got[29].peak_count == one.peak_count
+
+
+def test_jdbc(spark):
+    """A round trip through a database in memory."""
+    from tempora.sources import files
+
+    url = "jdbc:derby:memory:tempora;create=true"
+    users = spark.createDataFrame([(i, f"user {i}") for i in range(50)], "user_key long, name string")
+    files.write_jdbc(users, url, "users")
+    files.write_jdbc(users.where("user_key < 3"), url, "users")
+    got = files.read_jdbc(spark, url, "users", "user_key", 4)
+    assert got.rdd.getNumPartitions() == 4 and sorted(r[0] for r in got.collect()) == sorted([*range(50), 0, 1, 2])
