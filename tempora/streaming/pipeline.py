@@ -107,12 +107,13 @@ class LivePipeline:
                         self.peak_count += 1
 
 
-def live_pipeline(frames: DataFrame, make=LivePipeline, idle: str = "10 minutes") -> DataFrame:
+def live_pipeline(frames: DataFrame, make=LivePipeline, idle: str | None = None) -> DataFrame:
     """One row a frame of a stream frames(video_id, frame_idx, timestamp, width, height, frame, ball, background, reset),
     frame being rows of blue, green and red bytes. A frame that cannot be read is passed over. A video's state, which is
-    bounded by its live tracks and registered objects, goes after `idle` without frames."""
+    bounded by its live tracks and registered objects, goes after `idle` (such as "10 minutes") without frames; a query with
+    it looks for such videos as long as it runs, so it never ends by itself."""
     names = [x.split()[0] for x in OUT.split(", ")]
-    seconds = pd.Timedelta(idle).total_seconds()
+    seconds = 0 if idle is None else pd.Timedelta(idle).total_seconds()
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -129,7 +130,8 @@ def live_pipeline(frames: DataFrame, make=LivePipeline, idle: str = "10 minutes"
             done = p.step(picture, float(r.timestamp), bool(r.ball), bool(r.background), bool(r.reset))
             out.append((key[0], r.frame_idx, r.timestamp, *done, len(p.tracker.live), p.peak_count))
         state.update((pickle.dumps(p),))
-        state.setTimeoutDuration(int(seconds * 1000))
+        if seconds:
+            state.setTimeoutDuration(int(seconds * 1000))
         yield pd.DataFrame(out, columns=names)
 
-    return frames.groupBy("video_id").applyInPandasWithState(run, OUT, "state binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return frames.groupBy("video_id").applyInPandasWithState(run, OUT, "state binary", "append", GroupStateTimeout.ProcessingTimeTimeout if seconds else GroupStateTimeout.NoTimeout)
