@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempora.functions import scalar
-from tempora.operators import commands, evaluate, extrema, features, gapfill, history, overlay, runs, segments, signature, tracking
+from tempora.operators import evaluate, extrema, features, gapfill, history, overlay, runs, segments, signature, tracking
 from tempora.sources import files
 from tempora.sources.shared import new_path
 from tempora.streaming import live
@@ -205,6 +205,25 @@ def segments_hysteresis(spark, sf_dir):
     return segments.segments(dense, 3.0, 6.0).drop("video_id")
 
 
+@query(f"""WITH {SIGNAL},
+u AS (SELECT DISTINCT user_id FROM signal), n AS (SELECT user_id, CAST(floor((t - {ORIGIN_SQL}) / {HOUR}.0) AS BIGINT) AS frame, count(*) AS n FROM signal GROUP BY ALL),
+f AS (SELECT g.user_id, CAST(g.frame AS INTEGER) AS i, g.frame / 1.0::DOUBLE AS ts, coalesce(n.n, 0) AS n FROM (SELECT user_id, unnest(range({HOURS_SQL})) AS frame FROM u) g LEFT JOIN n ON n.user_id = g.user_id AND n.frame = g.frame),
+k AS (SELECT user_id, count(*) AS nn, CAST(floor(12.0 * (count(*) / max(ts))) AS INTEGER) AS g FROM f GROUP BY user_id),
+c AS (SELECT f.*, nn, g, lag(i) OVER (PARTITION BY f.user_id ORDER BY i) AS p FROM f JOIN k ON k.user_id = f.user_id WHERE n >= 1),
+j AS (SELECT *, sum(CASE WHEN i - p - 1 > g THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY i) AS island FROM c),
+a AS (SELECT user_id, min(i) AS first, max(i) AS last, any_value(nn) AS nn, any_value(g) AS g FROM j GROUP BY user_id, island),
+b AS (SELECT user_id, first, CASE WHEN nn - 1 - last <= g THEN last WHEN last = 0 THEN nn - 1 ELSE last - 1 END AS e FROM a)
+SELECT CAST(user_id AS VARCHAR) AS video_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY first) - 1 AS INTEGER) AS segment_id, CAST(first AS DOUBLE) AS start_time, CAST(e AS DOUBLE) AS end_time, 0.8::DOUBLE AS confidence FROM b WHERE e - first >= 3""")
+def segments_per_user(spark, sf_dir):
+    """Every user's hours as a video, active where an event falls."""
+    origin, hours = grid_of(spark, sf_dir)
+    rows = signal(spark, sf_dir).select(F.col("user_id").cast("string").alias("video_id"), F.floor((F.col("t") - origin) / HOUR).cast("int").alias("frame_idx"))
+    active = rows.groupBy("video_id", "frame_idx").agg(F.count("*").cast("int").alias("n"))
+    videos = rows.select("video_id").distinct().select("video_id", F.lit(1.0).alias("fps"), F.lit(640).alias("width"), F.lit(480).alias("height"), F.lit(hours).alias("frame_count"), F.lit(float(hours)).alias("duration"))
+    dense = features.frame_grid(videos).join(active, ["video_id", "frame_idx"], "left").select("video_id", "frame_idx", "timestamp", F.coalesce("n", F.lit(0)).alias("num_active_tracks"))
+    return segments.segments(dense, 3.0, 12.0, 1)
+
+
 # gap filling
 
 
@@ -433,19 +452,6 @@ def mosaic_mapping(spark, sf_dir):
     return rows.select("l_orderkey", "l_linenumber", crop.alias("crop")).where("crop is not null")
 
 
-# commands
-
-
-@query("""SELECT conv_id, turn, contains(lower(text), 'ball') OR contains(lower(text), 'bowl') AS ball, contains(lower(text), 'background') OR (contains(lower(text), 'back') AND contains(lower(text), 'ground')) AS background, contains(lower(text), 'reset') AS reset FROM conversations""")
-def voice_commands(spark, sf_dir):
-    return commands.commands(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "ball", "background", "reset")
-
-
-@query("""SELECT conv_id, max_by(text, turn) AS last_command FROM conversations WHERE contains(lower(text), 'ball') OR contains(lower(text), 'bowl') OR contains(lower(text), 'background') OR (contains(lower(text), 'back') AND contains(lower(text), 'ground')) OR contains(lower(text), 'reset') GROUP BY conv_id""")
-def last_command(spark, sf_dir):
-    return commands.last_command(table(spark, sf_dir, "conversations"), ["conv_id"], "turn")
-
-
 # signatures
 
 _MERGED = "WITH m AS (SELECT label, pos, round(avg(CAST(v AS DOUBLE)), 6) AS mean FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) GROUP BY label, pos)"
