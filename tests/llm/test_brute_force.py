@@ -5,14 +5,16 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from tempora.llm import merkle, mixing, simhash
-from tempora.llm.common import load
+from tempora.llm import katz, merkle, mixing, simhash
+from tempora.llm.common import load, materialize, release, scratch
 
 SF = "/root/testdata/sf0.01"
 
@@ -134,3 +136,41 @@ def test_near_dedup_keeps_one_of_each_group(spark):
                 join(d, o)
                 tried.add((o, d))
     assert len(tried) > 20 and kept == {min(g) for g in groups.values()}
+
+
+def test_ngram_table(spark):
+    """The stored n-grams are the learned ones with their discounted counts, each in the shard of its key's range."""
+    data = [(i, f"a b c{i % 7} a") for i in range(40)]
+    _, levels, counts, weights = katz.fitted(spark.createDataFrame(data, "doc_id long, text string").repartition(3), 50, 200)
+    one, two = Counter(), Counter()
+    for i, t in data:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            w = [xxhash.xxh64_intdigest(x) for x in t.encode().split()] + [int(katz.END)]
+            one.update(w)
+            two.update(katz.pair_keys(np.array([int(katz.START), *w[:-1]], np.uint64), np.array(w, np.uint64)).tolist())
+    rows = katz.ngram_table(spark, counts, levels).collect()
+    assert len({(r.kind, r.key) for r in rows}) == len(rows)
+    for kind, n, d in ((katz.WORDS, one, levels.d_word), (katz.PAIRS, two, levels.d_pair)):
+        got = {r.key & (2**64 - 1): r.value for r in rows if r.kind == kind}
+        assert got == pytest.approx({k: c * (d[c] if c <= katz.TURING else 1.0) for k, c in n.items()})
+    at = sorted((r.kind, r.key & (2**64 - 1), r.shard) for r in rows)
+    assert all(a[0] != b[0] or a[2] <= b[2] for a, b in zip(at, at[1:]))
+    assert {r.kind for r in katz.ngram_table(spark, weights, levels).collect()} == {katz.CONTEXTS}
+
+
+def test_cuts():
+    keys = np.unique(np.random.default_rng(1).integers(0, 2**64, 500, np.uint64))
+    for shards in (1, 4, 64, 1 << 20):
+        of, at = katz._cuts(keys, shards)
+        assert at[0] == 0 and at[-1] == len(keys) and len(at) == len(of) + 1 <= len(keys) + 1
+        for s, a, b in zip(of, at, at[1:]):
+            assert {int(k) * shards >> 64 for k in keys[a:b]} == {s}
+
+
+def test_scratch_tables_go(spark):
+    with scratch(spark) as keep:
+        gone, kept = materialize(spark.range(5).toDF("x"), "gone"), keep(materialize(spark.range(3).toDF("x"), "kept"))
+    assert kept.count() == 3
+    with pytest.raises(Exception, match="not exist|No such file|NOT_EXIST|FILE_NOT"):
+        spark.read.schema("x long").parquet(gone.tempora_path).count()
+    release(kept)
