@@ -465,21 +465,23 @@ def _hot_shingles(docs: DataFrame, words: int) -> np.ndarray:
     return found.column("s").to_numpy()[::-1].view(np.uint64)
 
 
-def _ordered(hashes: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Distinct hashes, given by value, with hot ones (sorted, of the given ranks) after the others by rank."""
+def _ordered(hashes: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, int]:
+    """Distinct hashes, given by value, with hot ones (sorted, of the given ranks) after the others by rank; and how many
+    others there are."""
     if not len(hot):
-        return hashes
+        return hashes, len(hashes)
     at = np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)
     is_hot = hot[at] == hashes
-    return np.concatenate([hashes[~is_hot], hot[at[is_hot][np.argsort(rank[at[is_hot]])]]])
+    return np.concatenate([hashes[~is_hot], hot[at[is_hot][np.argsort(rank[at[is_hot]])]]]), len(hashes) - int(is_hot.sum())
 
 
-SKETCH = "doc_id long, set_a long, set_b long, n long, head array<long>"
+SKETCH = "doc_id long, set_a long, set_b long, n long, head array<long>, cold long"
 
 
 def _sketches(docs: DataFrame, hot: np.ndarray, similarity: float, words: int) -> DataFrame:
     """One row a document: a 128-bit key of its set of `words`-word shingles, their number n, and the first
-    n - ceil(similarity n) + 1 of them in the one order of all. Similar texts share one of these."""
+    n - ceil(similarity n) + 1 of them in the one order of all, of which the first `cold` are not hot. Similar texts share
+    one of these."""
     rank = np.argsort(hot)
     sorted_hot = hot[rank]
 
@@ -488,15 +490,17 @@ def _sketches(docs: DataFrame, hot: np.ndarray, similarity: float, words: int) -
         for whole in batches:
             for start in range(0, whole.num_rows, 100):
                 batch = whole.slice(start, 100)
-                keys, sizes, heads = [], [], []
+                keys, sizes, heads, cold = [], [], [], []
                 for text in as_bytes(batch.column("text")):
                     tokens = np.unique(word_shingles(_hashes_of(text, known), words))
                     n = len(tokens)
                     keys.append(xxhash.xxh3_128_digest(tokens.tobytes()))
                     sizes.append(n)
-                    heads.append(_ordered(tokens, sorted_hot, rank)[: n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0].view(np.int64))
+                    ordered, others = _ordered(tokens, sorted_hot, rank)
+                    heads.append(ordered[: n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0].view(np.int64))
+                    cold.append(others)
                 key = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-                cols = [batch.column("doc_id"), pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), pa.array(sizes, pa.int64()), pa.array(heads, pa.list_(pa.int64()))]
+                cols = [batch.column("doc_id"), pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), pa.array(sizes, pa.int64()), pa.array(heads, pa.list_(pa.int64())), pa.array(cold, pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in SKETCH.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(run, SKETCH)
@@ -653,8 +657,11 @@ def _shared_keys(sketches: DataFrame) -> DataFrame:
     place in the head; own is how many such keys the row has, before how many of them come before this one; blocks is
     over 1 where more than HOT_BLOCK rows hold the key, counted exactly."""
     spark = sketches.sparkSession
-    rows = sketches.select("doc_id", "n", F.posexplode("head").alias("i", "key")).select("key", (F.shiftleft("n", 32) + F.col("i")).alias("place"), "doc_id")
-    met = materialize(rows.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key").mapInArrow(_met_keys, "key long, place long, doc_id long"), "shared-keys")
+    exploded = sketches.select("doc_id", "n", "cold", F.posexplode("head").alias("i", "key"))
+    rows = exploded.select("key", (F.shiftleft("n", 32) + F.col("i")).alias("place"), "doc_id", (F.col("i") >= F.col("cold")).alias("hot"))
+    # hot keys are known to be shared; only the others, which few rows hold, are dealt out to see whether they are
+    cold = rows.where("not hot").drop("hot").repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key").mapInArrow(_met_keys, "key long, place long, doc_id long")
+    met = materialize(cold.unionByName(rows.where("hot").drop("hot")), "shared-keys")
     hot = materialize(met.groupBy("key").count().where(F.col("count") > HOT_BLOCK).select("key", F.ceil(F.col("count") / HOT_BLOCK).cast("int").alias("blocks")), "hot-keys")
     if hot.head(1):
         met = met.join(_bounded(hot), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
