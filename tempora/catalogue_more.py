@@ -110,7 +110,7 @@ def result_cache(spark, sf_dir):
 
 @query("SELECT * FROM (VALUES ('events', 7), ('runs', 7), ('sessions', 4), ('users', 3)) AS t(table_name, n_columns)")
 def created_tables(spark, sf_dir):
-    return files.table_shapes(spark)
+    return files.table_shapes(spark, "tempora", new_path(spark, "database"))
 
 
 # gates and columns
