@@ -51,7 +51,7 @@ TURING, MIN_PAIR = 5, 1
 CHUNK = 1_000_000
 SHARD_BYTES = 16 << 20
 WORDS, PAIRS, CONTEXTS = 0, 1, 2
-STORED = -2  # the pid under which the n-gram tables stand beside the answers
+STORED = -2  # less the shard: the pid under which a shard's part of the n-gram tables stands beside the answers
 END = np.uint64(xxhash.xxh64_intdigest(b"end", 1))
 START = np.uint64(xxhash.xxh64_intdigest(b"start", 1))
 ASK = "pid int, chunk int, kind int, shard int, keys binary, n binary, x binary, y binary"
@@ -197,9 +197,9 @@ def _totals(asks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def _answers(rows: list[tuple], stats: list[int] | None, stored: tuple[bytes, bytes] = (b"", b"")) -> pa.Table:
-    """The answers; the shard's part of the n-gram table (pid STORED: keys and what is known of them); its sums (pid -1)."""
+    """The answers; the shard's part of the n-gram table (pid STORED less the shard: keys and what is known of them); its sums (pid -1)."""
     if rows:
-        rows = [*rows, (STORED, 0, rows[0][2], rows[0][3], 0, 0, *stored)]
+        rows = [*rows, (STORED - rows[0][3], 0, rows[0][2], rows[0][3], 0, 0, *stored)]
     cols = list(zip(*rows)) if rows else [[]] * 8
     kinds = [pa.int32()] * 4 + [pa.int64()] * 2 + [pa.binary()] * 2
     names = [x.split()[0] for x in ANSWER.split(", ")]
@@ -415,7 +415,7 @@ def ngram_table(spark: SparkSession, path: str, levels: Levels) -> DataFrame:
                     part = keys[a : a + 10_000]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(np.full(len(part), shard, np.int32)), pa.array(part.view(np.int64)), pa.array(np.asarray(value[a : a + 10_000], np.float64))], ["kind", "shard", "key", "value"])
 
-    rows = spark.read.schema(ANSWER).parquet(path).where(F.col("pid") == STORED)
+    rows = spark.read.schema(ANSWER).parquet(path).where(F.col("pid") <= STORED)
     return rows.select("kind", "shard", "n", "x").mapInArrow(run, "kind int, shard int, key long, value double")
 
 
