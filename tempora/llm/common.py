@@ -90,6 +90,27 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tidy(run):
+    """`run`, a function over Arrow batches, giving back to the system what it leaves free: workers outlive their tasks."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return tidied
+
+
 def as_bytes(column) -> list:
     """The UTF-8 bytes of an Arrow string column (no decoding); null stays None."""
     import pyarrow as pa

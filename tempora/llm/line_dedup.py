@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm.common import as_bytes, materialize
+from tempora.llm.common import as_bytes, materialize, tidy
 
 SLOTS = 4
 MAX_KICKS = 500
@@ -139,7 +139,7 @@ def _count_lines(shards: int, min_chars: int, sign: int):
 
 def line_counts(docs: DataFrame, shards: int, min_chars: int = 1, sign: int = 1) -> DataFrame:
     """(shard, key, n): n documents hold the key. Summed within each Arrow batch before the shuffle."""
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count_lines(shards, min_chars, sign), "shard int, key binary, n long").groupBy("shard", "key").agg(F.sum("n").alias("n"))
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(_count_lines(shards, min_chars, sign)), "shard int, key binary, n long").groupBy("shard", "key").agg(F.sum("n").alias("n"))
 
 
 def _digests(keys) -> np.ndarray:
@@ -291,7 +291,7 @@ def drop_frequent_lines(docs: DataFrame, state: LineState, filter_bytes: int = 6
     if size <= filter_bytes:
         rows = [(r.shard, r.n_buckets, bytes(r.slots), bytes(r.exceptions)) for r in state.filters.collect()]
         shared = docs.sparkSession.sparkContext.broadcast(rows)
-        return docs.mapInArrow(_apply(shared, state.shards, state.min_chars, schema), out)
+        return docs.mapInArrow(tidy(_apply(shared, state.shards, state.min_chars, schema)), out)
     text_key = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     shards, min_chars = state.shards, state.min_chars
 

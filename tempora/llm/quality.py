@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm.common import as_bytes, load, materialize, whole_texts
+from tempora.llm.common import as_bytes, load, materialize, tidy, whole_texts
 
 FOLDS = 5
 THRESHOLD = 0.3
@@ -94,7 +94,7 @@ def statistics(docs: DataFrame) -> DataFrame:
                 x = statistics_of(as_bytes(batch.column("text")))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    return whole_texts(docs).mapInArrow(run, "doc_id long, x array<double>")
+    return whole_texts(docs).mapInArrow(tidy(run), "doc_id long, x array<double>")
 
 
 @dataclass
@@ -192,7 +192,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
                 texts = [t or b"" for t in as_bytes(batch.column("text"))]
                 yield batch.filter(pa.array(model.score(statistics_of(texts)) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tempora.llm.common import as_bytes, load, materialize, scratch, shuffle_partitions, whole_texts
+from tempora.llm.common import as_bytes, load, materialize, scratch, shuffle_partitions, tidy, whole_texts
 from tempora.llm.components import components
 
 BITS = 64
@@ -104,7 +104,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
                 fps = fingerprints_of(as_bytes(batch.column("text")), width)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return whole_texts(docs).mapInArrow(run, "doc_id long, fp long")
+    return whole_texts(docs).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 # partitions and thresholds
@@ -391,7 +391,7 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, group_cap:
 class _WordHashes(dict):
     """XXH64 of words; keeps those of the first MOST words it meets, as words repeat."""
 
-    MOST = 1 << 17
+    MOST = 1 << 15
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word)
@@ -454,7 +454,7 @@ def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
                 sets = [np.unique(word_shingles(_hashes_of(t, known), words)).view(np.int64) for t in as_bytes(part.column("text"))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, shingles array<long>")
 
 
 def _hot_shingles(docs: DataFrame, words: int) -> np.ndarray:
@@ -503,7 +503,7 @@ def _sketches(docs: DataFrame, hot: np.ndarray, similarity: float, words: int) -
                 cols = [batch.column("doc_id"), pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), pa.array(sizes, pa.int64()), pa.array(heads, pa.list_(pa.int64())), pa.array(cold, pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in SKETCH.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SKETCH)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), SKETCH)
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, similarity: float, words: int) -> DataFrame:
@@ -660,7 +660,7 @@ def _shared_keys(sketches: DataFrame) -> DataFrame:
     exploded = sketches.select("doc_id", "n", "cold", F.posexplode("head").alias("i", "key"))
     rows = exploded.select("key", (F.shiftleft("n", 32) + F.col("i")).alias("place"), "doc_id", (F.col("i") >= F.col("cold")).alias("hot"))
     # hot keys are known to be shared; only the others, which few rows hold, are dealt out to see whether they are
-    cold = rows.where("not hot").drop("hot").repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key").mapInArrow(_met_keys, "key long, place long, doc_id long")
+    cold = rows.where("not hot").drop("hot").repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key").mapInArrow(tidy(_met_keys), "key long, place long, doc_id long")
     met = materialize(cold.unionByName(rows.where("hot").drop("hot")), "shared-keys")
     hot = materialize(met.groupBy("key").count().where(F.col("count") > HOT_BLOCK).select("key", F.ceil(F.col("count") / HOT_BLOCK).cast("int").alias("blocks")), "hot-keys")
     if hot.head(1):
@@ -678,7 +678,7 @@ def _hub_links(docs: DataFrame, shared: DataFrame, similarity: float, words: int
     rows = shared.withColumn("order", -F.col("own") / F.shiftright("place", 32))
     own = F.when(F.col("blocks") > 1, F.xxhash64("key", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))).otherwise(F.col("key"))
     rows = rows.select(own.alias("key"), "order", "place", "before", "own", "doc_id").repartition(n, "key").sortWithinPartitions("key", "order", "doc_id")
-    met = rows.mapInArrow(_stars(similarity), "hub long, doc long, met long, least long").groupBy("hub", "doc").agg(F.sum("met").alias("met"), F.max("least").alias("least")).where("met >= least")
+    met = rows.mapInArrow(tidy(_stars(similarity)), "hub long, doc long, met long, least long").groupBy("hub", "doc").agg(F.sum("met").alias("met"), F.max("least").alias("least")).where("met >= least")
     best = met.groupBy("doc").agg(F.max(F.struct("met", "hub")).alias("best"))
     tried = best.select(F.least("doc", "best.hub").alias("a"), F.greatest("doc", "best.hub").alias("b")).distinct()
     return _verified(docs, materialize(tried, "hub-pairs"), similarity, words)
@@ -700,8 +700,11 @@ def missing_links(docs: DataFrame, heads: DataFrame, known: DataFrame, similarit
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
     paired = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.xxhash64("key", F.least(own, b.cast("long")), F.greatest(own, b.cast("long"))))
     rows = rows.select(F.explode(F.when(F.col("blocks") > 1, paired).otherwise(F.array("key"))).alias("key"), "place", "before", "own", "doc_id", "label")
-    met = rows.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key", "place").mapInArrow(_pairs_within(similarity), "a long, b long").distinct()
-    end = lambda c, n, x: heads.select(F.col("doc_id").alias(c), F.col("n").alias(n), F.col("head").alias(x))
+    met = rows.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key", "place").mapInArrow(tidy(_pairs_within(similarity)), "a long, b long").distinct()
+    met = materialize(met, "early-pairs")
+    ids = _bounded(met.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    few = materialize(heads.select("doc_id", "n", "head").join(ids, "doc_id", "left_semi"), "candidate-heads")
+    end = lambda c, n, x: few.select(F.col("doc_id").alias(c), F.col("n").alias(n), F.col("head").alias(x))
     share = similarity / (1 + similarity)
     least = F.ceil(share * (F.col("m") + F.col("n")) - 1e-6 - (F.ceil(similarity * F.greatest("m", "n") - 1e-9) - 1))
     pairs = met.join(end("a", "m", "x"), "a").join(end("b", "n", "y"), "b").where(F.size(F.array_intersect("x", "y")) >= least)
