@@ -26,7 +26,7 @@ def stream_runs(events: DataFrame, keys: list[str], time: str, max_gap_micros: i
     return runs_by_session_window(events.withWatermark(time, watermark), keys, time, max_gap_micros, min_events)
 
 
-def _live_peaks(history: int, prominence: float, least: int, key_type):
+def _live_peaks(history: int, prominence: float, least: int, flat: bool, key_type):
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         ts, ys, last, count = pickle.loads(state.get[0]) if state.exists else ([], [], 0.0, 0)
         found = []
@@ -34,7 +34,7 @@ def _live_peaks(history: int, prominence: float, least: int, key_type):
         for t, y in zip(rows["t"], rows["y"]):
             ts, ys = [*ts, t][-history:], [*ys, y][-history:]
             if len(ts) >= least:
-                for i in peaks.find(-np.array(ys), prominence):
+                for i in peaks.find(-np.array(ys), prominence, flat=flat):
                     if ts[i] > last:
                         last, count = ts[i], count + 1
                         found.append((key[0], last, count))
@@ -44,15 +44,16 @@ def _live_peaks(history: int, prominence: float, least: int, key_type):
     return run
 
 
-def live_peaks(points: DataFrame, key: str, time: str, y: str, history: int = DEFAULT.live_history, prominence: float = DEFAULT.live_prominence, least: int = DEFAULT.min_points) -> DataFrame:
-    """(key, peak_time, peak_count) as they are found: minima of y within the last `history` points of each key.
+def live_peaks(points: DataFrame, key: str, time: str, y: str, history: int = DEFAULT.live_history, prominence: float = DEFAULT.live_prominence, least: int = DEFAULT.min_points, flat: bool = True) -> DataFrame:
+    """(key, peak_time, peak_count) as they are found: minima of y within the last `history` points of each key, those of
+    several equal points only if `flat`.
 
     State is bounded by `history`. Points of a micro-batch are taken in order of time; only peaks later than the last
     one counted count, so one that becomes prominent after a newer one was counted is lost, as live counting must.
     """
     rows = points.select(F.col(key).alias("key"), F.col(time).cast("double").alias("t"), F.col(y).cast("double").alias("y"))
     kind = dict(rows.dtypes)["key"]
-    made = _live_peaks(history, prominence, least, {"bigint": "int64", "int": "int32"}.get(kind, "object"))
+    made = _live_peaks(history, prominence, least, flat, {"bigint": "int64", "int": "int32"}.get(kind, "object"))
     return rows.groupBy("key").applyInPandasWithState(made, f"key {kind}, peak_time double, peak_count long", "state binary", "append", GroupStateTimeout.NoTimeout)
 
 

@@ -33,6 +33,23 @@ def test_stream_peaks(spark):
     assert got == sorted(expected) != []
 
 
+def test_stream_peaks_of_equal_values(spark, tmp_path):
+    """Lows of two or three equal values against the SQL, which counts none of them; find() counts them unless told not to."""
+    import duckdb
+
+    values = {1: [90, 10, 10, 95, 20, 90, 5, 90], 2: [90, 10, 90, 20, 20, 20, 99, 3, 3, 80], 3: [90, 9, 90, 9, 90, 70, 71]}
+    rows = [(100 * u + i, u, "a", float(v), 60 * i) for u, vs in values.items() for i, v in enumerate(vs)]
+    made = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, s long")
+    made.select("event_id", "user_id", "event_type", "value", F.timestamp_seconds(F.col("s") + 1_700_000_000).cast("timestamp_ntz").alias("ts")).write.parquet(f"file://{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    expected = sorted(c.execute(f"SELECT user_id, peak_time, peak_count FROM ({catalogue.ORACLES['stream_peaks']})").fetchall())
+    got = sorted((r.user_id, r.peak_time, r.peak_count) for r in catalogue.stream_peaks(spark, str(tmp_path)).collect())
+    assert got == expected != []
+    y = -np.array(values[2], float)
+    assert peaks.find(y, 60.0).tolist() == [1, 4, 7] and peaks.find(y, 60.0, flat=False).tolist() == [1]
+
+
 def test_audio_chunks(spark):
     rows = spark.createDataFrame([("a", i, 1.0) for i in range(9)], "k string, i long, s double")
     got = {r.i: r.chunk for r in live.audio_chunks(rows, ["k"], "i", "s", 3.0).collect()}
