@@ -11,10 +11,11 @@ beyond it (values nested in one another but for a few documents) is kept whole,
 repeats serves it but by dropping most others. Targets given by the caller are shares by value, met however small the
 sample; values not named there are wanted not at all.
 
-Topics are fitted: shares of words over WORD_BUCKETS hash buckets, less the mean of the document's language, go to the
-nearest of TOPICS centres, which k-means finds on a sample of about `fit_documents` documents drawn by hash (the bound of
-the sample; every document gets a topic). Callers with topics of their own pass a column. Tokens are runs of other than
-[\\x20\\x09-\\x0D].
+Topics are fitted: roots of the shares of words over WORD_BUCKETS hash buckets, less the mean of the document's language,
+go to the nearest of TOPICS centres, which k-means finds over all documents with words, a pass over their stored vectors
+a step. Vectors, means and centres are on a grid of 1 / GRID, so all sums and distances are exact, and the topics depend
+neither on the order of rows nor on their partitions. Callers with topics of their own pass a column. Tokens are runs of
+other than [\\x20\\x09-\\x0D].
 
 Nulls and odd rows: a null source, language or topic is a value of its own; a null text or one without words has no
 tokens, the topic "none" and, like every document without tokens, follows its cell's probability (0 in a cell without any
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm.common import as_bytes, load, materialize, tidy
+from tempora.llm.common import as_bytes, load, materialize, release, tidy
 
 DIMENSIONS = ("source", "lang", "topic")
 ALPHAS = {"source": 0.8, "lang": 0.8, "topic": 1.0}
@@ -43,10 +44,12 @@ MAX_SWEEPS, TOLERANCE = 60, 1e-6
 BROADCAST_CELLS = 50_000
 
 
-#: Buckets of word hashes, topics (fewer of a small sample, one for each LEAST_OF_TOPIC documents), languages' own means
-#: from so many sampled documents on, and steps of k-means.
-WORD_BUCKETS, TOPICS, LEAST_OF_TOPIC, LEAST_OF_LANGUAGE, STEPS = 256, 8, 100, 20, 25
-FIT_DOCUMENTS = 4000
+#: Buckets of word hashes, topics (fewer of few documents, one for each LEAST_OF_TOPIC), steps of k-means at most.
+WORD_BUCKETS, TOPICS, LEAST_OF_TOPIC, STEPS = 256, 8, 100, 25
+#: Languages of so many documents, and of such a share of all, have a mean of their own; the others take that of all.
+LEAST_OF_LANGUAGE, SHARE_OF_LANGUAGE = 20, 0.0025
+#: A power of two: with unit vectors in such steps, products and sums of any batch are whole numbers below 2 ** 53.
+GRID = 1 << 15
 
 
 class _Buckets(dict):
@@ -60,14 +63,14 @@ class _Buckets(dict):
 
 
 def word_shares(texts: list[bytes | None], known: _Buckets) -> tuple[np.ndarray, np.ndarray]:
-    """The number of words of each text, and the square roots of the buckets' shares in them."""
-    n, shares = np.zeros(len(texts), np.int64), np.zeros((len(texts), WORD_BUCKETS), np.float32)
+    """The number of words of each text, and the square roots of the buckets' shares in them, in steps of 1 / GRID."""
+    n, shares = np.zeros(len(texts), np.int64), np.zeros((len(texts), WORD_BUCKETS))
     for i, t in enumerate(texts):
         words = (t or b"").lower().split()
         n[i] = len(words)
         if words:
             shares[i] = np.bincount(np.fromiter(map(known.__getitem__, words), np.int64, len(words)), minlength=WORD_BUCKETS)
-    return n, np.sqrt(shares / np.maximum(n, 1)[:, None])
+    return n, np.rint(np.sqrt(shares / np.maximum(n, 1)[:, None]) * GRID).astype("<u2")
 
 
 @dataclass
@@ -77,81 +80,179 @@ class Topics:
     means: dict[str | None, np.ndarray]
     centres: np.ndarray
 
-    def residual(self, shares: np.ndarray, langs: list) -> np.ndarray:
-        return shares - np.stack([self.means.get(x, self.means[None]) for x in langs]) if langs else shares
+    def nearest(self, shares: np.ndarray, langs: pa.Array) -> tuple[np.ndarray, np.ndarray, list]:
+        """Each row's centre, the place of its language in a list, and that list."""
+        coded = langs.dictionary_encode("encode")
+        names = coded.dictionary.to_pylist()
+        off = np.array([self.means.get(v, self.means[None]) for v in names]).reshape(-1, WORD_BUCKETS) @ self.centres.T
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        return ((self.centres**2).sum(1) - 2 * (shares / GRID @ self.centres.T - off[code])).argmin(1), code, names
 
-    def of(self, n: np.ndarray, shares: np.ndarray, langs: list) -> list[str]:
-        if not len(self.centres):
+    def of(self, n: np.ndarray, shares: np.ndarray, langs: pa.Array) -> list[str]:
+        if not len(self.centres) or not len(n):
             return ["none"] * len(n)
-        x = self.residual(shares, langs)
-        near = ((self.centres**2).sum(1) - 2 * x @ self.centres.T).argmin(1)
-        return [f"topic{k}" if words else "none" for k, words in zip(near.tolist(), n.tolist())]
-
-
-def centres_of(x: np.ndarray, k: int) -> np.ndarray:
-    """k-means from the points farthest from one another; the largest group first."""
-    at = [int(((x - x.mean(0)) ** 2).sum(1).argmax())]
-    far = np.full(len(x), np.inf)
-    while len(at) < k:
-        far = np.minimum(far, ((x - x[at[-1]]) ** 2).sum(1))
-        if far.max() <= 0:
-            break
-        at.append(int(far.argmax()))
-    centres = x[at]
-    for _ in range(STEPS):
-        near = ((centres**2).sum(1) - 2 * x @ centres.T).argmin(1)
-        centres = np.stack([x[near == j].mean(0) if (near == j).any() else centres[j] for j in range(len(centres))])
-    return centres[np.argsort(-np.bincount(near, minlength=len(centres)), kind="stable")]
+        return [f"topic{k}" if words else "none" for k, words in zip(self.nearest(shares, langs)[0].tolist(), n.tolist())]
+
 
+_FEATURES = "doc_id long, source string, lang string, tokens long, u double, x binary"
 
-def fit_topics(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> Topics:
-    """Equal rows are drawn as one, and no more than twice `fit_documents` rows are."""
-    draw = F.xxhash64(F.lit("topics"), F.col("doc_id").cast("long"), F.col("text"))
-    rate = min(1.0, fit_documents / max(docs.count(), 1))
-    drawn = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), draw.alias("draw")).where(F.shiftrightunsigned("draw", 11) < F.lit(int(rate * (1 << 53))))
+
+def features(docs: DataFrame) -> DataFrame:
+    """What mixing needs of each document; x has its word_shares, `u` in [0, 1) is the document's own draw."""
 
     def run(batches):
         known = _Buckets()
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
+                n, shares = word_shares(as_bytes(batch.column("text")), known)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), batch.column("lang"), pa.array(n), batch.column("u"), pa.array([x.tobytes() for x in shares], pa.binary())], [x.split()[0] for x in _FEATURES.split(", ")])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), _draw().alias("u"))
+    return rows.mapInArrow(tidy(run), _FEATURES)
+
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, WORD_BUCKETS)
+
+
+def _added_up(rows: DataFrame, size: int, add) -> np.ndarray:
+    """The sum over all rows of the whole numbers that add(batch, total) adds to total; partial sums leave each task."""
+
+    def run(batches):
+        total = np.zeros(size)
         for batch in batches:
-            n, shares = word_shares(as_bytes(batch.column("text")), known)
-            made = pa.RecordBatch.from_arrays([batch.column("draw"), batch.column("lang"), pa.array(list(shares), pa.list_(pa.float32()))], ["draw", "lang", "x"])
-            yield made.filter(pa.array(n > 0))
-
-    rows = drawn.dropDuplicates(["draw"]).limit(2 * fit_documents).mapInArrow(run, "draw long, lang string, x array<float>").collect()
-    rows.sort(key=lambda r: r.draw)
-    if not rows:
-        return Topics({None: np.zeros(WORD_BUCKETS, np.float32)}, np.zeros((0, WORD_BUCKETS), np.float32))
-    x, langs = np.array([r.x for r in rows], np.float32), [r.lang for r in rows]
-    means = {None: x.mean(0)}
-    for lang in sorted({v for v in langs if v is not None}):
-        own = np.array([v == lang for v in langs])
-        if own.sum() >= LEAST_OF_LANGUAGE:
-            means[lang] = x[own].mean(0)
-    model = Topics(means, x[:0])
-    model.centres = centres_of(model.residual(x, langs), max(1, min(TOPICS, len(x) // LEAST_OF_TOPIC)))
-    return model
+            add(batch, total)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at].astype(np.int64))], ["cell", "v"])
+
+    out = np.zeros(size)
+    for r in rows.mapInArrow(tidy(run), "cell int, v long").groupBy("cell").agg(F.sum("v").alias("v")).collect():
+        out[r.cell] = r.v
+    return out
+
+
+def _on_grid(x: np.ndarray) -> np.ndarray:
+    return np.rint(x * GRID) / GRID
+
+
+def _moments(rows: DataFrame, langs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each language (the last: of all others) the number of documents and the sum of vectors; the sum of outer products."""
+    d, at = WORD_BUCKETS, {v: i for i, v in enumerate(langs)}
+    upper = np.triu_indices(d)
+    m = (len(langs) + 1) * (1 + d)
+
+    def add(batch, total):
+        coded = batch.column("lang").dictionary_encode("encode")
+        code = np.array([at.get(v, len(at)) for v in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+        x = _vectors(batch.column("x")).astype(float)
+        sums = total[:m].reshape(-1, 1 + d)
+        for k in np.unique(code):
+            own = x[code == k]
+            sums[k, 0] += len(own)
+            sums[k, 1:] += own.sum(0)
+        total[m:] += (x.T @ x)[upper]
+
+    out = _added_up(rows, m + len(upper[0]), add)
+    sums, outer = out[:m].reshape(-1, 1 + d), np.zeros((d, d))
+    outer[upper] = out[m:]
+    outer = np.triu(outer, 1).T + outer
+    return sums[:, 0], sums[:, 1:] / GRID, outer / GRID**2
+
+
+def _step(rows: DataFrame, topics: Topics) -> tuple[np.ndarray, np.ndarray]:
+    """Of each centre the number of its documents and the sum of their vectors without their languages' means."""
+    k, d = topics.centres.shape
+    names = list(topics.means)
+    at = {v: i for i, v in enumerate(names)}
+    m = k * d
+
+    def add(batch, total):
+        x = _vectors(batch.column("x")).astype(float)
+        near, code, langs = topics.nearest(x, batch.column("lang"))
+        total[:m] += ((np.arange(k)[:, None] == near).astype(float) @ x).ravel()
+        code = np.array([at.get(v, at[None]) for v in langs], np.int64)[code]
+        total[m:] += np.bincount(near * len(names) + code, minlength=k * len(names))
+
+    out = _added_up(rows, m + k * len(names), add)
+    held = out[m:].reshape(k, -1)
+    return held.sum(1), out[:m].reshape(k, d) / GRID - held @ np.array([topics.means[v] for v in names])
+
+
+def _starts(spread: np.ndarray, k: int) -> np.ndarray:
+    """One deviation to both sides along the directions of the greatest spread."""
+    if k == 1:
+        return np.zeros((1, len(spread)))
+    values, vectors = np.linalg.eigh(spread)
+    out = []
+    for j in range(1, k // 2 + k % 2 + 1):
+        v = vectors[:, -j] * np.sign(vectors[np.abs(vectors[:, -j]).argmax(), -j]) * np.sqrt(max(values[-j], 0.0))
+        out += [v, -v]
+    out = _on_grid(np.array(out[:k]))
+    return out[np.sort(np.unique(out, axis=0, return_index=True)[1])]
+
+
+def fitted(rows: DataFrame) -> Topics:
+    """Topics of features(), stored, from every row with words; the largest topic first."""
+    rows = rows.where("tokens > 0").select("lang", "x")
+    held = rows.groupBy("lang").count()
+    total = held.agg(F.sum("count")).first()[0] or 0
+    if not total:
+        return Topics({None: np.zeros(WORD_BUCKETS)}, np.zeros((0, WORD_BUCKETS)))
+    least = max(LEAST_OF_LANGUAGE, SHARE_OF_LANGUAGE * total)
+    langs = sorted(r.lang for r in held.where((F.col("count") >= least) & F.col("lang").isNotNull()).collect())
+    n, sums, outer = _moments(rows, langs)
+    means = {None: _on_grid(sums.sum(0) / total)} | {v: _on_grid(sums[i] / n[i]) for i, v in enumerate(langs)}
+    own = np.array([*[means[v] for v in langs], means[None]])
+    cross = sums.T @ own
+    spread = (outer - cross - cross.T + (own.T * n) @ own) / total
+    topics = Topics(means, _starts(spread, max(1, min(TOPICS, total // LEAST_OF_TOPIC))))
+    for _ in range(STEPS):
+        n, sums = _step(rows, topics)
+        centres = np.where(n[:, None] > 0, _on_grid(sums / np.maximum(n, 1)[:, None]), topics.centres)
+        if (centres == topics.centres).all():
+            break
+        topics.centres = centres
+    at = np.argsort(-n, kind="stable")
+    topics.centres = topics.centres[at[n[at] > 0]]
+    return topics
+
+
+def fit_topics(docs: DataFrame) -> Topics:
+    rows = materialize(features(docs), "features")
+    topics = fitted(rows)
+    release(rows)
+    return topics
 
 
 _SMALL = "doc_id long, source string, lang string, topic string, tokens long, u double"
 
 
-def with_dimensions(docs: DataFrame, topic: Column | None = None, topics: Topics | None = None) -> DataFrame:
+def _labelled(rows: DataFrame, topics: Topics) -> DataFrame:
+    """The small columns that mixing needs, of stored features()."""
+
+    def run(batches):
+        for batch in batches:
+            made = topics.of(batch.column("tokens").to_numpy(), _vectors(batch.column("x")), batch.column("lang"))
+            yield pa.RecordBatch.from_arrays([batch.column(c) if c != "topic" else pa.array(made, pa.string()) for c in names], names)
+
+    names = [x.split()[0] for x in _SMALL.split(", ")]
+    return rows.mapInArrow(tidy(run), _SMALL)
+
+
+def with_dimensions(docs: DataFrame, topic: Column | None = None) -> DataFrame:
     """The small columns that mixing needs; `u` in [0, 1) is the document's own draw."""
-    given = topic is not None
-    topics = None if given else topics or fit_topics(docs)
+    if topic is None:
+        rows = materialize(features(docs), "features")
+        return _labelled(rows, fitted(rows))
 
     def run(batches):
-        known = _Buckets()
-        for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
-                langs = batch.column("lang").to_pylist()
-                n, shares = word_shares(as_bytes(batch.column("text")), known)
-                made = batch.column("topic") if given else pa.array(topics.of(n, shares, langs), pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), batch.column("lang"), made, pa.array(n), batch.column("u")], [x.split()[0] for x in _SMALL.split(", ")])
+        for batch in batches:
+            n = [len((t or b"").split()) for t in as_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column(c) if c != "tokens" else pa.array(n, pa.int64()) for c in names], names)
 
-    label = (F.lit(None) if topic is None else topic).cast("string").alias("topic")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), label, F.col("text").cast("string").alias("text"), _draw().alias("u"))
+    names = [x.split()[0] for x in _SMALL.split(", ")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), topic.cast("string").alias("topic"), F.col("text").cast("string").alias("text"), _draw().alias("u"))
     return rows.mapInArrow(tidy(run), _SMALL)
 
 
@@ -267,8 +368,14 @@ def _joined(documents: DataFrame, cells: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, targets: dict[str, dict] | None = None, topic: Column | None = None) -> DataFrame:
     """docs left after the draw, with their own columns only."""
     spark = docs.sparkSession
-    topics = fit_topics(docs) if topic is None else None
-    cells = materialize(rake(with_dimensions(docs, topic, topics), targets), "cells")
+    topics = None
+    if topic is None:
+        stored = materialize(features(docs), "features")
+        topics = fitted(stored)
+        cells = materialize(rake(_labelled(stored, topics), targets), "cells")
+        release(stored)
+    else:
+        cells = materialize(rake(with_dimensions(docs, topic), targets), "cells")
     own = [f"tempora_{n}" for n in (*DIMENSIONS, "u")]
     label = (F.lit(None) if topic is None else topic).cast("string")
     keyed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("source").cast("string").alias(own[0]), F.col("lang").cast("string").alias(own[1]), label.alias(own[2]), _draw().alias(own[3]))
@@ -286,7 +393,7 @@ def mix(docs: DataFrame, targets: dict[str, dict] | None = None, topic: Column |
                 source, lang, made, u = batch.columns[width:]
                 if topics is not None:
                     texts = batch.column(batch.schema.names.index("text"))
-                    made = pa.array(topics.of(*word_shares(as_bytes(texts), known), lang.to_pylist()), pa.string())
+                    made = pa.array(topics.of(*word_shares(as_bytes(texts), known), lang), pa.string())
                 if shared.value is None:
                     yield pa.RecordBatch.from_arrays([*batch.columns[:width], source, lang, made, u], batch.schema.names)
                 else:
@@ -307,6 +414,8 @@ def _draw() -> Column:
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small = materialize(with_dimensions(load(spark, sf_dir, "documents")), "mixing")
+    rows = materialize(features(load(spark, sf_dir, "documents")), "features")
+    small = materialize(_labelled(rows, fitted(rows)), "mixing")
+    release(rows)
     found = _joined(small, materialize(rake(small), "cells"))
     return found.select("doc_id", "source", "lang", "topic", "tokens", F.col("factor").alias("weight"), "probability", (F.col("u") < F.col("probability")).alias("sampled"))

@@ -105,6 +105,27 @@ def test_mixing(spark):
         assert of[r.doc_id] == "none" if not words else far[int(of[r.doc_id][5:])] == pytest.approx(min(far), abs=1e-5)
 
 
+def test_topics_are_fitted_on_every_document(spark):
+    """Means and centres are those of all 9000 documents, each centre the mean of those nearest to it, however rows are dealt."""
+    rng = np.random.default_rng(5)
+    vocabulary = [[f"w{k}x{i}" for i in range(40)] for k in range(5)]
+    made = [(i, " ".join(rng.choice(vocabulary[i % 5], 12)), ["en", "de", None, "rare"][3 if i % 900 == 0 else i % 3], "web", 0) for i in range(9000)]
+    docs = spark.createDataFrame([*made, (9000, None, "en", "web", 0), (9001, " ", "en", "web", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    topics = mixing.fit_topics(docs.coalesce(1))
+    grid = lambda x: np.rint(x * mixing.GRID) / mixing.GRID
+    x = mixing.word_shares([m[1].encode() for m in made], mixing._Buckets())[1] / mixing.GRID
+    langs = np.array([str(m[2]) for m in made])
+    means = {None: grid(x.mean(0)), "de": grid(x[langs == "de"].mean(0)), "en": grid(x[langs == "en"].mean(0))}
+    assert topics.means.keys() == means.keys() and all((topics.means[k] == means[k]).all() for k in means)
+    left = x - np.stack([means.get(v, means[None]) for v in langs])
+    near = ((left[:, None] - topics.centres) ** 2).sum(2).argmin(1)
+    assert len(topics.centres) == mixing.TOPICS
+    assert all(np.abs(topics.centres[k] - left[near == k].mean(0)).max() < 0.02 for k in range(mixing.TOPICS))
+    assert len({(i % 5, k) for i, k in enumerate(near.tolist())}) == mixing.TOPICS  # no topic has two vocabularies
+    again = mixing.fit_topics(docs.orderBy(F.rand(3)).repartition(7))
+    assert (again.centres == topics.centres).all() and all((again.means[k] == means[k]).all() for k in means)
+
+
 def test_near_dedup_keeps_one_of_each_group(spark):
     """Every pair of texts with a Jaccard similarity of 0.8 or more, and every link of fingerprints, is in one group."""
     docs = load(spark, SF, "documents")
