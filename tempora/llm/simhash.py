@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tempora.llm.common import as_bytes, load, materialize, scratch, shuffle_partitions, tidy, whole_texts
-from tempora.llm.components import components
+from tempora.llm.components import components, spanning
 
 BITS = 64
 CHUNK = 1 << 16
@@ -234,24 +234,6 @@ def _probe_rows(parts: list[list[int]], thresholds: list[int]):
     return run
 
 
-def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Star links with the same components as the links a-b."""
-    ids, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = flat[: len(a)], flat[len(a) :]
-    label = np.arange(len(ids))
-    while True:
-        low = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, label[x], low)
-        np.minimum.at(new, label[y], low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    off = label != np.arange(len(ids))
-    return ids[off], ids[label[off]]
-
-
 LINK_RUN = 1 << 20
 
 
