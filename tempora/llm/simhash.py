@@ -419,6 +419,10 @@ def _bounded(ids: DataFrame) -> DataFrame:
 SAMPLE_DOCS, HOT, MOST_HOT = 20_000, 8, 100_000
 #: Rows of one key beyond this many are dealt over blocks of them, and pairs of such blocks.
 HOT_BLOCK = 2_000
+#: Rows of a key that more rows than this hold carry the marks of their sets: only there pairs could outgrow rows.
+CROWDED = 64
+#: Bits of a set's marks; some four times the shingles in which sets of usual texts may differ and be similar still.
+MARKS = 512
 #: Rows that are paired at a time, and pairs held before repeats are taken out.
 JOIN_ROWS, JOIN_PAIRS = 1 << 16, 1 << 18
 #: Pairs verified at once (or a tenth of the documents), and the rounds that thin more of them by components first.
@@ -457,13 +461,20 @@ def _ordered(hashes: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> tuple[np.
     return np.concatenate([hashes[~is_hot], hot[at[is_hot][np.argsort(rank[at[is_hot]])]]]), len(hashes) - int(is_hot.sum())
 
 
-SKETCH = "doc_id long, set_a long, set_b long, n long, head array<long>, cold long"
+def _marks(hashes: np.ndarray) -> bytes:
+    """Of each of MARKS buckets whether an odd number of the hashes, distinct ones, falls into it. Two sets differ in as
+    many hashes as their marks do in bits, or in more."""
+    odd = np.bincount((hashes % np.uint64(MARKS)).astype(np.int64), minlength=MARKS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+SKETCH = "doc_id long, set_a long, set_b long, n long, head array<long>, cold long, marks binary"
 
 
 def _sketches(docs: DataFrame, hot: np.ndarray, similarity: float, words: int) -> DataFrame:
     """One row a document: a 128-bit key of its set of `words`-word shingles, their number n, and the first
-    n - ceil(similarity n) + 1 of them in the one order of all, of which the first `cold` are not hot. Similar texts share
-    one of these."""
+    n - ceil(similarity n) + 1 of them in the one order of all, of which the first `cold` are not hot, and its marks. Similar
+    texts share one of these."""
     rank = np.argsort(hot)
     sorted_hot = hot[rank]
 
@@ -472,7 +483,7 @@ def _sketches(docs: DataFrame, hot: np.ndarray, similarity: float, words: int) -
         for whole in batches:
             for start in range(0, whole.num_rows, 100):
                 batch = whole.slice(start, 100)
-                keys, sizes, heads, cold = [], [], [], []
+                keys, sizes, heads, cold, marks = [], [], [], [], []
                 for text in as_bytes(batch.column("text")):
                     tokens = np.unique(word_shingles(_hashes_of(text, known), words))
                     n = len(tokens)
@@ -481,8 +492,9 @@ def _sketches(docs: DataFrame, hot: np.ndarray, similarity: float, words: int) -
                     ordered, others = _ordered(tokens, sorted_hot, rank)
                     heads.append(ordered[: n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0].view(np.int64))
                     cold.append(others)
+                    marks.append(_marks(tokens))
                 key = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-                cols = [batch.column("doc_id"), pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), pa.array(sizes, pa.int64()), pa.array(heads, pa.list_(pa.int64())), pa.array(cold, pa.int64())]
+                cols = [batch.column("doc_id"), pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), pa.array(sizes, pa.int64()), pa.array(heads, pa.list_(pa.int64())), pa.array(cold, pa.int64()), pa.array(marks, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in SKETCH.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(tidy(run), SKETCH)
@@ -523,7 +535,7 @@ def _whole_keys(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> It
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append([batch.column(c).to_numpy() for c in names])
+        held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
         size += batch.num_rows
         if size < JOIN_ROWS or held[-1][0][-1] == held[0][0][0]:
             continue
@@ -588,19 +600,24 @@ def _pairs_within(similarity: float):
     """Rows sorted by key and place -> (a, b) of rows of two labels that may be similar.
 
     Of the keys that a similar pair shares, `least` or more, the first is early in both rows: at least as many less one
-    of the row's own come after it. Pairs that share later keys only are none, so those are not looked at.
+    of the row's own come after it. Pairs that share later keys only are none, so those are not looked at. Nor are pairs
+    of a crowded key whose marks differ in more bits than similar sets do in shingles.
     """
+    apart = 1 - 2 * similarity / (1 + similarity)
+
+    unmarked = bytes(MARKS // 8)
 
     def distinct(found: list):
         both = np.unique(np.concatenate(found), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], ["a", "b"])
 
     def run(batches):
-        for key, place, before, own, doc, label in _whole_keys(batches, ("key", "place", "before", "own", "doc_id", "label")):
+        for key, place, before, own, doc, label, marks in _whole_keys(batches, ("key", "place", "before", "own", "doc_id", "label", "marks")):
             first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             sizes = np.diff(np.append(first, len(key)))
             mixed = np.repeat(np.minimum.reduceat(label, first) != np.maximum.reduceat(label, first), sizes)
-            key, place, before, own, doc, label = (c[mixed] for c in (key, place, before, own, doc, label))
+            key, place, before, own, doc, label, marks = (c[mixed] for c in (key, place, before, own, doc, label, marks))
+            marks = np.frombuffer(b"".join(unmarked if x is None else x for x in marks), np.uint64).reshape(-1, MARKS // 64)
             row = np.stack([place >> 32, place & 0xFFFFFFFF, before, own])
             n = row[0]
             ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
@@ -614,9 +631,12 @@ def _pairs_within(similarity: float):
                 least = _least(similarity, n[at], n[other])
                 early = (row[2, at] <= row[3, at] - least) & (row[2, other] <= row[3, other] - least)
                 fit = early & (label[at] != label[other]) & (doc[at] != doc[other]) & _fit(similarity, row[:, at], row[:, other])
-                if fit.any():
-                    found.append(np.sort(np.stack([doc[at[fit]], doc[other[fit]]], axis=1), axis=1))
-                    held += int(fit.sum())
+                a, b = at[fit], other[fit]
+                alike = np.bitwise_count(marks[a] ^ marks[b]).sum(axis=1) <= apart * (n[a] + n[b]) + 1e-6
+                a, b = a[alike], b[alike]
+                if len(a):
+                    found.append(np.sort(np.stack([doc[a], doc[b]], axis=1), axis=1))
+                    held += len(a)
                     if held > JOIN_PAIRS:
                         yield distinct(found)
                         found, held = [], 0
@@ -635,20 +655,21 @@ def _labelled(rows: DataFrame, column: str, roots: DataFrame, label: str) -> Dat
 
 
 def _shared_keys(sketches: DataFrame) -> DataFrame:
-    """(key, place, doc_id, before, own, blocks): the heads' shingles that two or more rows hold; place has n and the
-    place in the head; own is how many such keys the row has, before how many of them come before this one; blocks is
-    over 1 where more than HOT_BLOCK rows hold the key, counted exactly."""
+    """(key, place, doc_id, blocks, crowded, before, own): the heads' shingles that two or more rows hold; place has n and
+    the place in the head; own is how many such keys the row has, before how many of them come before this one; blocks is
+    over 1 where more than HOT_BLOCK rows hold the key, crowded says whether more than CROWDED do, counted exactly."""
     spark = sketches.sparkSession
     exploded = sketches.select("doc_id", "n", "cold", F.posexplode("head").alias("i", "key"))
     rows = exploded.select("key", (F.shiftleft("n", 32) + F.col("i")).alias("place"), "doc_id", (F.col("i") >= F.col("cold")).alias("hot"))
     # hot keys are known to be shared; only the others, which few rows hold, are dealt out to see whether they are
     cold = rows.where("not hot").drop("hot").repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key").mapInArrow(tidy(_met_keys), "key long, place long, doc_id long")
     met = materialize(cold.unionByName(rows.where("hot").drop("hot")), "shared-keys")
-    hot = materialize(met.groupBy("key").count().where(F.col("count") > HOT_BLOCK).select("key", F.ceil(F.col("count") / HOT_BLOCK).cast("int").alias("blocks")), "hot-keys")
+    held = met.groupBy("key").count().where(F.col("count") > min(CROWDED, HOT_BLOCK))
+    hot = materialize(held.select("key", F.ceil(F.col("count") / HOT_BLOCK).cast("int").alias("blocks"), (F.col("count") > CROWDED).alias("crowded")), "hot-keys")
     if hot.head(1):
-        met = met.join(_bounded(hot), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        met = met.join(_bounded(hot), "key", "left").withColumns({"blocks": F.coalesce("blocks", F.lit(1)), "crowded": F.coalesce("crowded", F.lit(False))})
     else:
-        met = met.withColumn("blocks", F.lit(1))
+        met = met.withColumns({"blocks": F.lit(1), "crowded": F.lit(False)})
     each = Window.partitionBy("doc_id", F.shiftright("place", 32))
     before = F.row_number().over(each.orderBy("place")) - 1
     return materialize(met.withColumn("before", before.cast("long")).withColumn("own", F.count("*").over(each)), "ranked-keys")
@@ -672,7 +693,7 @@ def missing_links(docs: DataFrame, heads: DataFrame, known: DataFrame, similarit
 
     A set-similarity join that leaves out no pair. First every document tries one hub, so that a large group of near
     copies becomes one component at a cost in proportion to its members. Then all pairs of rows that share an early key
-    are met that are of different components still, and their heads compared; where many remain, one for each two components is verified first, and
+    are met that are of different components still, by their marks too where many rows hold the key, and their heads compared; where many remain, one for each two components is verified first, and
     pairs within the components that result are left out too.
     """
     spark, shared = docs.sparkSession, _shared_keys(heads)
@@ -681,11 +702,13 @@ def missing_links(docs: DataFrame, heads: DataFrame, known: DataFrame, similarit
     rows = _labelled(shared, "doc_id", roots, "label")
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
     paired = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.xxhash64("key", F.least(own, b.cast("long")), F.greatest(own, b.cast("long"))))
-    rows = rows.select(F.explode(F.when(F.col("blocks") > 1, paired).otherwise(F.array("key"))).alias("key"), "place", "before", "own", "doc_id", "label")
+    marked = rows.where("crowded").withColumn("n", F.shiftright("place", 32)).join(heads.select("doc_id", "n", "marks"), ["doc_id", "n"])
+    rows = rows.where("not crowded").withColumn("marks", F.lit(None).cast("binary")).unionByName(marked.select(*rows.columns, "marks"))
+    rows = rows.select(F.explode(F.when(F.col("blocks") > 1, paired).otherwise(F.array("key"))).alias("key"), "place", "before", "own", "doc_id", "label", "marks")
     met = rows.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key", "place").mapInArrow(tidy(_pairs_within(similarity)), "a long, b long").distinct()
     met = materialize(met, "early-pairs")
-    ids = _bounded(met.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    few = materialize(heads.select("doc_id", "n", "head").join(ids, "doc_id", "left_semi"), "candidate-heads")
+    ids = materialize(met.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "early-ids")
+    few = materialize(heads.select("doc_id", "n", "head").join(_bounded(ids), "doc_id", "left_semi"), "candidate-heads")
     end = lambda c, n, x: few.select(F.col("doc_id").alias(c), F.col("n").alias(n), F.col("head").alias(x))
     share = similarity / (1 + similarity)
     least = F.ceil(share * (F.col("m") + F.col("n")) - 1e-6 - (F.ceil(similarity * F.greatest("m", "n") - 1e-9) - 1))
